@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import lines, mix, tokens
+from lodestrata.llm import lines, mix, mojibake, pii, tokens
 from lodestrata.session import table
 
 
@@ -14,6 +14,14 @@ def p4_cleaned(spark, d):
     return lines.cleaned(table(spark, d, "chunks"), table(spark, d, "documents"))
 
 
+def p5_found(spark, d):
+    return pii.found(table(spark, d, "requests"), table(spark, d, "chunks"), table(spark, d, "staff"))
+
+
+def p5_masked(spark, d):
+    return pii.masked(table(spark, d, "requests"), table(spark, d, "chunks"), table(spark, d, "staff"))
+
+
 def p6_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"))
 
@@ -26,8 +34,16 @@ def p7_shares(spark, d):
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark, d):
+    return mojibake.found(table(spark, d, "documents"))
+
+
+def p8_repaired(spark, d):
+    return mojibake.repaired(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_cleaned, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_masked, p6_ids, p7_mix, p7_shares, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
