@@ -27,6 +27,11 @@ LOST = "�"
 #: A weight that every chain has in every source before anything is seen, in units.
 PRIOR = 0.5
 FIELD = "text"
+#: What every chain weighs in the first round: much, so that a garbled place whose clean form is usual doesn't pass as usual itself.
+START = 0.05
+#: Rounds of EM within a record, and how many units its source counts for there.
+RECORD_ROUNDS = 15
+SOURCE_COUNTS = 1.0
 
 
 @cache
@@ -135,7 +140,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
 def _side(c: str) -> str:
-    return c.lower() if c.isalpha() and c.isascii() else "~" if ord(c) > 127 else "0" if c.isdigit() else " "
+    return c if c.isalpha() and c.isascii() else "~" if ord(c) > 127 else "0" if c.isdigit() else " "
 
 
 def units_of(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -186,7 +191,7 @@ def _scores(pool: DataFrame, clean: DataFrame, weights: DataFrame) -> DataFrame:
     usual = F.coalesce("c2", F.lit(0.0)) + F.coalesce("c1", F.lit(0.0)) / 300 + F.coalesce("c0", F.lit(0.0)) / 100_000
     # several signs of which none belongs to another are rarer together than a count of the whole says
     alone = F.when(F.col("chain") == "", F.pow(F.lit(1e-4), F.length("unit") - 1)).otherwise(F.lit(1.0))
-    return at.withColumn("p", F.coalesce("weight", F.lit(1e-6)) * usual * alone).drop("l1", "r1", "c0", "c1", "c2", "weight")
+    return at.withColumn("e", usual * alone).withColumn("weight", F.coalesce("weight", F.lit(1e-6))).withColumn("p", F.col("weight") * F.col("e")).drop("l1", "r1", "c0", "c1", "c2")
 
 
 def _shared(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,9 +209,9 @@ def estimate(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
     made = totals.select("unit").distinct().mapInArrow(_candidates, "unit string, chain string, was string")
     pool = materialize(totals.join(made, "unit").select("source", "l", "unit", "r", "n", "chain", "was"), "pool")
     clean = pool.where("chain = ''").select("l", "was", "r", F.col("n").cast("double").alias("m"))
-    weights = pool.select("source", "chain").distinct().withColumn("weight", F.when(F.col("chain") == "", 0.95).otherwise(0.002))
+    weights = pool.select("source", "chain").distinct().withColumn("weight", F.when(F.col("chain") == "", 0.95).otherwise(START))
     for k in range(rounds):
-        pool = materialize(_shared(_scores(pool.drop("post"), clean, weights), ["source", "l", "unit", "r"]), f"round{k}")
+        pool = materialize(_shared(_scores(pool.drop("post", "e", "weight"), clean, weights), ["source", "l", "unit", "r"]), f"round{k}")
         clean = pool.select("l", "was", "r", (F.col("n") * F.col("post")).alias("m")).where("m > 1e-6")
         summed = pool.groupBy("source", "chain").agg(F.sum(F.col("n") * F.col("post")).alias("m"))
         # what a chain weighs everywhere is what it starts from in a source
@@ -223,26 +228,51 @@ def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, seen, clean): doc_id, l, unit, r, chain, was of each unit that a chain made, by the posterior of its record.
 
     A record's own mixture starts from that of its source and takes in the posteriors of all its units, so weak evidence counts in a record
-    with strong evidence of the same chain. Only units that some chain explains at all are looked at again.
+    with strong evidence of the same chain. Records without a unit that some chain explains at least half as well as chance does are clean.
     """
     seen = materialize(occurrences(documents), "units")
     pool, clean = estimate(seen)
-    doubtful = pool.where("chain <> ''").groupBy("source", "l", "unit", "r").agg(F.max("post").alias("most")).where("most > 1e-4").drop("most")
-    some = pool.join(doubtful, ["source", "l", "unit", "r"], "left_semi")
-    rows = seen.join(some.drop("n"), ["source", "l", "unit", "r"])
-    sizes = seen.groupBy("doc_id").agg(F.sum("n").alias("size"))
-    mine = rows.groupBy("doc_id", "chain").agg(F.sum(F.col("n") * F.col("post")).alias("m"))
-    rows = rows.join(mine, ["doc_id", "chain"]).join(sizes, "doc_id")
-    usual = F.sum(F.col("n") * F.col("post")).over(W.partitionBy("source", "chain")) / F.sum("n").over(W.partitionBy("source", "chain"))
-    rows = rows.withColumn("base", usual)
-    clean_m = F.when(F.col("chain") == "", F.greatest(F.col("m"), F.lit(0.0))).otherwise(F.col("m"))
-    rows = rows.withColumn("p", F.col("post") * (clean_m + 2 * F.col("base")) / F.greatest(F.col("base"), F.lit(1e-6)) / (F.col("size") + 2))
-    final = _shared(rows, ["doc_id", "l", "unit", "r"])
-    best = F.max(F.struct("post", "chain", "was")).alias("best")
-    verdicts = final.groupBy("doc_id", "l", "unit", "r").agg(best).where("best.chain <> ''").select("doc_id", "l", "unit", "r", "best.chain", "best.was")
+    made, own = (F.max(F.when(c, F.col("e"))) for c in (F.col("chain") != "", F.col("chain") == ""))
+    doubtful = pool.groupBy("source", "l", "unit", "r").agg(made.alias("made"), own.alias("own")).where("made > 0.5 * own").select("source", "l", "unit", "r")
+    some = seen.join(doubtful, ["source", "l", "unit", "r"], "left_semi").select("doc_id").distinct()
+    rows = seen.join(some, "doc_id", "left_semi").join(pool.drop("n", "post", "p"), ["source", "l", "unit", "r"])
+    # a record's different units are no more than its signs
+    records = rows.groupBy("doc_id").agg(F.collect_list(F.struct("l", "unit", "r", "n", "chain", "was", "e", "weight")).alias("units"))
+    verdicts = records.mapInArrow(_records, "doc_id bigint, l string, unit string, r string, chain string, was string")
     return verdicts, seen, clean
 
 
+def judge_record(units: list[dict]) -> list[tuple[str, str, str, str, str]]:
+    """EM over one record: (l, unit, r, chain, was) of the units that most likely came about by a chain."""
+    places: dict[tuple, list[dict]] = {}
+    for u in units:
+        places.setdefault((u["l"], u["unit"], u["r"]), []).append(u)
+    base = {u["chain"]: max(u["weight"], 2e-3) for u in units}
+    size = sum(p[0]["n"] for p in places.values())
+    weight = dict(base)
+    for _ in range(RECORD_ROUNDS):
+        mass = {c: SOURCE_COUNTS * w for c, w in base.items()}
+        for options in places.values():
+            total = sum(weight[u["chain"]] * u["e"] for u in options)
+            for u in options:
+                if total > 0:
+                    mass[u["chain"]] += u["n"] * weight[u["chain"]] * u["e"] / total
+        weight = {c: m / (size + SOURCE_COUNTS) for c, m in mass.items()}
+    out = []
+    for (left, unit, right), options in places.items():
+        best = max(options, key=lambda u: (weight[u["chain"]] * u["e"], u["chain"] == "", u["chain"]))
+        if best["chain"] and weight[best["chain"]] * best["e"] > 0:
+            out.append((left, unit, right, best["chain"], best["was"]))
+    return out
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "l", "unit", "r", "chain", "was"]
+    for batch in batches:
+        rows = [(doc, *v) for doc, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for v in judge_record(units)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(6)], names=names)
+
+
 def found(documents: DataFrame) -> DataFrame:
     """p8_found: doc_id of documents with a unit that a chain made, or with a sign that stands for lost bytes."""
     verdicts, seen, _ = judged(documents)
