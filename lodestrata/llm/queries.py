@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import lines, mix, mojibake, pii, tokens
+from lodestrata.llm import dedup, lines, mix, mojibake, pii, tokens
 from lodestrata.session import table
 
 
+def p1_found(spark, d):
+    return dedup.found(table(spark, d, "documents"), table(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     return lines.found(table(spark, d, "chunks"), table(spark, d, "documents"))
 
@@ -43,7 +47,7 @@ def p8_repaired(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_masked, p6_ids, p7_mix, p7_shares, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_cleaned, p5_found, p5_masked, p6_ids, p7_mix, p7_shares, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
