@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import ann, dedup, lines, mix, mojibake, pii, tokens
+from lodestrata.llm import ann, dedup, lines, mix, mojibake, pii, scans, tokens
 from lodestrata.session import table
 
 
@@ -10,6 +10,14 @@ def p1_found(spark, d):
     return dedup.found(table(spark, d, "documents"), table(spark, d, "chunks"))
 
 
+def p2_found(spark, d):
+    return scans.found(table(spark, d, "chunks"))
+
+
+def p2_repaired(spark, d):
+    return scans.repaired(table(spark, d, "chunks"))
+
+
 def p3_found(spark, d):
     return ann.found(table(spark, d, "chunk_vectors"))
 
@@ -55,7 +63,7 @@ def p8_repaired(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_neighbours, p4_found, p4_cleaned, p5_found, p5_masked, p6_ids, p7_mix, p7_shares, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_neighbours, p4_found, p4_cleaned, p5_found, p5_masked, p6_ids, p7_mix, p7_shares, p8_found, p8_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
