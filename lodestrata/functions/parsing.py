@@ -47,9 +47,10 @@ def entailment_reply(reply: Column) -> Column:
 
 
 def structured_reply(reply: Column, fmt: Column) -> Column:
-    """struct(answer, structured): the answer's text, and the payload of its shape as JSON (items, rows or the whole object)."""
+    """struct(answer, structured): the answer's text, and the payload of its shape as JSON (items, rows or the whole object). A reply that is no
+    object is the answer as it stands."""
     value = F.try_parse_json(reply)
-    answer = F.coalesce(F.try_variant_get(value, "$.answer", "string"), F.lit(""))
+    answer = F.coalesce(F.try_variant_get(value, "$.answer", "string"), F.when(F.substring(F.trim(reply), 1, 1) != "{", reply), F.lit(""))
     items, rows = (F.try_variant_get(value, f"$.{k}", "variant") for k in ("items", "rows"))
     as_list = F.when(items.isNotNull(), F.concat(F.lit('{"items":'), F.to_json(items), F.lit("}")))
     as_table = F.when(rows.isNotNull(), F.concat(F.lit('{"rows":'), F.to_json(rows), F.lit("}")))
@@ -58,5 +59,5 @@ def structured_reply(reply: Column, fmt: Column) -> Column:
 
 
 def output_format(explicit: Column, sub_intent: Column) -> Column:
-    """The format asked for; else what the sub-intent suggests."""
-    return F.coalesce(explicit, F.when(sub_intent == "list", F.lit("list")).when(sub_intent == "comparison", F.lit("table")).otherwise(F.lit("prose")))
+    """The format asked for; for auto and null what the sub-intent suggests."""
+    return F.coalesce(F.when(explicit != "auto", explicit), F.when(sub_intent == "list", F.lit("list")).when(sub_intent == "comparison", F.lit("table")).otherwise(F.lit("prose")))

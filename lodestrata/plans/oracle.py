@@ -109,7 +109,7 @@ SELECT query_id, intent, CASE WHEN ok AND odd = 0 THEN 'list' END AS sub_intent,
     "disclaimers": f"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query FROM once)
 SELECT query_id, CASE {_TOPIC} WHEN 'medical' THEN '{DISCLAIMERS["medical"]}' || chr(10) || chr(10) || query WHEN 'legal' THEN '{DISCLAIMERS["legal"]}' || chr(10) || chr(10) || query ELSE query END AS answer FROM q""",
     "request_validation": f"""WITH {_ONCE} SELECT query_id, CASE WHEN query IS NULL OR length(query) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN top_k IS NOT NULL AND top_k NOT BETWEEN 1 AND 20 THEN 'top_k'
-  WHEN answer_format IS NOT NULL AND answer_format NOT IN ('prose', 'list', 'table', 'json') THEN 'format' END AS error FROM once""",
+  WHEN answer_format IS NOT NULL AND answer_format NOT IN ('auto', 'prose', 'list', 'table', 'json') THEN 'format' END AS error FROM once""",
     "request_dedup": f"WITH {_ONCE} SELECT query_id, query, top_k, answer_format, enable_llm_rerank, logged_at FROM once",
     "document_filter": f"""WITH {_ONCE}, {_ACTIVE}, asked AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(document_ids) = 0 THEN [NULL] ELSE document_ids END) AS doc_id FROM once WHERE document_ids IS NOT NULL),
 counts AS (SELECT query_id, count(a.doc_id) AS n_valid, count(*) FILTER (q.doc_id IS NOT NULL AND a.doc_id IS NULL) AS n_missing FROM asked q LEFT JOIN active a USING (doc_id) GROUP BY query_id)

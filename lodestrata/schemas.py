@@ -21,5 +21,5 @@ RANKINGS = T.StructType().add("query_id", "long").add("list_id", "integer").add(
 
 STATUSES = ("processing", "ready", "failed")
 SOURCES = ("pdf_text", "ocr")
-FORMATS = ("prose", "list", "table", "json")
+FORMATS = ("auto", "prose", "list", "table", "json")
 INTENTS = ("search", "no_search", "refuse")
