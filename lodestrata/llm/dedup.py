@@ -13,20 +13,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import input_parts, materialize
+from lodestrata.session import forget, input_parts, materialize
 
 #: Words of a fingerprint, and how many neighbouring ones give one fingerprint. Windows may not be longer than fingerprints.
 GRAM, WINDOW = 8, 8
 #: Words of a sequence, and the part of all sequences of two documents that both must have.
 SHINGLE, LEAST = 3, 0.7
 #: Documents that repeat each other share at least this part of the fingerprints (measured: 0.6 at the least similar pairs).
-COVERED = 0.3
+COVERED = 0.45
+#: Fingerprints are kept in so many bits; equal ones of different words only make a pair that verification drops.
+PRINT_BITS = 40
 #: The part of its fingerprints, the rarest, that a document is looked up with. A pair that shares COVERED of them shares at least
 #: COVERED + PROBED - 1 of them among those, whatever the order.
-PROBED = 0.8
+PROBED = 0.65
 BLOOM_BITS, BLOOM_HASHES = 12, 4
 #: Fingerprints of one Bloom partition, about.
 BLOOM_ROWS = 200_000
@@ -97,8 +99,11 @@ def winnow(words: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np
         pairs.append(np.array(short, np.uint64))
     if not pairs:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    unique = np.unique(np.concatenate(pairs), axis=0)
-    return unique[:, 0].astype(np.int64), unique[:, 1]
+    both = np.concatenate(pairs)
+    both[:, 1] >>= np.uint64(64 - PRINT_BITS)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))]
+    return both[:, 0].astype(np.int64), both[:, 1]
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -263,62 +268,81 @@ def verified(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """What was accepted so far: documents (doc_id, at, words, text, sha), prints (print, text), and Bloom filters (part, bits).
+    """What was accepted so far: documents (doc_id, at, words, text, sha), prints (doc_id, text, prints) of one document for each class of
+    equal chunks, and Bloom filters (part, bits) of their fingerprints.
 
-    Each batch adds its own files in the shared folder; nothing is rewritten. ``text`` is the class of documents with equal chunks: links
-    are kept between classes, so a group of copies is one entry however large it is.
+    Each batch adds its own files in the shared folder; nothing is rewritten. Links are kept between classes, so a group of copies is one
+    entry however large it is. What a batch adds is built when the next batch comes, or by :meth:`flush`.
     """
 
-    def __init__(self, spark: SparkSession, parts: int):
-        self.spark, self.parts = spark, parts
+    def __init__(self, parts: int):
+        self.parts = parts
         self.documents: DataFrame | None = None
         self.prints: DataFrame | None = None
         self.blooms: DataFrame | None = None
+        self.waiting: tuple[DataFrame, DataFrame] | None = None
 
-    def _part(self, column: str = "print"):
-        return F.pmod(F.col(column), F.lit(self.parts)).cast("int").alias("part")
+    def _parted(self, prints: DataFrame) -> DataFrame:
+        return prints.select(F.explode("prints").alias("print")).select("print", F.pmod("print", F.lit(self.parts)).cast("int").alias("part"))
 
-    def screen(self, prints: DataFrame) -> DataFrame:
-        """The different fingerprints of a batch that the Bloom filters let pass."""
-        each = prints.select("print").distinct().select("print", self._part())
-        return each.groupBy("part").cogroup(self.blooms.groupBy("part")).applyInArrow(_screen, "print bigint")
+    def hits(self, prints: DataFrame) -> DataFrame:
+        """(print, doc_id) of the store for those fingerprints of the batch that the Bloom filters let pass."""
+        screened = self._parted(prints).groupBy("part").cogroup(self.blooms.groupBy("part")).applyInArrow(_screen, "print bigint")
+        return self.prints.select(F.explode("prints").alias("print"), "doc_id").join(screened, "print", "left_semi")
 
     def add(self, accepted: DataFrame, prints: DataFrame) -> None:
-        """Takes in accepted documents and the fingerprints of their classes, and builds the batch's filters."""
-        new = materialize(prints.join(accepted.select("text").distinct(), "text", "left_semi"), "store-prints")
-        blooms = materialize(new.select("print", self._part()).distinct().groupBy("part").applyInArrow(_build, "part int, bits binary"), "store-blooms")
+        """Takes in accepted documents of a batch, and what stands for their classes."""
+        self.flush()
+        self.waiting = (accepted, prints)
+
+    def flush(self) -> None:
+        """Writes what waits: the fingerprints of accepted classes, and their filters."""
+        if self.waiting is None:
+            return
+        accepted, prints = self.waiting
+        new = materialize(prints.join(accepted.select("text").distinct(), "text", "left_semi").select("doc_id", "text", "prints"), "store-prints")
+        blooms = materialize(self._parted(new).groupBy("part").applyInArrow(_build, "part int, bits binary"), "store-blooms")
         join = lambda old, more: more if old is None else old.unionByName(more)
         self.documents, self.prints, self.blooms = join(self.documents, accepted), join(self.prints, new), join(self.blooms, blooms)
+        self.waiting = None
 
 
-def similar(batch: DataFrame, prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
-    """(x, y): classes of the batch with other classes of the batch or the store that are near-duplicates, each pair once."""
-    # a class is looked up with the rarest PROBED of its fingerprints; rarities go by powers of two, so that whole steps are taken
-    postings = prints
-    if store.prints is not None:
-        hits = store.prints.join(materialize(store.screen(prints), "screened"), "print", "left_semi")
-        postings = materialize(prints.unionByName(hits).distinct(), "postings")
-    df = postings.groupBy("print").agg(F.count("*").alias("df")).where("df > 1").withColumn("step", F.floor(F.log2("df")).cast("int"))
-    own = prints.join(df, "print", "left").withColumn("step", F.coalesce("step", F.lit(-1)))
+def candidates(prints: DataFrame, store: Store) -> DataFrame:
+    """(a, b) of documents that share enough fingerprints: of the batch with each other, and with the store.
+
+    A document is looked up with the rarest PROBED of its fingerprints; rarities go by steps, four to each power of two, and
+    whole steps are taken. One pass over
+    the fingerprints finds how rare each is; those of one document only are counted and leave.
+    """
     from pyspark.sql import Window as W
 
-    steps = own.groupBy("text", "step").agg(F.count("*").alias("k"))
-    w = W.partitionBy("text")
-    steps = steps.withColumn("size", F.sum("k").over(w)).withColumn("below", F.sum("k").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)))
-    steps = steps.where(F.coalesce("below", F.lit(0)) < F.ceil(F.col("size") * PROBED)).select("text", "step", "size")
-    probes = own.where("step >= 0").join(steps, ["text", "step"])
-    pairs = probes.select("print", F.col("text").alias("x"), "size").join(postings.select("print", F.col("text").alias("y")), "print").where("x <> y")
-    shared = pairs.groupBy("x", "y").agg(F.count("*").alias("k"), F.first("size").alias("size")).where(F.col("k") >= F.greatest(F.lit(1.0), (COVERED + PROBED - 1) * F.col("size")))
-    shared = shared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # one document stands for each class
-    known = batch.select("text", "doc_id", "words")
-    if store.documents is not None:
-        known = known.unionByName(store.documents.select("text", "doc_id", "words"))
-    stands = known.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
-    named = shared.join(stands.select(F.col("text").alias("x"), F.col("doc_id").alias("a"), F.col("words").alias("wa")), "x").join(stands.select(F.col("text").alias("y"), F.col("doc_id").alias("b"), F.col("words").alias("wb")), "y")
-    named = materialize(named, "named")
-    # sequences may repeat within a document, so words only bound its size from above
-    return verified(named.select("a", "b").distinct(), chunks).join(named, ["a", "b"]).select("x", "y").distinct()
+    own = prints.select(F.explode("prints").alias("print"), "doc_id", F.lit(True).alias("new"))
+    size_of = lambda rows: rows.groupBy("doc_id").agg(F.sum(F.size("prints")).alias("size"))
+    sizes = size_of(prints)
+    if store.prints is not None:
+        own = own.unionByName(store.hits(prints).withColumn("new", F.lit(False)))
+        sizes = sizes.unionByName(size_of(store.prints))
+    counted = own.withColumn("df", F.count("*").over(W.partitionBy("print"))).where("df > 1")
+    postings = materialize(counted.select("print", "doc_id", "new", F.floor(4 * F.log2("df")).cast("int").alias("step")), "postings")
+    steps = postings.where("new").groupBy("doc_id", "step").agg(F.count("*").alias("k")).join(sizes, "doc_id")
+    w = W.partitionBy("doc_id")
+    alone = F.col("size") - F.sum("k").over(w)
+    below = alone + F.coalesce(F.sum("k").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("below", below).where(F.col("below") < F.ceil(F.col("size") * PROBED)).select("doc_id", "step")
+    probes = postings.where("new").join(steps, ["doc_id", "step"]).select("print", F.col("doc_id").alias("a"))
+    pairs = probes.join(postings.select("print", F.col("doc_id").alias("b")), "print").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("size").alias(f"size_{side}")), side)
+    enough = F.greatest(F.lit(1.0), (COVERED + PROBED - 1) * F.greatest("size_a", "size_b"))
+    return pairs.where(F.col("k") >= enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
+    """(x, y): classes of the batch with other classes of the batch or the store that are near-duplicates."""
+    named = prints if store.prints is None else prints.unionByName(store.prints)
+    named = named.select("doc_id", "text").distinct()
+    sure = verified(materialize(candidates(prints, store), "candidates"), chunks)
+    return sure.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").where("x <> y").select("x", "y").distinct()
 
 
 def _linked(rest: DataFrame, accepted: DataFrame, links: DataFrame) -> DataFrame:
@@ -370,10 +394,11 @@ def decide(batch: DataFrame, links: DataFrame, store: Store) -> tuple[DataFrame,
 
 
 def ingest(batch: DataFrame, prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
-    """Checks one batch (rows of :func:`documents_of`) with the fingerprints of its classes (print, text) against the store; the store takes in
-    what is accepted. Returns (doc_id, first). ``chunks`` is where texts are looked up, for the pairs that share enough fingerprints only."""
-    links = materialize(similar(batch, prints, store, chunks), "links")
-    accepted, repeats = decide(batch, links, store)
+    """Checks one batch (rows of :func:`documents_of`) with the fingerprints of one document for each of its classes (doc_id, text, prints)
+    against the store; the store takes in what is accepted. Returns (doc_id, first). ``chunks`` is where texts are looked up, of the pairs
+    that share enough fingerprints only."""
+    store.flush()
+    accepted, repeats = decide(batch, similar(prints, store, chunks), store)
     store.add(accepted, prints)
     return repeats
 
@@ -384,22 +409,19 @@ def found(documents: DataFrame, chunks: DataFrame, batches: int = 2) -> DataFram
     The arrivals are replayed in ``batches`` batches cut at days: everything up to the first cut is the history that later batches are checked
     against. How arrivals are cut changes nothing in the result, since each batch is decided in order of arrival.
     """
-    spark = documents.sparkSession
-    prints = materialize(chunk_prints(chunks), "prints")
-    docs = materialize(documents_of(documents, prints), "documents")
-    store = Store(spark, max(4, 2 * input_parts(chunks)))
+    by_chunk = materialize(chunk_prints(chunks), "chunk-prints")
+    docs = materialize(documents_of(documents, by_chunk), "documents")
     day = F.col("at.t") - F.pmod(F.col("at.t"), F.lit(86_400_000_000))
     cuts = sorted(set(docs.select(day.alias("day")).approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01))) if batches > 1 else []
-    bounds = [None, *cuts, None]
-    out = None
-    for low, high in zip(bounds, bounds[1:]):
-        batch = docs
-        if low is not None:
-            batch = batch.where(F.col("at.t") >= int(low))
-        if high is not None:
-            batch = batch.where(F.col("at.t") < int(high))
-        stands = batch.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-        own = materialize(prints.select("doc_id", "prints").join(stands, "doc_id").select(F.explode("prints").alias("print"), "text").distinct(), "batch-prints")
-        repeats = ingest(batch, own, store, chunks)
+    number = sum(((F.col("at.t") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0)).alias("batch")
+    stands = docs.where("text is not null").groupBy(number, "text").agg(F.min("doc_id").alias("doc_id"))
+    # the chunks of a document, but for a very long one, come together here; a long one stays in parts of its own
+    part = F.floor(F.col("ordinal") / STRETCH).alias("part")
+    prints = by_chunk.select("doc_id", "ordinal", "same", "prints").dropDuplicates(["doc_id", "ordinal", "same"]).join(stands, "doc_id")
+    prints = materialize(prints.groupBy("doc_id", "batch", "text", part).agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints")), "prints")
+    forget(by_chunk)
+    store, out = Store(max(4, 2 * input_parts(chunks))), None
+    for k in range(len(cuts) + 1):
+        repeats = ingest(docs.where(number == k), prints.where(F.col("batch") == k).select("doc_id", "text", "prints"), store, chunks)
         out = repeats if out is None else out.unionByName(repeats)
     return out.select(F.least("doc_id", "first").alias("doc_a"), F.greatest("doc_id", "first").alias("doc_b")).distinct()
