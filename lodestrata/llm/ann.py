@@ -168,7 +168,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _searched(k: int, least: float, dim: int):
+def _searched(k: int, least: float, dim: int, beam: int):
     def run(group: pa.Table) -> pa.Table:
         inserted = group.column("inserted").to_numpy(zero_copy_only=False).astype(bool)
         rows, vectors = group.column("row").to_numpy(), _matrix(group.column("unit"), dim)
@@ -185,7 +185,7 @@ def _searched(k: int, least: float, dim: int):
                     starts = np.full((len(some), 1), entry)
                     if known:
                         starts = np.concatenate([starts, edges[at : at + len(some)]], axis=1)
-                    ids, sims = beam_search(x, edges, vectors[some], starts)
+                    ids, sims = beam_search(x, edges, vectors[some], starts, beam)
                     ids = np.minimum(ids, len(own) - 1)
                     good = (sims >= least) & (sims > -2) & (own[ids] != rows[some][:, None])
                     good &= np.cumsum(good, axis=1) <= k
@@ -199,7 +199,7 @@ def _searched(k: int, least: float, dim: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int = PROBES, queries: DataFrame | None = None, dim: int = DIM) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int = PROBES, queries: DataFrame | None = None, dim: int = DIM, beam: int = BEAM) -> DataFrame:
     """row, neighbour, similarity, rank (1 .. k, ties by smaller row) of each row of ``vectors`` (embedding_row, embedding).
 
     Neighbours below ``least`` are left out; ``queries`` (embedding_row) restricts whose neighbours come out. Null rows, and vectors that are
@@ -227,7 +227,9 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int
     mine = F.pmod(F.col("same"), F.col("shards")).cast("int")
     each = each.withColumn("mine", F.when(F.col("near") == 0, mine).otherwise(F.lit(-1))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     each = each.select("cell", "shard", "row", "unit", (F.col("mine") == F.col("shard")).alias("inserted"))
-    near = each.groupBy("cell", "shard").applyInArrow(_searched(k, least, dim), "a bigint, b bigint, sim double")
+    # a task takes a few shards, at every size of the table
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(max(1, round(m / SHARD)) for m in counts.values()) // 8)
+    near = each.repartition(tasks, "cell", "shard").groupBy("cell", "shard").applyInArrow(_searched(k, least, dim, beam), "a bigint, b bigint, sim double")
     # rows for nodes again: both ends, with the members that can matter
     ends = members.select("rep", "members")
     own = placed.select("row", "same").join(members, "same").select(F.col("row").alias("x"), "members", "rep")

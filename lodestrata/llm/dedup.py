@@ -22,17 +22,24 @@ from lodestrata.session import forget, input_parts, materialize
 GRAM, WINDOW = 8, 8
 #: Words of a sequence, and the part of all sequences of two documents that both must have.
 SHINGLE, LEAST = 3, 0.7
-#: Documents that repeat each other share at least this part of the fingerprints (measured: 0.6 at the least similar pairs).
-COVERED = 0.45
+#: Documents that repeat each other share at least this part of the fingerprints (measured: 0.6 at the least similar pairs
+#: of the test tables, 0.38 where copies are cut into chunks in other places).
+COVERED = 0.38
 #: Fingerprints are kept in so many bits; equal ones of different words only make a pair that verification drops.
 PRINT_BITS = 40
 #: The part of its fingerprints, the rarest, that a document is looked up with. A pair that shares COVERED of them shares at least
 #: COVERED + PROBED - 1 of them among those, whatever the order.
-PROBED = 0.65
+PROBED = 0.7
+#: Documents of so few fingerprints are looked up with all of them, and one shared is enough: a few words changed leave little in common.
+FEW = 16
+#: Fingerprints of the document with fewer, as a part of the other's, at least.
+ALIKE = 0.45
 BLOOM_BITS, BLOOM_HASHES = 12, 4
 #: Fingerprints of one Bloom partition, about.
 BLOOM_ROWS = 200_000
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
+#: Chunks that are taken apart together: what a task holds as single words.
+TOGETHER = 2_000
 
 _TOKEN = re.compile(r"[^\W_]+|\x01")
 
@@ -111,9 +118,15 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def _chunk_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "ordinal", "words", "same", "prints"]
-    for batch in batches:
+    for batch in _small(batches):
         words, first, counts = word_hashes(batch.column(2).to_pylist())
         owner, prints = winnow(words, first, counts)
         position = np.arange(len(words)) - np.repeat(first, counts)
@@ -191,7 +204,7 @@ def _screen(batch: pa.Table, blooms: pa.Table) -> pa.Table:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         words, first, counts = word_hashes(batch.column(2).to_pylist())
         owner = np.repeat(np.arange(len(counts)), counts)
         g = grams(words, SHINGLE)
@@ -286,9 +299,9 @@ class Store:
         return prints.select(F.explode("prints").alias("print")).select("print", F.pmod("print", F.lit(self.parts)).cast("int").alias("part"))
 
     def hits(self, prints: DataFrame) -> DataFrame:
-        """(print, doc_id) of the store for those fingerprints of the batch that the Bloom filters let pass."""
+        """(print, doc_id, size) of the store for those fingerprints of the batch that the Bloom filters let pass."""
         screened = self._parted(prints).groupBy("part").cogroup(self.blooms.groupBy("part")).applyInArrow(_screen, "print bigint")
-        return self.prints.select(F.explode("prints").alias("print"), "doc_id").join(screened, "print", "left_semi")
+        return self.prints.select(F.explode("prints").alias("print"), "doc_id", "size").join(screened, "print", "left_semi")
 
     def add(self, accepted: DataFrame, prints: DataFrame) -> None:
         """Takes in accepted documents of a batch, and what stands for their classes."""
@@ -300,7 +313,7 @@ class Store:
         if self.waiting is None:
             return
         accepted, prints = self.waiting
-        new = materialize(prints.join(accepted.select("text").distinct(), "text", "left_semi").select("doc_id", "text", "prints"), "store-prints")
+        new = materialize(prints.join(accepted.select("text").distinct(), "text", "left_semi").select("doc_id", "text", "size", "prints"), "store-prints")
         blooms = materialize(self._parted(new).groupBy("part").applyInArrow(_build, "part int, bits binary"), "store-blooms")
         join = lambda old, more: more if old is None else old.unionByName(more)
         self.documents, self.prints, self.blooms = join(self.documents, accepted), join(self.prints, new), join(self.blooms, blooms)
@@ -316,25 +329,21 @@ def candidates(prints: DataFrame, store: Store) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    own = prints.select(F.explode("prints").alias("print"), "doc_id", F.lit(True).alias("new"))
-    size_of = lambda rows: rows.groupBy("doc_id").agg(F.sum(F.size("prints")).alias("size"))
-    sizes = size_of(prints)
+    own = prints.select(F.explode("prints").alias("print"), "doc_id", "size", F.lit(True).alias("new"))
     if store.prints is not None:
         own = own.unionByName(store.hits(prints).withColumn("new", F.lit(False)))
-        sizes = sizes.unionByName(size_of(store.prints))
     counted = own.withColumn("df", F.count("*").over(W.partitionBy("print"))).where("df > 1")
-    postings = materialize(counted.select("print", "doc_id", "new", F.floor(4 * F.log2("df")).cast("int").alias("step")), "postings")
-    steps = postings.where("new").groupBy("doc_id", "step").agg(F.count("*").alias("k")).join(sizes, "doc_id")
+    postings = materialize(counted.select("print", "doc_id", "new", "size", F.floor(4 * F.log2("df")).cast("int").alias("step")), "postings")
+    steps = postings.where("new").groupBy("doc_id", "step", "size").agg(F.count("*").alias("k"))
     w = W.partitionBy("doc_id")
     alone = F.col("size") - F.sum("k").over(w)
     below = alone + F.coalesce(F.sum("k").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("below", below).where(F.col("below") < F.ceil(F.col("size") * PROBED)).select("doc_id", "step")
-    probes = postings.where("new").join(steps, ["doc_id", "step"]).select("print", F.col("doc_id").alias("a"))
-    pairs = probes.join(postings.select("print", F.col("doc_id").alias("b")), "print").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("size").alias(f"size_{side}")), side)
-    enough = F.greatest(F.lit(1.0), (COVERED + PROBED - 1) * F.greatest("size_a", "size_b"))
-    return pairs.where(F.col("k") >= enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    steps = steps.withColumn("below", below).where((F.col("size") <= FEW) | (F.col("below") < F.ceil(F.col("size") * PROBED))).select("doc_id", "step")
+    probes = postings.where("new").join(steps, ["doc_id", "step"]).select("print", F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
+    pairs = probes.join(postings.select("print", F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "print").where("a <> b")
+    large = F.greatest("size_a", "size_b")
+    pairs = pairs.where(F.least("size_a", "size_b") >= ALIKE * large).groupBy("a", "b").agg(F.count("*").alias("k"), F.first(large).alias("size"))
+    return pairs.where((F.col("size") <= FEW) | (F.col("k") >= (COVERED + PROBED - 1) * F.col("size"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
@@ -346,32 +355,34 @@ def similar(prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
 
 
 def _linked(rest: DataFrame, accepted: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc, first): each of ``rest`` with the accepted documents that it repeats."""
-    a = accepted.select(F.col("doc_id").alias("first"), F.col("text").alias("a_text"), F.col("sha").alias("a_sha"))
-    by_text = rest.join(a, F.col("text") == F.col("a_text")).select("doc_id", "first")
-    by_sha = rest.join(a, F.col("sha") == F.col("a_sha")).select("doc_id", "first")
-    by_link = rest.join(links, "text").join(a, F.col("other") == F.col("a_text")).select("doc_id", "first")
-    return by_text.unionByName(by_sha).unionByName(by_link).where("doc_id <> first").distinct()
+    """(doc_id, first): each of ``rest`` with the accepted documents before it that it repeats."""
+    a = accepted.select(F.col("doc_id").alias("first"), F.col("at").alias("first_at"), F.col("text").alias("a_text"), F.col("sha").alias("a_sha"))
+    by_text = rest.join(a, F.col("text") == F.col("a_text"))
+    by_sha = rest.join(a, F.col("sha") == F.col("a_sha"))
+    by_link = rest.join(links, "text").join(a, F.col("other") == F.col("a_text"))
+    found = None
+    for rows in (by_text, by_sha, by_link):
+        rows = rows.where("first_at < at").select("doc_id", "first")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
 
 
 def decide(batch: DataFrame, links: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """(accepted, repeats (doc_id, first)) of a batch: a document is accepted unless it repeats an accepted one that came before it.
 
-    Documents before which nothing undecided stands among their copies and links are accepted together, then all that repeat them are
-    settled; so a group of copies takes one round, and no pairs within it are formed.
+    Documents before which nothing undecided stands among their copies and links are accepted together, then all that repeat them leave; so a
+    group of copies takes one round, and no pairs within it are formed. When all is decided, what isn't accepted is paired with all accepted
+    documents before it, of the history and of the batch.
     """
     links = materialize(links.select(F.col("x").alias("text"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("text"), F.col("x").alias("other"))), "links")
-    found = []
     rest = batch
     if store.documents is not None:
-        repeats = materialize(_linked(rest, store.documents, links), "repeats")
-        found.append(repeats)
-        rest = rest.join(repeats.select("doc_id").distinct(), "doc_id", "left_anti")
+        rest = rest.join(_linked(rest, store.documents, links).select("doc_id").distinct(), "doc_id", "left_anti")
     # what has no copy and no link is accepted at once
     n_text, n_sha = (rest.where(f"{c} is not null").groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c) for c in ("text", "sha"))
     tied = rest.join(n_text, "text", "left_semi").unionByName(rest.join(n_sha, "sha", "left_semi")).unionByName(rest.join(links.select("text").distinct(), "text", "left_semi"))
     tied = materialize(tied.select("doc_id").distinct(), "tied")
-    accepted = [rest.join(tied, "doc_id", "left_anti")]
+    accepted = [rest.join(tied, "doc_id", "left_anti").select("doc_id")]
     rest = materialize(rest.join(tied, "doc_id"), "rest")
     while not rest.isEmpty():
         first_text = rest.where("text is not null").groupBy("text").agg(F.min("at").alias("by_text"))
@@ -379,18 +390,17 @@ def decide(batch: DataFrame, links: DataFrame, store: Store) -> tuple[DataFrame,
         first_link = links.join(first_text.withColumnRenamed("text", "other"), "other").groupBy("text").agg(F.min("by_text").alias("by_link"))
         at = rest.join(first_text, "text", "left").join(first_sha, "sha", "left").join(first_link, "text", "left")
         least = F.least("at", F.coalesce("by_text", "at"), F.coalesce("by_sha", "at"), F.coalesce("by_link", "at"))
-        now = materialize(at.where(F.col("at") == least).select(*batch.columns), "accepted")
-        repeats = materialize(_linked(rest.join(now, "doc_id", "left_anti"), now, links), "repeats")
-        accepted.append(now)
-        found.append(repeats)
-        rest = materialize(rest.join(now, "doc_id", "left_anti").join(repeats.select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
-    whole = accepted[0]
+        now = materialize(at.where(F.col("at") == least).select(*batch.columns), "now")
+        accepted.append(now.select("doc_id"))
+        left = rest.join(now, "doc_id", "left_anti")
+        rest = materialize(left.join(_linked(left, now, links).select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
+    ids = accepted[0]
     for more in accepted[1:]:
-        whole = whole.unionByName(more)
-    pairs = found[0] if found else batch.select("doc_id", F.col("doc_id").alias("first")).limit(0)
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return materialize(whole, "accepted"), pairs
+        ids = ids.unionByName(more)
+    ids = materialize(ids, "accepted-ids")
+    whole = materialize(batch.join(ids, "doc_id"), "accepted")
+    every = whole if store.documents is None else store.documents.unionByName(whole)
+    return whole, materialize(_linked(batch.join(ids, "doc_id", "left_anti"), every, links), "repeats")
 
 
 def ingest(batch: DataFrame, prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
@@ -414,14 +424,18 @@ def found(documents: DataFrame, chunks: DataFrame, batches: int = 2) -> DataFram
     day = F.col("at.t") - F.pmod(F.col("at.t"), F.lit(86_400_000_000))
     cuts = sorted(set(docs.select(day.alias("day")).approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01))) if batches > 1 else []
     number = sum(((F.col("at.t") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0)).alias("batch")
-    stands = docs.where("text is not null").groupBy(number, "text").agg(F.min("doc_id").alias("doc_id"))
+    stands = docs.where("text is not null").groupBy(number, "text").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
     # the chunks of a document, but for a very long one, come together here; a long one stays in parts of its own
-    part = F.floor(F.col("ordinal") / STRETCH).alias("part")
+    part = F.when(F.col("words") > STRETCH * 16, F.floor(F.col("ordinal") / STRETCH)).otherwise(0).alias("part")
     prints = by_chunk.select("doc_id", "ordinal", "same", "prints").dropDuplicates(["doc_id", "ordinal", "same"]).join(stands, "doc_id")
-    prints = materialize(prints.groupBy("doc_id", "batch", "text", part).agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints")), "prints")
+    prints = prints.groupBy("doc_id", "batch", "text", "words", part).agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints"))
+    # how many a document has: counted, but for a very long one, of which its words tell it
+    long = F.col("words") > STRETCH * 16
+    size = F.when(long, (F.col("words") * 2 / (WINDOW + 1)).cast("int")).otherwise(F.size("prints"))
+    prints = materialize(prints.withColumn("size", size).select("doc_id", "batch", "text", "size", "prints"), "prints")
     forget(by_chunk)
     store, out = Store(max(4, 2 * input_parts(chunks))), None
     for k in range(len(cuts) + 1):
-        repeats = ingest(docs.where(number == k), prints.where(F.col("batch") == k).select("doc_id", "text", "prints"), store, chunks)
+        repeats = ingest(docs.where(number == k), prints.where(F.col("batch") == k).select("doc_id", "text", "size", "prints"), store, chunks)
         out = repeats if out is None else out.unionByName(repeats)
     return out.select(F.least("doc_id", "first").alias("doc_a"), F.greatest("doc_id", "first").alias("doc_b")).distinct()

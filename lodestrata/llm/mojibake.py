@@ -56,14 +56,21 @@ def _as_bytes(text: str, encoding: str) -> bytes | None:
         return None
 
 
+def _usual(c: str) -> bool:
+    """Whether a sign belongs to a script or to signs that texts are written with; rare scripts are what chance pairs of signs decode to."""
+    n = ord(c)
+    return 0xA0 <= n <= 0x24F or 0x300 <= n <= 0x45F or 0x5D0 <= n <= 0x6FF or 0x1E00 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or n >= 0xF900
+
+
 def _utf8(text: str, encoding: str) -> str | None:
     raw = _as_bytes(text, encoding)
     if raw is None:
         return None
     try:
-        return raw.decode("utf-8")
+        out = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
+    return out if all(map(_usual, out)) or _as_bytes(out, encoding) is not None else None
 
 
 @cache
@@ -110,7 +117,7 @@ def decodings(unit: str) -> tuple[tuple[str, str], ...]:
         once = _utf8(unit, e)
         if once is None:
             continue
-        if len(once) == 1:
+        if len(once) == 1 and _usual(once):
             out[f"utf8>{e}"] = once
         elif (twice := _utf8(once, e)) is not None and len(twice) == 1:
             out[f"utf8>{e}>utf8>{e}"] = twice
