@@ -69,6 +69,11 @@ def bm25_topk(spark, d):
     return _rounded(retrieve.bm25(_rows(spark, d), _questions(spark, d), 10))
 
 
+def all_questions(spark, d):
+    """BM25 of every question in the log. For the smallest tables; larger ones take the stated query set."""
+    return _rounded(retrieve.bm25(_rows(spark, d), corpus.once(table(spark, d, "requests")).select("query_id", "query"), 10))
+
+
 def bm25_topk_masked(spark, d):
     return _rounded(retrieve.bm25(_rows(spark, d), _questions(spark, d), 10, _english(spark, d)))
 
