@@ -8,7 +8,8 @@ over that graph answers each query. Equal vectors are one node, however many row
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SHARD, BATCH = 1_200, 256
 #: Centres are fitted on a sample of so many vectors each, and there are no more than MOST_CELLS; beyond that a cell has several shards.
 PER_CELL, MOST_CELLS, LEAST_SAMPLE = 32, 4_096, 8_192
 PROBES = 2
+#: Where all neighbours count, not only the very similar ones: vectors of a shard, and the cells searched at least.
+WIDE_SHARD, LEAST_PROBES = 4_800, 6
 SEED = 5
 
 # --- the graph of one shard ------------------------------------------------------------------------------------------------------------------
@@ -148,6 +151,11 @@ def fit_centres(sample: np.ndarray, cells: int, seed: int = SEED, rounds: int =
     return centres
 
 
+def growing_probes(cells: int) -> int:
+    """How many cells to search of so many: neighbours spread over more cells as a table grows, so a fixed number loses them."""
+    return max(LEAST_PROBES, math.ceil(2 * math.sqrt(cells) / 3))
+
+
 def _assigned(centres: np.ndarray, probes: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,6 +176,29 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
+def _compared(k: int, least: float, dim: int):
+    """As :func:`_searched`, but every vector of a shard meets all that were inserted."""
+
+    def run(group: pa.Table) -> pa.Table:
+        inserted = group.column("inserted").to_numpy(zero_copy_only=False).astype(bool)
+        rows, vectors = group.column("row").to_numpy(), _matrix(group.column("unit"), dim)
+        own, x, out = rows[inserted], vectors[inserted], []
+        for at in range(0, len(rows) if len(own) else 0, 1024):
+            sims = vectors[at : at + 1024] @ x.T
+            ids = np.argpartition(-sims, k, axis=1)[:, : k + 1] if len(own) > k + 1 else np.broadcast_to(np.arange(len(own)), sims.shape)
+            a = np.repeat(np.arange(at, at + len(ids)), ids.shape[1])
+            b = ids.ravel()
+            other = own[b] != rows[a]
+            a, b = a[other], b[other]
+            exact = np.einsum("ij,ij->i", vectors[a].astype(np.float64), x[b].astype(np.float64))
+            good = exact >= least
+            out.append((rows[a[good]], own[b[good]], exact[good]))
+        cat = lambda i, t: np.concatenate([o[i] for o in out]) if out else np.empty(0, t)
+        return pa.table({"a": pa.array(cat(0, np.int64)), "b": pa.array(cat(1, np.int64)), "sim": pa.array(cat(2, np.float64))})
+
+    return run
+
+
 def _searched(k: int, least: float, dim: int, beam: int):
     def run(group: pa.Table) -> pa.Table:
         inserted = group.column("inserted").to_numpy(zero_copy_only=False).astype(bool)
@@ -199,16 +230,18 @@ def _searched(k: int, least: float, dim: int, beam: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int = PROBES, queries: DataFrame | None = None, dim: int = DIM, beam: int = BEAM) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int | Callable[[int], int] = PROBES, queries: DataFrame | None = None, dim: int = DIM, beam: int | None = BEAM, shard: int | None = None) -> DataFrame:
     """row, neighbour, similarity, rank (1 .. k, ties by smaller row) of each row of ``vectors`` (embedding_row, embedding).
 
     Neighbours below ``least`` are left out; ``queries`` (embedding_row) restricts whose neighbours come out. Null rows, and vectors that are
-    null, all zero, not finite or of another length than ``dim``, neither have neighbours nor are any. Of a repeated row one counts.
+    null, all zero, not finite or of another length than ``dim``, neither have neighbours nor are any. Of a repeated row one counts. ``probes``
+    is a number of cells, or gives one for how many there are; ``shard`` is how many vectors a shard has, about; without ``beam`` shards are searched whole.
     """
-    spark = vectors.sparkSession
+    spark, shard = vectors.sparkSession, shard or SHARD
     source = vectors.where("embedding_row is not null").select(F.col("embedding_row").cast("bigint").alias("row"), "embedding")
     n = source.count()
-    cells = int(min(MOST_CELLS, max(1, n // SHARD)))
+    cells = int(min(MOST_CELLS, max(1, n // shard)))
+    probes = probes(cells) if callable(probes) else probes
     want = max(LEAST_SAMPLE, PER_CELL * cells)
     share = min(1.0, 1.2 * want / max(1, n))
     drawn = source.where(F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(2 * want).toArrow()
@@ -222,14 +255,14 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int
     members = materialize(firsts.groupBy("same").agg(F.min("row").alias("rep"), F.sort_array(F.collect_set("row")).alias("members")), "members")
     nodes = placed.join(dups, "same", "left").where("rep is null or rep = row").select("row", "same", "unit", "cells")
     counts = {r[0]: r[1] for r in nodes.groupBy(F.col("cells")[0]).agg(F.count("*")).collect()}  # one row a cell
-    shards = spark.createDataFrame([(c, max(1, round(m / SHARD))) for c, m in counts.items()] or [(0, 1)], "cell int, shards int")
+    shards = spark.createDataFrame([(c, max(1, round(m / shard))) for c, m in counts.items()] or [(0, 1)], "cell int, shards int")
     each = nodes.select("row", "same", "unit", F.posexplode("cells").alias("near", "cell")).join(F.broadcast(shards), "cell")
     mine = F.pmod(F.col("same"), F.col("shards")).cast("int")
     each = each.withColumn("mine", F.when(F.col("near") == 0, mine).otherwise(F.lit(-1))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     each = each.select("cell", "shard", "row", "unit", (F.col("mine") == F.col("shard")).alias("inserted"))
     # a task takes a few shards, at every size of the table
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(max(1, round(m / SHARD)) for m in counts.values()) // 8)
-    near = each.repartition(tasks, "cell", "shard").groupBy("cell", "shard").applyInArrow(_searched(k, least, dim, beam), "a bigint, b bigint, sim double")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(max(1, round(m / shard)) for m in counts.values()) // 8)
+    near = each.repartition(tasks, "cell", "shard").groupBy("cell", "shard").applyInArrow(_searched(k, least, dim, beam) if beam else _compared(k, least, dim), "a bigint, b bigint, sim double")
     # rows for nodes again: both ends, with the members that can matter
     ends = members.select("rep", "members")
     own = placed.select("row", "same").join(members, "same").select(F.col("row").alias("x"), "members", "rep")

@@ -23,7 +23,7 @@ def p3_found(spark, d):
 
 
 def p3_neighbours(spark, d):
-    return ann.neighbours(table(spark, d, "chunk_vectors"), probes=6, beam=64, queries=table(spark, d, "chunks").select("embedding_row"))
+    return ann.neighbours(table(spark, d, "chunk_vectors"), probes=ann.growing_probes, beam=None, shard=ann.WIDE_SHARD, queries=table(spark, d, "chunks").select("embedding_row"))
 
 
 def p4_found(spark, d):

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lodestrata.llm import ann
+from lodestrata.llm import ann, queries
 
 
 def data(seed=0, n=3000, d=16):
@@ -59,3 +59,19 @@ def test_empty_and_queries(spark):
     assert ann.neighbours(df.where("false"), dim=2).count() == 0
     q = spark.createDataFrame([(1,), (None,)], "embedding_row bigint")
     assert [(r.row, r.neighbour, r["rank"]) for r in ann.neighbours(df, k=2, queries=q, dim=2).orderBy("rank").collect()] == [(1, 2, 1), (1, 3, 2)]
+
+
+def test_neighbours_of_many_cells(spark, monkeypatch, tmp_path):
+    # shards a fiftieth of their size stand for a table of fifty times the rows
+    monkeypatch.setattr(ann, "SHARD", 24)
+    monkeypatch.setattr(ann, "WIDE_SHARD", 96, raising=False)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(6000, 10)) @ rng.normal(size=(10, ann.DIM))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "embedding_row bigint, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    df.select("embedding_row").where("embedding_row % 10 = 0").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r.row, r.neighbour) for r in queries.p3_neighbours(spark, str(tmp_path)).collect()}
+    top, _ = exact(x, 5)
+    wanted = {(i, int(j)) for i in range(0, len(x), 10) for j in top[i]}
+    assert len(wanted & got) / len(wanted) > 0.9
