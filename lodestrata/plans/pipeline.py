@@ -55,14 +55,13 @@ def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors
     )
     search = asked.where("reason is null and t.intent = 'search'")
     texts = F.concat(F.array("t.rewritten_query"), F.col("t.expansion_queries"))
-    parts = embed(search.select("query_id", F.posexplode(texts).alias("part", "query")), "query", provider, "vector")
+    parts = embed(search.select("query_id", F.col("masked_rows").alias("limited"), F.posexplode(texts).alias("part", "query")), "query", provider, "vector")
     live = corpus.published(chunks, documents)
     rows, matrix = token_rows(live), vectors.withColumnRenamed("embedding_row", "row").join(live.select(F.col("embedding_row").alias("row")), "row", "left_semi")
-    found = materialize(hybrid(rows, matrix, materialize(parts, "parts"), settings=settings), "found")
-    limits = corpus.allowed_rows(corpus.once(requests), chunks, documents).withColumn("ok", F.lit(1))
-    bound = found.join(search.select("query_id", "masked_rows"), "query_id").join(limits, ["query_id", "row"], "left").where("not masked_rows or ok = 1")
+    limits = materialize(corpus.allowed_rows(corpus.once(requests), chunks, documents), "limits")
+    found = materialize(hybrid(rows, matrix, materialize(parts, "parts"), settings=settings, within=limits), "found")
     w = Window.partitionBy("query_id").orderBy("rank")
-    window = rank.window_of(bound.withColumn("rank", F.row_number().over(w)).select("query_id", "row", "score", "rank"), settings)
+    window = rank.window_of(found, settings)
     body = live.select(F.col("embedding_row").alias("row"), "text")
     listed = window.join(body, "row").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
     scored = chat(listed.join(search.where("reranked"), "query_id").withColumn("prompt", prompts.rerank_prompt(F.col("t.rewritten_query"), F.col("texts"))), "prompt", provider)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.config import Settings
 from lodestrata.operators import index, rank, retrieve
+from lodestrata.operators.provider import FakeProvider
+from lodestrata.plans import pipeline
 
 
 def rows_of(spark, texts):
@@ -107,3 +109,23 @@ def test_diversify_only_beyond_top_k(spark):
     two = rank.diversify(c, v, 2, Settings(mmr_lambda=0.5)).orderBy("rank").collect()
     assert [r.row for r in two] == [0, 2]
     assert [r.row for r in rank.diversify(c, v, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+HYPOTHESIS = "A paragraph that could stand in a document"
+
+
+def asked(spark, provider, document_ids, reranked):
+    """The answer to one question of 201 documents, of which the last is far from the question and near the hypothetical answer."""
+    rng = np.random.default_rng(6)
+    mine, other = provider.embed_batch(["zeta question", HYPOTHESIS]).astype(float)
+    vectors = [(i, (mine + 0.05 * rng.normal(size=64)).tolist()) for i in range(200)] + [(200, other.tolist())]
+    documents = spark.createDataFrame([(i, f"f{i}", "ready", 0) for i in range(201)], "doc_id bigint, filename string, status string, is_deleted int")
+    chunks = spark.createDataFrame([(i, i, 1, f"filler {i}" if i < 200 else "TARGET passage", None, i) for i in range(201)], "id bigint, doc_id bigint, page int, text string, section_title string, embedding_row bigint")
+    fields = "query_id bigint, query string, top_k int, answer_format string, document_ids array<bigint>, enable_llm_rerank boolean, logged_at timestamp"
+    requests = spark.createDataFrame([(1, "zeta question", 5, None, document_ids, reranked, None)], fields)
+    return pipeline.answer(requests, documents, chunks, spark.createDataFrame(vectors, "embedding_row bigint, embedding array<float>"), provider).first()
+
+
+def test_a_request_searches_its_own_documents(spark):
+    got = asked(spark, FakeProvider(64), [200], False)
+    assert got.refusal_reason is None and [c.document_id for c in got.citations] == [200]
