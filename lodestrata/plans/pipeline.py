@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.config import DEFAULTS, Settings
 from lodestrata.functions import parsing, prompts
 from lodestrata.functions.policy import GREETING, apply_policy
-from lodestrata.functions.text import indexed_text
+from lodestrata.functions.text import indexed_text, strip
 from lodestrata.operators import answer as A
 from lodestrata.operators import chunking, corpus, rank
 from lodestrata.operators.index import token_rows
@@ -59,13 +59,26 @@ def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors
     live = corpus.published(chunks, documents)
     rows, matrix = token_rows(live), vectors.withColumnRenamed("embedding_row", "row").join(live.select(F.col("embedding_row").alias("row")), "row", "left_semi")
     limits = materialize(corpus.allowed_rows(corpus.once(requests), chunks, documents), "limits")
-    found = materialize(hybrid(rows, matrix, materialize(parts, "parts"), settings=settings, within=limits), "found")
+    parts = materialize(parts, "parts")
+    found = materialize(hybrid(rows, matrix, parts, settings=settings, within=limits), "found")
     w = Window.partitionBy("query_id").orderBy("rank")
-    window = rank.window_of(found, settings)
     body = live.select(F.col("embedding_row").alias("row"), "text")
-    listed = window.join(body, "row").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
-    scored = chat(listed.join(search.where("reranked"), "query_id").withColumn("prompt", prompts.rerank_prompt(F.col("t.rewritten_query"), F.col("texts"))), "prompt", provider)
-    ranked = materialize(rank.rerank(window, scored.select("query_id", parsing.rerank_reply(F.col("reply")).alias("scores"))), "ranked")
+
+    def reranked(found: DataFrame) -> DataFrame:
+        window = rank.window_of(found, settings)
+        listed = window.join(body, "row").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+        scored = chat(listed.join(search.where("reranked"), "query_id").withColumn("prompt", prompts.rerank_prompt(F.col("t.rewritten_query"), F.col("texts"))), "prompt", provider)
+        return materialize(rank.rerank(window, scored.select("query_id", parsing.rerank_reply(F.col("reply")).alias("scores"))), "ranked")
+
+    first = reranked(found)
+    # weak evidence: once more, with the vector of a hypothetical answer
+    weak = search.where("reranked").join(rank.evidence(first, settings).where("weak"), "query_id", "left_semi")
+    guessed = chat(weak.select("query_id", prompts.hyde_prompt(F.col("t.rewritten_query")).alias("prompt")), "prompt", provider)
+    guessed = materialize(guessed.select("query_id", strip(F.col("reply")).alias("reply")).where("reply <> ''"), "guessed")
+    extra = materialize(embed(guessed, "reply", provider, "vector"), "guessed-vectors")
+    again = hybrid(rows, matrix, parts.join(guessed, "query_id", "left_semi"), extra=extra, settings=settings, within=limits)
+    second = reranked(materialize(again, "found-again"))
+    ranked = first.join(guessed, "query_id", "left_anti").unionByName(second)
     gates = rank.evidence(ranked, settings)
     good = ranked.join(gates.where("passed"), "query_id", "left_semi").where("score > 0")
     good = good.withColumn("rank", F.row_number().over(w))

@@ -129,3 +129,10 @@ def asked(spark, provider, document_ids, reranked):
 def test_a_request_searches_its_own_documents(spark):
     got = asked(spark, FakeProvider(64), [200], False)
     assert got.refusal_reason is None and [c.document_id for c in got.citations] == [200]
+
+
+def test_weak_evidence_tries_a_hypothetical_answer(spark):
+    all_good = '{"scores": [' + ", ".join(f'{{"id": "{i}", "score": 0.9}}' for i in range(40)) + "]}"
+    rules = (("^Write a short", HYPOTHESIS), ("(?s)^Score.*TARGET", all_good))
+    assert asked(spark, FakeProvider(64, rules), None, True).refusal_reason is None
+    assert asked(spark, FakeProvider(64, rules[1:]), None, True).refusal_reason == "insufficient_evidence"
