@@ -35,8 +35,8 @@ def _matrix(spark, d):
 
 
 def _probes(spark, d):
-    """The stated query set of vector searches: every row divisible by 100 that has a section title, its title as text, its vector as vector."""
-    titled = _live(spark, d).where("embedding_row % 100 = 0 and section_title is not null").select(F.col("embedding_row").alias("query_id"), F.col("section_title").alias("query"))
+    """The stated query set of vector searches: every row divisible by 100, its section title, else its text, as text, its vector as vector."""
+    titled = _live(spark, d).where("embedding_row % 100 = 0").select(F.col("embedding_row").alias("query_id"), F.coalesce("section_title", "text").alias("query"))
     own = table(spark, d, "chunk_vectors").select(F.col("embedding_row").alias("query_id"), F.col("embedding").alias("vector"))
     return titled.join(own, "query_id")
 
