@@ -16,3 +16,10 @@ def test_probes_need_no_title(spark):
     rows = catalog._live(spark, d).where("embedding_row % 100 = 0").join(table(spark, d, "chunk_vectors"), "embedding_row")
     assert {r.query_id for r in catalog._probes(spark, d).collect()} == {r.embedding_row for r in rows.select("embedding_row").collect()}
     assert rows.where("section_title is null").count() > 0
+
+
+def test_every_hash_is_offered(spark):
+    d = "/root/testdata/sf0.01"
+    rows = table(spark, d, "documents").where("sha256 is not null").collect()
+    known = {r.sha256.lower() for r in rows if r.status == "ready" and r.is_deleted == 0}
+    assert {r.sha256 for r in catalog.dedup_sha256(spark, d).collect()} == {r.sha256.lower() for r in rows} - known
