@@ -18,22 +18,22 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import forget, input_parts, materialize
 
-#: Words of a fingerprint, and how many neighbouring ones give one fingerprint. Windows may not be longer than fingerprints.
-GRAM, WINDOW = 8, 8
 #: Words of a sequence, and the part of all sequences of two documents that both must have.
 SHINGLE, LEAST = 3, 0.7
-#: Documents that repeat each other share at least this part of the fingerprints (measured: 0.6 at the least similar pairs
-#: of the test tables, 0.38 where copies are cut into chunks in other places).
-COVERED = 0.38
+#: Words of a fingerprint, and how many neighbouring ones give one fingerprint. Windows may not be longer than fingerprints. Fingerprints
+#: are the very sequences that are compared, so what documents share of them is bounded by how similar they are.
+GRAM, WINDOW = SHINGLE, 1
+#: Documents that repeat each other share at least this part of the larger one's sequences: both have LEAST of all.
+COVERED = LEAST
 #: Fingerprints are kept in so many bits; equal ones of different words only make a pair that verification drops.
 PRINT_BITS = 40
 #: The part of its fingerprints, the rarest, that a document is looked up with. A pair that shares COVERED of them shares at least
-#: COVERED + PROBED - 1 of them among those, whatever the order.
-PROBED = 0.7
-#: Documents of so few fingerprints are looked up with all of them, and one shared is enough: a few words changed leave little in common.
-FEW = 16
+#: COVERED + PROBED - 1 of the larger one's among those, whatever the order.
+PROBED = 0.5
 #: Fingerprints of the document with fewer, as a part of the other's, at least.
-ALIKE = 0.45
+ALIKE = LEAST
+#: So many sequences may be missing for each joint between the stretches of a very long document, which aren't put together here.
+JOINT = SHINGLE - 1
 BLOOM_BITS, BLOOM_HASHES = 12, 4
 #: Fingerprints of one Bloom partition, about.
 BLOOM_ROWS = 200_000
@@ -125,7 +125,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "ordinal", "words", "same", "prints"]
+    names, edge, kind = ["doc_id", "ordinal", "words", "same", "prints", "head", "tail"], SHINGLE - 1, pa.list_(pa.int64())
     for batch in _small(batches):
         words, first, counts = word_hashes(batch.column(2).to_pylist())
         owner, prints = winnow(words, first, counts)
@@ -134,15 +134,37 @@ def _chunk_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             each = _mixed(words + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         same = np.bitwise_xor.reduceat(np.append(each, np.uint64(0)), np.minimum(first, len(each))) if len(first) else np.empty(0, np.uint64)
         same = np.where(counts > 0, same, np.uint64(0))
+        head = pa.array([words[f : f + min(c, edge)].view(np.int64).tolist() for f, c in zip(first, counts)], kind)
+        tail = pa.array([words[f + c - min(c, edge) : f + c].view(np.int64).tolist() for f, c in zip(first, counts)], kind)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(same.view(np.int64)), _lists(owner, prints.view(np.int64), len(counts), pa.int64())], names=names
+            [batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(same.view(np.int64)), _lists(owner, prints.view(np.int64), len(counts), pa.int64()), head, tail], names=names
         )
 
 
 def chunk_prints(chunks: DataFrame) -> DataFrame:
-    """doc_id, ordinal, words (how many), same (a hash of them in order), prints (fingerprints) of each chunk. A null ordinal counts as 0."""
+    """doc_id, ordinal, words (how many), same (a hash of them in order), prints (fingerprints), head and tail (the words at its ends) of each
+    chunk. A null ordinal counts as 0."""
     rows = chunks.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"), "text")
-    return rows.mapInArrow(_chunk_prints, "doc_id bigint, ordinal int, words bigint, same bigint, prints array<bigint>")
+    return rows.mapInArrow(_chunk_prints, "doc_id bigint, ordinal int, words bigint, same bigint, prints array<bigint>, head array<bigint>, tail array<bigint>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of each document or stretch (its last two columns: lists of its chunks' fingerprints, and its chunks' ends in order)
+    with those that cross its chunks."""
+    edge = SHINGLE - 1
+    for batch in batches:
+        *keys, lists, ends = batch.columns
+        out = []
+        for own, chunks in zip(lists, ends.to_pylist()):
+            tail, crossing = [], []
+            for c in chunks:
+                crossing.append(grams(np.array(tail + c["head"], np.int64).view(np.uint64), SHINGLE))
+                tail = (tail + c["tail"])[-edge:]
+            parts = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in own if len(x)]
+            parts.append(np.concatenate([np.empty(0, np.uint64), *crossing]) >> np.uint64(64 - PRINT_BITS))
+            out.append(np.unique(np.concatenate(parts)).view(np.int64))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(out, kind)], names=[*batch.schema.names[:-2], "prints"])
 
 
 def documents_of(documents: DataFrame, prints: DataFrame) -> DataFrame:
@@ -338,12 +360,12 @@ def candidates(prints: DataFrame, store: Store) -> DataFrame:
     w = W.partitionBy("doc_id")
     alone = F.col("size") - F.sum("k").over(w)
     below = alone + F.coalesce(F.sum("k").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("below", below).where((F.col("size") <= FEW) | (F.col("below") < F.ceil(F.col("size") * PROBED))).select("doc_id", "step")
+    steps = steps.withColumn("below", below).where(F.col("below") < F.ceil(F.col("size") * PROBED)).select("doc_id", "step")
     probes = postings.where("new").join(steps, ["doc_id", "step"]).select("print", F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
     pairs = probes.join(postings.select("print", F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "print").where("a <> b")
     large = F.greatest("size_a", "size_b")
     pairs = pairs.where(F.least("size_a", "size_b") >= ALIKE * large).groupBy("a", "b").agg(F.count("*").alias("k"), F.first(large).alias("size"))
-    return pairs.where((F.col("size") <= FEW) | (F.col("k") >= (COVERED + PROBED - 1) * F.col("size"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where(F.col("k") >= (COVERED + PROBED - 1) * F.col("size") - 2 * JOINT * F.ceil(F.col("size") / (STRETCH * 16))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
@@ -427,12 +449,16 @@ def found(documents: DataFrame, chunks: DataFrame, batches: int = 2) -> DataFram
     stands = docs.where("text is not null").groupBy(number, "text").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
     # the chunks of a document, but for a very long one, come together here; a long one stays in parts of its own
     part = F.when(F.col("words") > STRETCH * 16, F.floor(F.col("ordinal") / STRETCH)).otherwise(0).alias("part")
-    prints = by_chunk.select("doc_id", "ordinal", "same", "prints").dropDuplicates(["doc_id", "ordinal", "same"]).join(stands, "doc_id")
-    prints = prints.groupBy("doc_id", "batch", "text", "words", part).agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints"))
-    # how many a document has: counted, but for a very long one, of which its words tell it
-    long = F.col("words") > STRETCH * 16
-    size = F.when(long, (F.col("words") * 2 / (WINDOW + 1)).cast("int")).otherwise(F.size("prints"))
-    prints = materialize(prints.withColumn("size", size).select("doc_id", "batch", "text", "size", "prints"), "prints")
+    prints = by_chunk.dropDuplicates(["doc_id", "ordinal", "same"]).join(stands.withColumnRenamed("words", "all"), "doc_id")
+    prints = prints.withColumn("part", F.when(F.col("all") > STRETCH * 16, F.floor(F.col("ordinal") / STRETCH)).otherwise(0))
+    ends = F.array_sort(F.collect_list(F.struct("ordinal", "head", "tail")))
+    prints = prints.groupBy("doc_id", "batch", "text", "part").agg(F.collect_list("prints").alias("lists"), ends.alias("ends"))
+    prints = materialize(prints.mapInArrow(_joined, "doc_id bigint, batch int, text bigint, part bigint, prints array<bigint>"), "joined")
+    # how many a document has; of one in several parts the different ones are counted
+    parts = prints.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("prints")).alias("one"))
+    many = prints.join(parts.where("n > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("prints").alias("print")).distinct().groupBy("doc_id").agg(F.count("*").alias("different"))
+    size = parts.join(many, "doc_id", "left").select("doc_id", F.coalesce("different", "one").cast("int").alias("size"))
+    prints = materialize(prints.join(size, "doc_id").select("doc_id", "batch", "text", "size", "prints"), "prints")
     forget(by_chunk)
     store, out = Store(max(4, 2 * input_parts(chunks))), None
     for k in range(len(cuts) + 1):

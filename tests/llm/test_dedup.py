@@ -96,3 +96,18 @@ def test_bloom_has_no_false_negatives():
     inside, outside = rng.integers(0, 2**40, 5000).astype(np.uint64), rng.integers(2**41, 2**42, 5000).astype(np.uint64)
     bits = dedup.bloom_build(inside)
     assert dedup.bloom_test(bits, inside).all() and dedup.bloom_test(bits, outside).mean() < 0.02
+
+
+def test_evenly_spread_edits(spark):
+    rng = random.Random(9)
+    docs, chunks = [], []
+    for k in range(60):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([100, 200]))]
+        step = rng.choice([15, 16])
+        edited = [w for i, x in enumerate(base) for w in ([x] if i % step else [x, f"n{rng.random()}"[:9]] if k % 2 else [])]
+        for half, words in enumerate((base, edited)):
+            docs.append((2 * k + half, None, dt.datetime(2025, 1, 1 + half)))
+            cut = rng.choice([40, 300])
+            chunks += [(len(chunks) + o, 2 * k + half, o, " ".join(words[at : at + cut])) for o, at in enumerate(range(0, len(words), cut))]
+    wanted = brute(docs, [c[1:] for c in chunks])
+    assert len(wanted) > 20 and {tuple(r) for r in dedup.found(*frames(spark, docs, chunks), batches=2).collect()} == wanted
