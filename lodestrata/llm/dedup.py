@@ -1,47 +1,58 @@
 """Deduplicating new batches against all history.
 
-A document's chunks are reduced to winnowed fingerprints of eight words. Partitioned Bloom filters of everything accepted so far screen a
-batch's fingerprints; only positives are looked up in the fingerprint store. Pairs that share enough fingerprints are verified on their
-three-word sequences; then the batch is decided in order of arrival, and store and filters take in what was accepted.
+A document is the set of its three-word sequences, as 40-bit hashes in order. It is winnowed to fingerprints: runs of neighbours in that order,
+taken where the hashes are lowest, so that two documents of any length keep the same ones. Partitioned Bloom filters of everything accepted so
+far screen a batch's fingerprints; positives are looked up in a fingerprint store, of which only the partitions that hold them are read. Pairs
+that share enough fingerprints are verified on all their sequences; then the batch is decided in order of arrival, and store and filters take
+in what was accepted. The store is a folder: another process can open it and go on.
+
+Why runs of neighbours find every pair: let both documents together have u sequences of which at least 0.7 u are common. The others, at most
+0.3 u, cut the ordered sequences into at most 0.3 u + 1 stretches of common ones; so at least 0.7 u - 2 (0.3 u + 1) = 0.1 u - 2 runs of three
+lie within such a stretch. That holds for any texts, wherever the edits are, and is how documents of fewer than LONG sequences are looked up.
+Longer ones are looked up with runs of four among the lowest hashes, of which there are some 25 to 45 common ones at a similarity of 0.7 (hashes
+scatter, so the places of edits don't matter); NEED of them make a candidate.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.session import forget, input_parts, materialize
+from lodestrata.session import Scratch, file_system, input_parts, materialize
 
-#: Words of a sequence, and the part of all sequences of two documents that both must have.
-SHINGLE, LEAST = 3, 0.7
-#: Words of a fingerprint, and how many neighbouring ones give one fingerprint. Windows may not be longer than fingerprints. Fingerprints
-#: are the very sequences that are compared, so what documents share of them is bounded by how similar they are.
-GRAM, WINDOW = SHINGLE, 1
-#: Documents that repeat each other share at least this part of the larger one's sequences: both have LEAST of all.
-COVERED = LEAST
-#: Fingerprints are kept in so many bits; equal ones of different words only make a pair that verification drops.
+#: Words of a sequence, and the part of all sequences of two documents that both must have, in tenths.
+SHINGLE, TENTHS = 3, 7
 PRINT_BITS = 40
-#: The part of its fingerprints, the rarest, that a document is looked up with. A pair that shares COVERED of them shares at least
-#: COVERED + PROBED - 1 of the larger one's among those, whatever the order.
-PROBED = 0.5
-#: Fingerprints of the document with fewer, as a part of the other's, at least.
-ALIKE = LEAST
-#: So many sequences may be missing for each joint between the stretches of a very long document, which aren't put together here.
-JOINT = SHINGLE - 1
+#: Documents of up to so many sequences are also looked up with single ones, those of less than LONG with runs of three, those that may meet
+#: one of LONG or more with runs of four; so many runs of a document are taken, about.
+SHORT, LONG, WINNOWED = 28, 100, 160
+#: Runs of four that two documents must share to be verified.
+NEED = 6
+#: Sequences of a slice, about: what is compared at once of a very long document. Chunks of a document that are read in order together.
+SLICE, STRETCH = 16_384, 512
+#: Lowest hashes of a very long document that are kept aside; some WINNOWED of them are needed.
+LOWEST = 400
+#: Documents of a batch that may share a fingerprint; a batch with more is cut in two by arrival, as often as needed.
+HOT = 4_000
+#: Undecided documents and links that one task puts in order.
+SETTLED = 2_000_000
 BLOOM_BITS, BLOOM_HASHES = 12, 4
-#: Fingerprints of one Bloom partition, about.
-BLOOM_ROWS = 200_000
 KNOWN_WORDS = 200_000
 #: Chunks that are taken apart together: what a task holds as single words.
 TOGETHER = 2_000
+#: Pairs that a task holds before it counts them.
+PAIRS_HELD = 1_000_000
 
 _TOKEN = re.compile(r"[^\W_]+|\x01")
+_NO_TIME = -(2**62)
 
 
 class _Words(dict):
@@ -58,8 +69,9 @@ _words = _Words()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
@@ -74,117 +86,257 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each ``size`` neighbouring words."""
+    """The hash of each ``size`` neighbours."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-        return _mixed(out)
-
-
-def winnow(words: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, fingerprint), each once a text. A text shorter than a gram has the hash of all its words."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    g = grams(words, GRAM)
-    if len(g):
-        whole = owner[: len(g)] == owner[GRAM - 1 :]
-        g = np.where(whole, g, top)
-        padded = np.concatenate([g, np.full(WINDOW - 1, top)])
-        least = np.lib.stride_tricks.sliding_window_view(padded, WINDOW).min(axis=1)
-        at = np.arange(len(g))
-        last = (first + counts - GRAM)[owner[: len(g)]]
-        take = whole & ((at + WINDOW - 1 <= last) | (at == first[owner[: len(g)]]))
-        pairs = [np.stack([owner[: len(g)][take].astype(np.uint64), least[take]], axis=1)]
-    else:
-        pairs = []
-    short = [(i, grams(words[first[i] : first[i] + counts[i]], int(counts[i]))[0]) for i in np.flatnonzero((counts > 0) & (counts < GRAM))]
-    if short:
-        pairs.append(np.array(short, np.uint64))
-    if not pairs:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    both = np.concatenate(pairs)
-    both[:, 1] >>= np.uint64(64 - PRINT_BITS)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))]
-    return both[:, 0].astype(np.int64), both[:, 1]
+    return _mixed(out)
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def sequences(words: np.ndarray) -> np.ndarray:
+    """The different sequences of a run of words, in order."""
+    return np.unique(grams(words, SHINGLE) >> np.uint64(64 - PRINT_BITS))
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            yield batch.slice(at, TOGETHER)
-
-
-def _chunk_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, edge, kind = ["doc_id", "ordinal", "words", "same", "prints", "head", "tail"], SHINGLE - 1, pa.list_(pa.int64())
-    for batch in _small(batches):
-        words, first, counts = word_hashes(batch.column(2).to_pylist())
-        owner, prints = winnow(words, first, counts)
-        position = np.arange(len(words)) - np.repeat(first, counts)
-        with np.errstate(over="ignore"):
-            each = _mixed(words + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        same = np.bitwise_xor.reduceat(np.append(each, np.uint64(0)), np.minimum(first, len(each))) if len(first) else np.empty(0, np.uint64)
-        same = np.where(counts > 0, same, np.uint64(0))
-        head = pa.array([words[f : f + min(c, edge)].view(np.int64).tolist() for f, c in zip(first, counts)], kind)
-        tail = pa.array([words[f + c - min(c, edge) : f + c].view(np.int64).tolist() for f, c in zip(first, counts)], kind)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(counts.astype(np.int64)), pa.array(same.view(np.int64)), _lists(owner, prints.view(np.int64), len(counts), pa.int64()), head, tail], names=names
-        )
+# --- arrays in columns -----------------------------------------------------------------------------------------------------------------------
+
+
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Hashes of PRINT_BITS in bytes, ``counts`` of them in each row."""
+    raw = np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - PRINT_BITS // 8 :])
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * (PRINT_BITS // 8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def chunk_prints(chunks: DataFrame) -> DataFrame:
-    """doc_id, ordinal, words (how many), same (a hash of them in order), prints (fingerprints), head and tail (the words at its ends) of each
-    chunk. A null ordinal counts as 0."""
-    rows = chunks.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"), "text")
-    return rows.mapInArrow(_chunk_prints, "doc_id bigint, ordinal int, words bigint, same bigint, prints array<bigint>, head array<bigint>, tail array<bigint>")
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes one after the other, how many each row has)."""
+    rows = column.to_pylist()
+    width = PRINT_BITS // 8
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 8 - width :] = raw
+    return wide.view(">u8").ravel().astype(np.uint64), np.array([len(r) // width for r in rows], np.int64)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprints of each document or stretch (its last two columns: lists of its chunks' fingerprints, and its chunks' ends in order)
-    with those that cross its chunks."""
-    edge = SHINGLE - 1
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The stream, which is in order of ``keys``, in tables that end where a group ends."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        *keys, lists, ends = batch.columns
-        out = []
-        for own, chunks in zip(lists, ends.to_pylist()):
-            tail, crossing = [], []
-            for c in chunks:
-                crossing.append(grams(np.array(tail + c["head"], np.int64).view(np.uint64), SHINGLE))
-                tail = (tail + c["tail"])[-edge:]
-            parts = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in own if len(x)]
-            parts.append(np.concatenate([np.empty(0, np.uint64), *crossing]) >> np.uint64(64 - PRINT_BITS))
-            out.append(np.unique(np.concatenate(parts)).view(np.int64))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(out, kind)], names=[*batch.schema.names[:-2], "prints"])
-
-
-def documents_of(documents: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id, at (its place in the order of arrival), words, text (a hash of all its chunks, null without a three-word sequence), sha.
-
-    A null ingested_at comes first; a blank sha256 is none. Of repeated rows of a document the earliest counts. Chunks left over from a
-    publish (equal ordinal and words) count once.
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            columns = [part.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            last = next((i for i in range(part.num_rows - 1, 0, -1) if any(c[i] != c[i - 1] for c in columns)), 0)
+            if held and last == 0 and any(held[-1].column(k)[-1].as_py() != part.column(k)[0].as_py() for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            elif last:
+                yield pa.Table.from_batches([*held, part.slice(0, last)])
+                held = []
+            held.append(part.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where each group of a table in order begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+# --- documents as sets of sequences ----------------------------------------------------------------------------------------------------------
+
+_STRETCH = "doc_id bigint, stretch int, bucket int, t bigint, sha string, words bigint, size bigint, text bigint, prints binary, head array<bigint>, tail array<bigint>"
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (kind 0) and chunks (kind 1) in order of document, stretch, kind, ordinal and text: one row for each stretch."""
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    edge, bits = SHINGLE - 1, np.uint64(PRINT_BITS)
+    for table in _groups(batches, ["bucket", "doc_id", "stretch"]):
+        starts = _starts(table, ["bucket", "doc_id", "stretch"])
+        n = len(starts)
+        group = np.repeat(np.arange(n), np.diff(starts, append=table.num_rows))
+        kind, ordinal, texts = table.column("kind").to_numpy(), table.column("ordinal").to_numpy(), table.column("text").to_pylist()
+        times, hashes = [None] * n, [None] * n
+        for i in np.flatnonzero(kind == 0).tolist():
+            g, t, sha = group[i], table.column("t")[i].as_py(), table.column("sha")[i].as_py()
+            times[g] = t if times[g] is None else min(t, times[g])
+            hashes[g] = min(filter(None, (sha, hashes[g])), default=None)
+        # left over from a publish: the same text under the same ordinal
+        own = [i for i in np.flatnonzero(kind == 1).tolist() if not (i and group[i] == group[i - 1] and kind[i - 1] and ordinal[i] == ordinal[i - 1] and texts[i] == texts[i - 1])]
+        words, _, counts = word_hashes([texts[i] for i in own]) if own else (np.empty(0, np.uint64), None, np.empty(0, np.int64))
+        owner = np.repeat(group[own].astype(np.int64), counts) if own else np.empty(0, np.int64)
+        g = grams(words, SHINGLE)
+        whole = owner[: len(g)] == owner[edge:] if len(g) else np.empty(0, bool)
+        key = np.unique(owner[: len(g)][whole].astype(np.uint64) << bits | g[whole] >> (np.uint64(64) - bits))
+        prints, sizes = key & np.uint64(2**PRINT_BITS - 1), np.bincount((key >> bits).astype(np.int64), minlength=n)
+        many, ends = np.bincount(owner, minlength=n), None
+        ends = np.cumsum(many)
+        same = _same(prints, sizes)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(table.column(c).combine_chunks().take(pa.array(starts)) for c in ("doc_id", "stretch", "bucket")), pa.array(times, pa.int64()), pa.array(hashes, pa.string()),
+                pa.array(many), pa.array(sizes << 6), pa.array(same.view(np.int64), mask=sizes == 0), _packed(prints, sizes),
+                pa.array([words[e - m : e - m + min(m, edge)].view(np.int64) for e, m in zip(ends, many)], pa.list_(pa.int64())),
+                pa.array([words[e - min(m, edge) : e].view(np.int64) for e, m in zip(ends, many)], pa.list_(pa.int64())),
+            ],
+            names=names,
+        )
+
+
+def _same(prints: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One hash of each row's set; sets can be put together by exclusive or."""
+    out = np.zeros(len(sizes), np.uint64)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.bitwise_xor.reduceat(_mixed(prints ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def stretches(documents: DataFrame, chunks: DataFrame, buckets: int) -> DataFrame:
+    """One row for each stretch of a document: when it arrived (on the stretch of ordinal 0 only), its sha, how many words and sequences, a hash
+    of the set, the sequences, and the words at its ends.
+
+    Rows of documents go along with the chunks, so no join is needed. A null ingested_at comes first, a blank sha256 is none, of repeated rows
+    of a document the earliest counts. A null ordinal counts as 0; null texts and ids give nothing.
     """
-    parts = prints.select("doc_id", "ordinal", "words", "same").distinct()
-    texts = parts.groupBy("doc_id").agg(F.sum("words").alias("words"), F.expr("bit_xor(xxhash64(ordinal, same, words))").alias("text"))
     sha = F.lower(F.trim("sha256"))
-    docs = documents.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min(F.struct(F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**62))).alias("t"), F.col("doc_id").alias("d"))).alias("at"),
-        F.min(F.when(sha != "", sha)).alias("sha"),
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    time = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(_NO_TIME))
+    docs = documents.where("doc_id is not null").select("doc_id", F.lit(0).alias("stretch"), bucket, F.lit(0).alias("kind"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("text"), time.alias("t"), F.when(sha != "", sha).alias("sha"))
+    ordinal = F.coalesce("ordinal", F.lit(0)).cast("int")
+    rows = chunks.where("doc_id is not null and text is not null").select(
+        "doc_id", F.floor(ordinal / STRETCH).cast("int").alias("stretch"), bucket, F.lit(1).alias("kind"), ordinal.alias("ordinal"), "text", F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("string").alias("sha")
     )
-    some = F.col("words") >= SHINGLE
-    return docs.join(texts, "doc_id", "left").select("doc_id", "at", F.coalesce("words", F.lit(0)).alias("words"), F.when(some, F.col("text")).alias("text"), "sha")
+    rows = docs.unionByName(rows).repartition("bucket", "stretch").sortWithinPartitions("bucket", "doc_id", "stretch", "kind", "ordinal", "text")
+    return rows.mapInArrow(_fingerprints, _STRETCH)
+
+
+def _joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sequences that cross from one stretch of a document to the next."""
+    for batch in batches:
+        out, counts = [], []
+        for parts in batch.column("ends").to_pylist():
+            tail, crossing = [], [np.empty(0, np.uint64)]
+            for p in parts:
+                crossing.append(sequences(np.array(tail + p["head"], np.int64).view(np.uint64)))
+                tail = (tail + p["tail"])[-(SHINGLE - 1) :]
+            out.append(np.concatenate(crossing))
+            counts.append(len(out[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("level"), _packed(np.concatenate(out), np.array(counts))], names=["doc_id", "level", "prints"])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's sequences by slices: the first ``level`` bits."""
+    for batch in batches:
+        for doc, level, raw in zip(batch.column("doc_id").to_pylist(), batch.column("level").to_pylist(), batch.column("prints")):
+            prints = np.unique(_unpacked(pa.array([raw.as_py()]))[0])
+            part, counts = np.unique((prints >> np.uint64(PRINT_BITS - level)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part), pa.int64()), pa.array([level] * len(part), pa.int32()), pa.array(part), _packed(prints, counts)], names=["doc_id", "level", "slice", "prints"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(_unpacked(pa.array(parts))[0]) for parts in batch.column("parts").to_pylist()]
+        counts, low = np.array([len(s) for s in sets], np.int64), [s[:LOWEST] for s in sets]
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(counts), pa.array(_same(every, counts).view(np.int64)), _packed(every, counts), _packed(np.concatenate([np.empty(0, np.uint64), *low]), np.array([len(x) for x in low], np.int64))],
+            names=["doc_id", "level", "slice", "n", "same", "prints", "low"],
+        )
+
+
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = [_unpacked(pa.array(parts))[0][:LOWEST] for parts in batch.column(0).to_pylist()]
+        column = _packed(np.concatenate([np.empty(0, np.uint64), *low]), np.array([len(x) for x in low], np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], names=[*batch.schema.names[1:], "low"])
+
+
+def long_documents(parts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(documents, slices) of documents of more than one stretch. What crosses stretches is put in order from their ends alone, the sequences
+    come together slice by slice, so no task holds a whole document."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.sum("words") / SLICE))).cast("int").alias("level")
+    heads = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "head", "tail"))).alias("ends"), level, F.min("t").alias("t"), F.min("sha").alias("sha"))
+    heads = scratch.keep(heads, "long-heads")
+    every = parts.join(heads.select("doc_id", "level"), "doc_id").select("doc_id", "level", "prints").unionByName(heads.select("doc_id", "level", "ends").mapInArrow(_joints, "doc_id bigint, level int, prints binary"))
+    slices = every.mapInArrow(_sliced, "doc_id bigint, level int, slice bigint, prints binary").groupBy("doc_id", "level", "slice").agg(F.collect_list("prints").alias("parts"))
+    slices = scratch.keep(slices.mapInArrow(_united, "doc_id bigint, level int, slice bigint, n bigint, same bigint, prints binary, low binary"), "long-slices")
+    low = F.transform(F.array_sort(F.collect_list(F.struct("slice", "low"))), lambda x: x["low"]).alias("parts")
+    whole = slices.groupBy("doc_id", "level").agg(low, F.sum("n").alias("n"), F.bit_xor("same").alias("text"))
+    docs = whole.join(heads.select("doc_id", "t", "sha"), "doc_id").where("t is not null")
+    docs = docs.select("parts", "doc_id", "t", "sha", (F.col("n") * 64 + F.col("level")).alias("size"), "text")
+    return docs.mapInArrow(_lowest, "doc_id bigint, t bigint, sha string, size bigint, text bigint, low binary"), slices.select("doc_id", "level", "slice", "prints")
+
+
+# --- fingerprints ----------------------------------------------------------------------------------------------------------------------------
+
+
+def winnow(prints: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, fingerprint) of each row's ordered sequences (``counts`` of them at hand, of ``sizes`` in all): runs of neighbours that begin
+    below the WINNOWED lowest hashes, about."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    below = np.minimum(1.0, WINNOWED / np.maximum(sizes, 1)) * 2.0**PRINT_BITS
+    out_row, out = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for run, who in ((1, sizes <= SHORT), (3, (sizes < LONG) & (sizes > SHORT * TENTHS // 10)), (4, sizes * 10 >= LONG * TENTHS)):
+        g = grams(prints, run)
+        if len(g):
+            first = row[: len(g)]
+            take = who[first] & (first == row[run - 1 :]) & (prints[: len(g)] < below[first])
+            out_row.append(first[take])
+            out.append(g[take] >> np.uint64(64 - PRINT_BITS))
+    return np.concatenate(out_row), np.concatenate(out)
 
 
-# --- Bloom filters ---------------------------------------------------------------------------------------------------------------------------
+def need(larger: np.ndarray) -> np.ndarray:
+    """Fingerprints that two documents must share, of which the larger has so many sequences."""
+    few = np.where(larger <= SHORT, -(-larger * TENTHS // 10), np.maximum(1, larger // 10 - 2))
+    return np.where(larger < LONG, few, NEED)
+
+
+_POSTINGS = "part int, docs array<bigint>, sizes array<bigint>, counts array<int>, prints array<bigint>"
+
+
+def _posted(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints, counts = _unpacked(batch.column(2))
+            row, own = winnow(prints, counts, sizes >> 6)
+            part = (own % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((row, part))
+            row, own, part = row[order], own[order], part[order]
+            new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
+            many = np.diff(new, append=len(row))
+            each, runs = np.unique(part[new], return_counts=True)
+            totals = np.bincount(part, minlength=parts)[each]
+            yield pa.RecordBatch.from_arrays([pa.array(each.astype(np.int32)), _lists(docs[row[new]], runs), _lists(sizes[row[new]], runs), _lists(many.astype(np.int32), runs, pa.int32()), _lists(own.view(np.int64), totals)], names=["part", "docs", "sizes", "counts", "prints"])
+
+    return run
+
+
+def postings(units: DataFrame, parts: int) -> DataFrame:
+    """The fingerprints of ``units`` (doc_id, size, prints), by parts."""
+    return units.select("doc_id", "size", "prints").mapInArrow(_posted(parts), _POSTINGS)
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, size, fingerprint) of postings."""
+    column = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+    counts = column("counts")
+    return np.repeat(column("docs"), counts), np.repeat(column("sizes"), counts), column("prints").view(np.uint64)
 
 
 def _bits(prints: np.ndarray, size: int) -> np.ndarray:
@@ -209,259 +361,354 @@ def bloom_test(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _build(group: pa.Table) -> pa.Table:
-    prints = group.column("print").to_numpy().view(np.uint64)
+def _built(group: pa.Table) -> pa.Table:
+    prints = np.unique(group.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64))
     return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([bloom_build(prints).tobytes()], pa.binary())})
 
 
-def _screen(batch: pa.Table, blooms: pa.Table) -> pa.Table:
-    prints = batch.column("print").to_numpy().view(np.uint64)
+def _screened(batch: pa.Table, blooms: pa.Table) -> pa.Table:
+    prints = np.unique(batch.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64)) if batch.num_rows else np.empty(0, np.uint64)
     hit = np.zeros(len(prints), bool)
     for bits in blooms.column("bits"):
         hit |= bloom_test(np.frombuffer(bits.as_buffer(), np.uint8), prints)
-    return batch.select(["print"]).filter(pa.array(hit))
-
-
-# --- verification ----------------------------------------------------------------------------------------------------------------------------
-
+    if not hit.any():
+        return pa.table({"part": pa.array([], pa.int32()), "prints": pa.array([], pa.list_(pa.int64()))})
+    return pa.table({"part": pa.array([batch.column("part")[0].as_py()], pa.int32()), "prints": _lists(prints[hit].view(np.int64), np.array([hit.sum()]))})
+
+
+def _looked_up(wanted: pa.Table, store: pa.Table) -> pa.Table:
+    names = [x.split()[0] for x in _POSTINGS.split(", ")]
+    if not wanted.num_rows or not store.num_rows:
+        return store.slice(0, 0).select(names) if store.num_rows else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
+    docs, sizes, prints = _flat(store)
+    hit = np.isin(prints, np.concatenate([x.values.to_numpy() for x in wanted.column("prints")]).view(np.uint64))
+    n = np.array([int(hit.sum())])
+    return pa.table({"part": pa.array([wanted.column("part")[0].as_py()], pa.int32()), "docs": _lists(docs[hit], n), "sizes": _lists(sizes[hit], n), "counts": _lists(np.ones(n[0], np.int32), n, pa.int32()), "prints": _lists(prints[hit].view(np.int64), n)})
+
+
+def _counted(a: list, b: list, sa: list, sb: list) -> pa.RecordBatch:
+    a, b, sa, sb = map(np.concatenate, (a, b, sa, sb))
+    order = np.lexsort((b, a))
+    a, b, sa, sb = a[order], b[order], sa[order], sb[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sa[new]), pa.array(sb[new]), pa.array(np.diff(new, append=len(a)))], names=["a", "b", "sa", "sb", "k"])
+
+
+def _paired(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, their sizes, k): pairs that share k fingerprints of the part, one of them new at least. A row without documents says that more
+        than ``hot`` new ones share one."""
+        for table in _groups(batches, ["part"]):
+            starts = _starts(table, ["part"])
+            for start, stop in zip(starts, np.append(starts[1:], table.num_rows)):
+                group = table.slice(start, stop - start)
+                docs, sizes, prints = _flat(group)
+                lengths = [int(x.values.to_numpy().sum()) if len(x) else 0 for x in group.column("counts")]
+                new = np.repeat(group.column("new").to_numpy(zero_copy_only=False).astype(bool), lengths)
+                order = np.lexsort((docs, ~new, prints))  # new ones first
+                docs, sizes, prints, new = docs[order], sizes[order], prints[order], new[order]
+                n = sizes >> 6
+                i = np.flatnonzero(new)
+                held, d = [[], [], [], []], 0
+                while len(i := i[i + d + 1 < len(prints)]):
+                    d += 1
+                    i = i[prints[i] == prints[i + d]]
+                    if not len(i):
+                        break
+                    if d > hot and (many := new[i + d]).any():
+                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([int(many.sum())])], names=["a", "b", "sa", "sb", "k"])
+                        held = [[], [], [], []]
+                        break
+                    x, y = i, i + d
+                    near = (np.minimum(n[x], n[y]) * 10 >= TENTHS * np.maximum(n[x], n[y])) & (docs[x] != docs[y])
+                    x, y = x[near], y[near]
+                    swap = docs[x] > docs[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    for out, values in zip(held, (docs[x], docs[y], sizes[x], sizes[y])):
+                        out.append(values)
+                    if sum(map(len, held[0])) > PAIRS_HELD:
+                        yield _counted(*held)
+                        held = [[], [], [], []]
+                if any(map(len, held[0])):
+                    yield _counted(*held)
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*(map(lambda r: _unpacked(pa.array([r]))[0], batch.column(c).to_pylist()) for c in (4, 5)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], names=["a", "b", "sa", "sb", "both"])
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        words, first, counts = word_hashes(batch.column(2).to_pylist())
-        owner = np.repeat(np.arange(len(counts)), counts)
-        g = grams(words, SHINGLE)
-        whole = owner[: len(g)] == owner[SHINGLE - 1 :] if len(g) else np.empty(0, bool)
-        edge = SHINGLE - 1
-        ends = [words[f : f + min(c, edge)].view(np.int64).tolist() for f, c in zip(first, counts)]
-        tails = [words[f + c - min(c, edge) : f + c].view(np.int64).tolist() for f, c in zip(first, counts)]
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), _lists(owner[: len(g)][whole], g[whole].view(np.int64), len(counts), pa.int64()), pa.array(ends, kind), pa.array(tails, kind), pa.array(counts.astype(np.int64))],
-            names=["doc_id", "ordinal", "inner", "head", "tail", "words"],
-        )
 
+def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, sa, sb) of which at least TENTHS of all sequences occur in both. ``units``: doc_id, level, slice, prints.
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [grams(np.array([*(tail or []), *(head or [])], np.int64).view(np.uint64), SHINGLE).view(np.int64).tolist() for tail, head in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "sequences"])
+    Documents in different numbers of slices are compared at the smaller number: each finer slice with the coarser one that holds it.
+    """
+    least = F.least(F.col("sa").bitwiseAND(F.lit(63)), F.col("sb").bitwiseAND(F.lit(63)))
+    rows = pairs.withColumn("least", least)
+    side = lambda me: rows.join(units.select(F.col("doc_id").alias(me), "level", "slice", F.col("prints").alias(f"prints_{me}")), me).withColumn("at", F.expr("shiftright(slice, level - cast(least as int))")).drop("level", "slice", "least")
+    both = side("a").join(side("b").drop("sa", "sb"), ["a", "b", "at"]).select("a", "b", "sa", "sb", "prints_a", "prints_b")
+    counts = both.mapInArrow(_common, "a bigint, b bigint, sa bigint, sb bigint, both bigint").groupBy("a", "b", "sa", "sb").agg(F.sum("both").alias("both"))
+    union = F.shiftright("sa", 6) + F.shiftright("sb", 6) - F.col("both")
+    return counts.where(F.col("both") * 10 >= union * TENTHS).select("a", "b")
 
 
-#: Chunks of a document that are put in order together; what crosses from one such stretch to the next is put in order apart.
-STRETCH = 512
+# --- the store -------------------------------------------------------------------------------------------------------------------------------
 
 
-def sequences(chunks: DataFrame, only: DataFrame) -> DataFrame:
-    """doc_id, sequence: the different three-word sequences of the documents in ``only`` (doc_id).
+class Store:
+    """What was accepted so far, in a folder: documents (doc_id, t, sha, size, text), units (their sequences, by bucket), postings (their
+    fingerprints, by part) and Bloom filters of each part.
 
-    Those within a chunk need no order. For those across chunks only the two words at each end are put in order, and those per stretch of
-    chunks, so that a document of a tenth of all chunks isn't sorted in one place: of each stretch one row goes on.
+    Each batch adds files of its own; nothing is rewritten. A batch counts when its mark is written, last of all, so one that broke off leaves
+    nothing but files that no one reads.
     """
-    from pyspark.sql import Window as W
-
-    rows = chunks.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("ordinal", F.lit(0)).cast("int").alias("ordinal"), "text").join(only, "doc_id", "left_semi")
-    parts = materialize(rows.mapInArrow(_shingles, "doc_id bigint, ordinal int, inner array<bigint>, head array<bigint>, tail array<bigint>, words bigint"), "shingles")
-    ends = parts.where("words > 0").select("doc_id", "ordinal", "head", "tail", "words").distinct().withColumn("stretch", F.floor(F.col("ordinal") / STRETCH))
-
-    edge = SHINGLE - 1
-
-    def following(within: list[str]):
-        w = W.partitionBy(*within).orderBy("ordinal", "head").rowsBetween(1, edge)
-        return F.slice(F.flatten(F.collect_list("head").over(w)), 1, edge)
-
-    def before(within: list[str]):
-        w = W.partitionBy(*within).orderBy("ordinal", "head").rowsBetween(-(edge - 1), 0)
-        # the last words up to and with this chunk, of one word each or more
-        return F.flatten(F.collect_list("tail").over(w))
-
-    inside = ends.withColumn("next", following(["doc_id", "stretch"])).withColumn("ended", before(["doc_id", "stretch"]))
-    last = lambda c: F.expr(f"slice({c}, greatest(1, size({c}) - {edge - 1}), {edge})")
-    crossing = inside.select("doc_id", last("ended").alias("tail"), F.col("next").alias("head"))
-    # one row a stretch: its first and last words
-    whole = (
-        inside.groupBy("doc_id", "stretch")
-        .agg(F.min_by(F.concat("head", "next"), F.struct("ordinal", "head")).alias("head"), F.max_by("ended", F.struct("ordinal", "head")).alias("tail"))
-        .select("doc_id", F.col("stretch").alias("ordinal"), F.slice("head", 1, edge).alias("head"), last("tail").alias("tail"))
-    )
-    joints = whole.withColumn("next", following(["doc_id"])).withColumn("ended", before(["doc_id"])).select("doc_id", last("ended").alias("tail"), F.col("next").alias("head"))
-    between = crossing.unionByName(joints).where("size(head) > 0").mapInArrow(_crossing, "doc_id bigint, sequences array<bigint>")
-    every = parts.select("doc_id", F.col("inner").alias("sequences")).unionByName(between)
-    return every.select("doc_id", F.explode("sequences").alias("sequence")).distinct()
-
-
-def verified(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of which at least LEAST of all sequences occur in both."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    of = materialize(sequences(chunks, ids), "sequences")
-    n = of.groupBy("doc_id").agg(F.count("*").alias("n"))
-    both = pairs.join(of.withColumnRenamed("doc_id", "a"), "a").join(of.withColumnRenamed("doc_id", "b"), ["b", "sequence"]).groupBy("a", "b").agg(F.count("*").alias("both"))
-    both = both.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.where(F.col("both") >= LEAST * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        fs, at = file_system(spark, f"{self.path}/store.json")
+        stream = fs.open(at)
+        try:
+            meta = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        self.parts, self.buckets = meta["parts"], meta["buckets"]
+        fs, at = file_system(spark, f"{self.path}/done")
+        self.batches = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, parts: int, buckets: int | None = None) -> Store:
+        cls._write(spark, f"{path.rstrip('/')}/store.json", json.dumps({"parts": parts, "buckets": buckets or 2 * parts}))
+        return cls(spark, path)
+
+    @staticmethod
+    def _write(spark: SparkSession, path: str, text: str) -> None:
+        fs, at = file_system(spark, path)
+        stream = fs.create(at, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def read(self, what: str, schema: str) -> DataFrame | None:
+        """A table of all batches that are done."""
+        paths = [f"{self.path}/{what}/batch={b}" for b in self.batches]
+        rows = paths and self.spark.read.schema(schema + ", batch string").option("basePath", f"{self.path}/{what}").parquet(*paths)
+        return rows.drop("batch") if paths else None
+
+    def documents(self) -> DataFrame | None:
+        return self.read("documents", "doc_id bigint, t bigint, sha string, size bigint, text bigint")
+
+    def units(self) -> DataFrame | None:
+        return self.read("units", "doc_id bigint, level int, slice bigint, prints binary, bucket int")
+
+    def add(self, accepted: DataFrame, units: DataFrame, lows: DataFrame) -> None:
+        """Takes in the accepted documents of a batch: ``units`` as compared, ``lows`` (doc_id, size, prints) as looked up."""
+        name = f"{len(self.batches):06d}-{uuid.uuid4().hex[:8]}"
+        at = lambda what: f"{self.path}/{what}/batch={name}"
+        accepted.write.parquet(at("documents"))
+        accepted = self.spark.read.schema(accepted.schema).parquet(at("documents"))
+        some = accepted.where("text is not null").select("doc_id")
+        units.join(some, "doc_id", "left_semi").repartition("bucket").write.partitionBy("bucket").parquet(at("units"))
+        posted = postings(lows.join(some, "doc_id", "left_semi"), self.parts)
+        posted.repartition("part").write.partitionBy("part").parquet(at("postings"))
+        posted = self.spark.read.schema(_POSTINGS).parquet(at("postings"))
+        posted.select("part", "prints").groupBy("part").applyInArrow(_built, "part int, bits binary").write.parquet(at("blooms"))
+        self._write(self.spark, f"{self.path}/done/{name}", "")
+        self.batches.append(name)
+
+    def hits(self, posted: DataFrame, scratch: Scratch) -> DataFrame | None:
+        """The store's postings of those fingerprints that the Bloom filters let pass; only their parts are read."""
+        if not self.batches:
+            return None
+        blooms = self.read("blooms", "part int, bits binary")
+        passed = scratch.keep(posted.select("part", "prints").groupBy("part").cogroup(blooms.groupBy("part")).applyInArrow(_screened, "part int, prints array<bigint>"), "passed")
+        there = [r.part for r in passed.select("part").distinct().collect()]  # numbers of parts
+        if not there:
+            return None
+        stored = self.read("postings", _POSTINGS).where(F.col("part").isin(there))
+        return passed.groupBy("part").cogroup(stored.select(*(x.split()[0] for x in _POSTINGS.split(", "))).groupBy("part")).applyInArrow(_looked_up, _POSTINGS)
+
+
+# --- a batch ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def _union(*frames: DataFrame | None) -> DataFrame:
+    some = [f for f in frames if f is not None]
+    out = some[0]
+    for f in some[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def links_of(lows: DataFrame, units: DataFrame, docs: DataFrame, store: Store, scratch: Scratch) -> DataFrame | None:
+    """(text, other): classes of equal sets, of the batch with each other and with the store, that are near-duplicates; both ways. None if the
+    batch has a fingerprint of more than HOT documents."""
+    posted = postings(lows, store.parts)
+    if store.batches:
+        posted = scratch.keep(posted, "posted")
+    hits = store.hits(posted, scratch)
+    both = _union(posted.withColumn("new", F.lit(True)), hits and hits.withColumn("new", F.lit(False)))
+    pairs = both.repartition("part").sortWithinPartitions("part").mapInArrow(_paired(HOT), "a bigint, b bigint, sa bigint, sb bigint, k bigint")
+    counted = scratch.keep(pairs.groupBy("a", "b", "sa", "sb").agg(F.sum("k").alias("k")).where(F.col("a").isNull() | (F.col("k") >= _need(F.shiftright(F.greatest("sa", "sb"), 6)))), "candidates")
+    if not counted.where("a is null").isEmpty():
+        return None
+    ids = scratch.keep(counted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    old = store.units()
+    if old is not None:
+        there = [r[0] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(store.buckets)).cast("int")).distinct().collect()]  # numbers of buckets
+        old = old.where(F.col("bucket").isin(there)).select("doc_id", "level", "slice", "prints")
+    own = scratch.keep(_union(units.select("doc_id", "level", "slice", "prints"), old).join(ids, "doc_id", "left_semi"), "candidate-units")
+    sure = verified(counted.drop("k"), own)
+    named = _union(docs.select("doc_id", "text"), store.batches and store.documents().select("doc_id", "text") or None).join(ids, "doc_id", "left_semi")
+    sure = sure.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").where("x <> y")
+    return scratch.keep(sure.select(F.explode(F.array(F.struct(F.col("x").alias("text"), F.col("y").alias("other")), F.struct(F.col("y").alias("text"), F.col("x").alias("other")))).alias("l")).select("l.*").distinct(), "links")
+
+
+def _need(larger):
+    few = F.when(larger <= SHORT, F.ceil(larger * TENTHS / 10)).otherwise(F.greatest(F.lit(1), F.floor(larger / 10) - 2))
+    return F.when(larger < LONG, few).otherwise(F.lit(NEED))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, sha, near) in order of arrival: the doc_id of those that repeat nothing accepted before them here."""
+    texts, shas = set(), set()
+    for batch in batches:
+        out = []
+        for doc, text, sha, near in zip(*(c.to_pylist() for c in batch.columns)):
+            if (text is None or text not in texts) and (sha is None or sha not in shas) and texts.isdisjoint(near or ()):
+                out.append(doc)
+                texts |= {text} - {None}
+                shas |= {sha} - {None}
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
 
-# --- the store -------------------------------------------------------------------------------------------------------------------------------
 
+def _repeating(rest: DataFrame, accepted: DataFrame, links: DataFrame, columns: list[str]) -> DataFrame:
+    """(``columns``, first): each of ``rest`` with the accepted documents before it that it repeats. No two of these share a text or a sha."""
+    a = accepted.select(F.col("doc_id").alias("first"), F.col("t").alias("first_t"), F.col("text").alias("other"), F.col("sha").alias("a_sha"))
+    linked = rest.join(links, "text").unionByName(rest.where("text is not null").withColumn("other", F.col("text")))
+    found = linked.join(a.drop("a_sha"), "other").drop("other").unionByName(rest.join(a.drop("other"), rest["sha"] == a["a_sha"]).drop("a_sha"))
+    return found.where("first_t < t or first_t = t and first < doc_id").select(*columns, "first").distinct()
 
-class Store:
-    """What was accepted so far: documents (doc_id, at, words, text, sha), prints (doc_id, text, prints) of one document for each class of
-    equal chunks, and Bloom filters (part, bits) of their fingerprints.
 
-    Each batch adds its own files in the shared folder; nothing is rewritten. Links are kept between classes, so a group of copies is one
-    entry however large it is. What a batch adds is built when the next batch comes, or by :meth:`flush`.
-    """
+def decide(docs: DataFrame, links: DataFrame, store: Store, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(accepted, repeats (doc_id, first)): a document is accepted unless it repeats an accepted one that came before it.
 
-    def __init__(self, parts: int):
-        self.parts = parts
-        self.documents: DataFrame | None = None
-        self.prints: DataFrame | None = None
-        self.blooms: DataFrame | None = None
-        self.waiting: tuple[DataFrame, DataFrame] | None = None
-
-    def _parted(self, prints: DataFrame) -> DataFrame:
-        return prints.select(F.explode("prints").alias("print")).select("print", F.pmod("print", F.lit(self.parts)).cast("int").alias("part"))
-
-    def hits(self, prints: DataFrame) -> DataFrame:
-        """(print, doc_id, size) of the store for those fingerprints of the batch that the Bloom filters let pass."""
-        screened = self._parted(prints).groupBy("part").cogroup(self.blooms.groupBy("part")).applyInArrow(_screen, "print bigint")
-        return self.prints.select(F.explode("prints").alias("print"), "doc_id", "size").join(screened, "print", "left_semi")
-
-    def add(self, accepted: DataFrame, prints: DataFrame) -> None:
-        """Takes in accepted documents of a batch, and what stands for their classes."""
-        self.flush()
-        self.waiting = (accepted, prints)
-
-    def flush(self) -> None:
-        """Writes what waits: the fingerprints of accepted classes, and their filters."""
-        if self.waiting is None:
-            return
-        accepted, prints = self.waiting
-        new = materialize(prints.join(accepted.select("text").distinct(), "text", "left_semi").select("doc_id", "text", "size", "prints"), "store-prints")
-        blooms = materialize(self._parted(new).groupBy("part").applyInArrow(_build, "part int, bits binary"), "store-blooms")
-        join = lambda old, more: more if old is None else old.unionByName(more)
-        self.documents, self.prints, self.blooms = join(self.documents, accepted), join(self.prints, new), join(self.blooms, blooms)
-        self.waiting = None
-
-
-def candidates(prints: DataFrame, store: Store) -> DataFrame:
-    """(a, b) of documents that share enough fingerprints: of the batch with each other, and with the store.
-
-    A document is looked up with the rarest PROBED of its fingerprints; rarities go by steps, four to each power of two, and
-    whole steps are taken. One pass over
-    the fingerprints finds how rare each is; those of one document only are counted and leave.
+    Of documents with the same text and sha only the first can be accepted, so they are one. What has no copy and no link is accepted at once.
+    The rest is put in order by blocks of SETTLED documents and links, one task each, whatever chains they form.
     """
-    from pyspark.sql import Window as W
-
-    own = prints.select(F.explode("prints").alias("print"), "doc_id", "size", F.lit(True).alias("new"))
-    if store.prints is not None:
-        own = own.unionByName(store.hits(prints).withColumn("new", F.lit(False)))
-    counted = own.withColumn("df", F.count("*").over(W.partitionBy("print"))).where("df > 1")
-    postings = materialize(counted.select("print", "doc_id", "new", "size", F.floor(4 * F.log2("df")).cast("int").alias("step")), "postings")
-    steps = postings.where("new").groupBy("doc_id", "step", "size").agg(F.count("*").alias("k"))
-    w = W.partitionBy("doc_id")
-    alone = F.col("size") - F.sum("k").over(w)
-    below = alone + F.coalesce(F.sum("k").over(w.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("below", below).where(F.col("below") < F.ceil(F.col("size") * PROBED)).select("doc_id", "step")
-    probes = postings.where("new").join(steps, ["doc_id", "step"]).select("print", F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
-    pairs = probes.join(postings.select("print", F.col("doc_id").alias("b"), F.col("size").alias("size_b")), "print").where("a <> b")
-    large = F.greatest("size_a", "size_b")
-    pairs = pairs.where(F.least("size_a", "size_b") >= ALIKE * large).groupBy("a", "b").agg(F.count("*").alias("k"), F.first(large).alias("size"))
-    return pairs.where(F.col("k") >= (COVERED + PROBED - 1) * F.col("size") - 2 * JOINT * F.ceil(F.col("size") / (STRETCH * 16))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def similar(prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
-    """(x, y): classes of the batch with other classes of the batch or the store that are near-duplicates."""
-    named = prints if store.prints is None else prints.unionByName(store.prints)
-    named = named.select("doc_id", "text").distinct()
-    sure = verified(materialize(candidates(prints, store), "candidates"), chunks)
-    return sure.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").where("x <> y").select("x", "y").distinct()
-
-
-def _linked(rest: DataFrame, accepted: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, first): each of ``rest`` with the accepted documents before it that it repeats."""
-    a = accepted.select(F.col("doc_id").alias("first"), F.col("at").alias("first_at"), F.col("text").alias("a_text"), F.col("sha").alias("a_sha"))
-    by_text = rest.join(a, F.col("text") == F.col("a_text"))
-    by_sha = rest.join(a, F.col("sha") == F.col("a_sha"))
-    by_link = rest.join(links, "text").join(a, F.col("other") == F.col("a_text"))
-    found = None
-    for rows in (by_text, by_sha, by_link):
-        rows = rows.where("first_at < at").select("doc_id", "first")
-        found = rows if found is None else found.unionByName(rows)
-    return found.distinct()
-
-
-def decide(batch: DataFrame, links: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """(accepted, repeats (doc_id, first)) of a batch: a document is accepted unless it repeats an accepted one that came before it.
-
-    Documents before which nothing undecided stands among their copies and links are accepted together, then all that repeat them leave; so a
-    group of copies takes one round, and no pairs within it are formed. When all is decided, what isn't accepted is paired with all accepted
-    documents before it, of the history and of the batch.
+    old = store.documents()
+    node = F.min(F.struct("t", "doc_id")).alias("at")
+    bare = docs.where("text is null and sha is null")
+    nodes = docs.where("text is not null or sha is not null").groupBy("text", "sha").agg(node).select("text", "sha", "at.t", "at.doc_id")
+    nodes = scratch.keep(nodes, "nodes")
+    if old is not None:
+        nodes = nodes.join(_repeating(nodes, old, links, ["doc_id"]).select("doc_id").distinct(), "doc_id", "left_anti")
+    n_text, n_sha = (nodes.where(f"{c} is not null").groupBy(c).agg(F.count("*").alias(f"n_{c}")).where(f"n_{c} > 1") for c in ("text", "sha"))
+    near = links.groupBy("text").agg(F.collect_set("other").alias("near"))
+    rest = nodes.join(n_text, "text", "left").join(n_sha, "sha", "left").join(near, "text", "left")
+    rest = scratch.keep(rest.withColumn("tied", F.coalesce("n_text", "n_sha", F.size("near")).isNotNull() & (F.col("n_text").isNotNull() | F.col("n_sha").isNotNull() | F.col("near").isNotNull())).select("doc_id", "t", "text", "sha", "near", "tied"), "tied")
+    accepted = [bare.select("doc_id"), rest.where("not tied").select("doc_id")]
+    rest = rest.where("tied").drop("tied")
+    weight = F.sum(1 + F.coalesce(F.size("near"), F.lit(0))).alias("w")
+    while total := rest.agg(weight).first()[0]:
+        now = rest
+        if total > SETTLED:
+            cut = rest.approxQuantile("t", [SETTLED / total], 0.01)[0]
+            now = rest.where(F.col("t") <= cut)
+        order = now.repartition(1).sortWithinPartitions("t", "doc_id").select("doc_id", "text", "sha", "near")
+        ids = scratch.keep(order.mapInArrow(_in_order, "doc_id bigint"), "accepted")
+        accepted.append(ids)
+        if now is rest:
+            break
+        left = rest.join(now.select("doc_id"), "doc_id", "left_anti")
+        rest = scratch.keep(left.join(_repeating(left.drop("near"), now.join(ids, "doc_id", "left_semi"), links, ["doc_id"]).select("doc_id"), "doc_id", "left_anti"), "rest")
+    whole = scratch.keep(docs.join(_union(*accepted), "doc_id", "left_semi"), "accepted-documents")
+    return whole, _repeating(docs.join(whole.select("doc_id"), "doc_id", "left_anti"), _union(old, whole), links, ["doc_id"])
+
+
+def ingest(docs: DataFrame, units: DataFrame, lows: DataFrame, store: Store, scratch: Scratch, keep: bool = True) -> list[DataFrame]:
+    """(doc_id, first) of one batch, in one frame or several; the store takes in what is accepted (the last batch of a replay needn't be kept).
+
+    docs: doc_id, t, sha, size, text. units: doc_id, level, slice, bucket, prints. lows: doc_id, size, prints, of which the lowest hashes count.
     """
-    links = materialize(links.select(F.col("x").alias("text"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("text"), F.col("x").alias("other"))), "links")
-    rest = batch
-    if store.documents is not None:
-        rest = rest.join(_linked(rest, store.documents, links).select("doc_id").distinct(), "doc_id", "left_anti")
-    # what has no copy and no link is accepted at once
-    n_text, n_sha = (rest.where(f"{c} is not null").groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c) for c in ("text", "sha"))
-    tied = rest.join(n_text, "text", "left_semi").unionByName(rest.join(n_sha, "sha", "left_semi")).unionByName(rest.join(links.select("text").distinct(), "text", "left_semi"))
-    tied = materialize(tied.select("doc_id").distinct(), "tied")
-    accepted = [rest.join(tied, "doc_id", "left_anti").select("doc_id")]
-    rest = materialize(rest.join(tied, "doc_id"), "rest")
-    while not rest.isEmpty():
-        first_text = rest.where("text is not null").groupBy("text").agg(F.min("at").alias("by_text"))
-        first_sha = rest.where("sha is not null").groupBy("sha").agg(F.min("at").alias("by_sha"))
-        first_link = links.join(first_text.withColumnRenamed("text", "other"), "other").groupBy("text").agg(F.min("by_text").alias("by_link"))
-        at = rest.join(first_text, "text", "left").join(first_sha, "sha", "left").join(first_link, "text", "left")
-        least = F.least("at", F.coalesce("by_text", "at"), F.coalesce("by_sha", "at"), F.coalesce("by_link", "at"))
-        now = materialize(at.where(F.col("at") == least).select(*batch.columns), "now")
-        accepted.append(now.select("doc_id"))
-        left = rest.join(now, "doc_id", "left_anti")
-        rest = materialize(left.join(_linked(left, now, links).select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
-    ids = accepted[0]
-    for more in accepted[1:]:
-        ids = ids.unionByName(more)
-    ids = materialize(ids, "accepted-ids")
-    whole = materialize(batch.join(ids, "doc_id"), "accepted")
-    every = whole if store.documents is None else store.documents.unionByName(whole)
-    return whole, materialize(_linked(batch.join(ids, "doc_id", "left_anti"), every, links), "repeats")
-
-
-def ingest(batch: DataFrame, prints: DataFrame, store: Store, chunks: DataFrame) -> DataFrame:
-    """Checks one batch (rows of :func:`documents_of`) with the fingerprints of one document for each of its classes (doc_id, text, prints)
-    against the store; the store takes in what is accepted. Returns (doc_id, first). ``chunks`` is where texts are looked up, of the pairs
-    that share enough fingerprints only."""
-    store.flush()
-    accepted, repeats = decide(batch, similar(prints, store, chunks), store)
-    store.add(accepted, prints)
-    return repeats
-
-
-def found(documents: DataFrame, chunks: DataFrame, batches: int = 2) -> DataFrame:
+    # one document of each class of equal sets is looked up
+    first = docs.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("stands"))
+    others = scratch.keep(docs.join(first, "text").where("doc_id <> stands").select("doc_id"), "copies")
+    links = links_of(lows.join(others, "doc_id", "left_anti"), units, docs, store, scratch)
+    if links is None:
+        by = "t" if docs.select("t").distinct().limit(2).count() > 1 else "doc_id"
+        low, middle = docs.approxQuantile(by, [0.0, 0.5], 0.01)
+        cut = F.col(by) <= F.lit(middle) if middle < docs.agg(F.max(by)).first()[0] else F.col(by) <= F.lit(low)
+        return [x for half, last in ((docs.where(cut), False), (docs.where(~cut), True)) for x in ingest(scratch.keep(half, "half"), units.join(half.select("doc_id"), "doc_id", "left_semi"), lows.join(half.select("doc_id"), "doc_id", "left_semi"), store, scratch, keep or not last)]
+    accepted, repeats = decide(docs, links, store, scratch)
+    repeats = scratch.keep(repeats, "repeats")
+    if keep:
+        store.add(accepted, units, lows)
+    return [repeats]
+
+
+def prepared(documents: DataFrame, chunks: DataFrame, store: Store, scratch: Scratch, cuts: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, units, lows) as :func:`ingest` takes them, with the number of the batch of each document."""
+    number = sum(((F.col("t") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0)).alias("batch")
+    rows = scratch.keep(stretches(documents, chunks, store.buckets).select("*", F.when(F.col("t").isNotNull(), number).otherwise(F.lit(-1)).alias("batch")), "stretches", ("batch",))
+    long = scratch.keep(rows.where("stretch <> 0").select("doc_id").distinct(), "long")
+    few = rows.where("t is not null")
+    if long.isEmpty():
+        docs, slices, lows = few, None, few
+    else:
+        long_docs, slices = long_documents(rows.join(long, "doc_id", "left_semi").drop("batch"), scratch)
+        long_docs = scratch.keep(long_docs.select("*", number), "long-documents")
+        few = few.join(long, "doc_id", "left_anti")
+        docs, lows = few.unionByName(long_docs.drop("low"), allowMissingColumns=True), few.select("batch", "doc_id", "size", "prints").unionByName(long_docs.select("batch", "doc_id", "size", F.col("low").alias("prints")))
+        slices = slices.join(long_docs.select("doc_id", "batch"), "doc_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(store.buckets)).cast("int"))
+    docs = scratch.keep(docs.select("batch", "doc_id", "t", "sha", "size", "text"), "documents", ("batch",))
+    units = few.where("text is not null").select("batch", "doc_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("slice"), "bucket", "prints")
+    return docs, _union(units, slices), lows.select("batch", "doc_id", "size", "prints")
+
+
+def add_batch(documents: DataFrame, chunks: DataFrame, store: Store) -> DataFrame:
+    """doc_id, first: the documents of a new batch that repeat accepted ones, of the store or of the batch; the store takes in the others.
+    ``chunks`` are those of the batch. The result is written beside the store."""
+    scratch = Scratch(documents.sparkSession, "dedup-batch")
+    try:
+        docs, units, lows = (x.drop("batch") for x in prepared(documents, chunks, store, scratch, []))
+        out = _union(*ingest(docs, units, lows, store, scratch))
+        path = f"{store.path}/repeats/{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    finally:
+        scratch.close()
+    return store.spark.read.schema("doc_id bigint, first bigint").parquet(path)
+
+
+def found(documents: DataFrame, chunks: DataFrame, batches: int | None = 2) -> DataFrame:
     """p1_found: doc_a, doc_b (doc_a < doc_b) of documents and the accepted earlier ones that they repeat.
 
-    The arrivals are replayed in ``batches`` batches cut at days: everything up to the first cut is the history that later batches are checked
-    against. How arrivals are cut changes nothing in the result, since each batch is decided in order of arrival.
+    The arrivals are replayed against a store of their own in ``batches`` batches cut at days (None: one for each day): the first is the
+    history that the later ones are checked against. All are fingerprinted in one pass. How arrivals are cut changes nothing in the result,
+    since each batch is decided in order of arrival. Empty tables give no rows.
     """
-    by_chunk = materialize(chunk_prints(chunks), "chunk-prints")
-    docs = materialize(documents_of(documents, by_chunk), "documents")
-    day = F.col("at.t") - F.pmod(F.col("at.t"), F.lit(86_400_000_000))
-    cuts = sorted(set(docs.select(day.alias("day")).approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01))) if batches > 1 else []
-    number = sum(((F.col("at.t") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0)).alias("batch")
-    stands = docs.where("text is not null").groupBy(number, "text").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
-    # the chunks of a document, but for a very long one, come together here; a long one stays in parts of its own
-    part = F.when(F.col("words") > STRETCH * 16, F.floor(F.col("ordinal") / STRETCH)).otherwise(0).alias("part")
-    prints = by_chunk.dropDuplicates(["doc_id", "ordinal", "same"]).join(stands.withColumnRenamed("words", "all"), "doc_id")
-    prints = prints.withColumn("part", F.when(F.col("all") > STRETCH * 16, F.floor(F.col("ordinal") / STRETCH)).otherwise(0))
-    ends = F.array_sort(F.collect_list(F.struct("ordinal", "head", "tail")))
-    prints = prints.groupBy("doc_id", "batch", "text", "part").agg(F.collect_list("prints").alias("lists"), ends.alias("ends"))
-    prints = materialize(prints.mapInArrow(_joined, "doc_id bigint, batch int, text bigint, part bigint, prints array<bigint>"), "joined")
-    # how many a document has; of one in several parts the different ones are counted
-    parts = prints.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size("prints")).alias("one"))
-    many = prints.join(parts.where("n > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("prints").alias("print")).distinct().groupBy("doc_id").agg(F.count("*").alias("different"))
-    size = parts.join(many, "doc_id", "left").select("doc_id", F.coalesce("different", "one").cast("int").alias("size"))
-    prints = materialize(prints.join(size, "doc_id").select("doc_id", "batch", "text", "size", "prints"), "prints")
-    forget(by_chunk)
-    store, out = Store(max(4, 2 * input_parts(chunks))), None
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "dedup")
+    day = F.unix_micros(F.date_trunc("day", F.col("ingested_at").cast("timestamp")))
+    days = documents.where("ingested_at is not null").select(day.alias("day"))
+    if batches is None:
+        cuts = sorted(r.day for r in days.distinct().collect())[1:]  # one row a day
+    else:
+        cuts = sorted({int(c) for c in days.approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01)}) if batches > 1 else []
+    parts = max(4, 2 * input_parts(chunks))
+    store = Store.create(spark, f"{scratch.path}/store", parts)
+    docs, units, lows = prepared(documents, chunks, store, scratch, cuts)
+    out = []
     for k in range(len(cuts) + 1):
-        repeats = ingest(docs.where(number == k), prints.where(F.col("batch") == k).select("doc_id", "text", "size", "prints"), store, chunks)
-        out = repeats if out is None else out.unionByName(repeats)
-    return out.select(F.least("doc_id", "first").alias("doc_a"), F.greatest("doc_id", "first").alias("doc_b")).distinct()
+        of = lambda x: x.where(F.col("batch") == k).drop("batch")  # noqa: B023, E731
+        out += ingest(of(docs), of(units), of(lows), store, scratch, keep=k < len(cuts))
+    pairs = _union(*out).select(F.least("doc_id", "first").alias("doc_a"), F.greatest("doc_id", "first").alias("doc_b"))
+    return _kept(pairs.distinct(), scratch)
+
+
+def _kept(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """The result, written outside the folder of intermediate tables, which goes."""
+    out = materialize(df, "repeats")
+    scratch.close()
+    return out

@@ -71,24 +71,75 @@ def test_empty(spark):
     assert dedup.found(d, c.where("false"), batches=1).count() > 0  # by sha256 alone
 
 
-def test_sequences_cross_chunks_and_stretches(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "STRETCH", 2)
-    texts = ["a b", "c", "d e f", "g", "", "h i j k", "l"]
-    c = spark.createDataFrame([(1, o, t) for o, t in enumerate(texts)], "doc_id bigint, ordinal int, text string")
-    got = {r.sequence for r in dedup.sequences(c, c.select("doc_id").distinct()).collect()}
-    words, _, _ = dedup.word_hashes([" ".join(texts)])
-    assert got == set(dedup.grams(words, 3).view(np.int64).tolist())
-
-
-def test_winnowing_shares_runs():
-    rng = random.Random(2)
-    run = [f"r{i}" for i in range(dedup.GRAM + dedup.WINDOW - 1)]
-    for _ in range(30):
-        texts = [" ".join([f"x{rng.random()}" for _ in range(rng.randint(0, 30))] + run + [f"y{rng.random()}" for _ in range(rng.randint(0, 30))]) for _ in range(2)]
-        owner, prints = dedup.winnow(*dedup.word_hashes(texts))
-        assert set(prints[owner == 0].tolist()) & set(prints[owner == 1].tolist())
-    owner, prints = dedup.winnow(*dedup.word_hashes(["", "one two", None, "one two"]))
-    assert owner.tolist() == [1, 3] and prints[0] == prints[1]
+def test_daily_batches_and_a_store_that_another_process_goes_on_with(spark, tmp_path):
+    docs, chunks = corpus(7)
+    wanted = brute([(d, None if s == " " else s, t) for d, s, t in docs], [c[1:] for c in chunks])
+    d, c = frames(spark, docs, chunks)
+    days = sorted({t.date() for _, _, t in docs})
+    got, path = set(), f"file://{tmp_path}/store"
+    dedup.Store.create(spark, path, 4)
+    for low, high in zip(days[::5], [*days[5::5], dt.date(2030, 1, 1)]):
+        batch = d.where((d.ingested_at >= dt.datetime.combine(low, dt.time())) & (d.ingested_at < dt.datetime.combine(high, dt.time())))
+        store = dedup.Store(spark, path)  # nothing but the folder is known
+        repeats = dedup.add_batch(batch, c.join(batch.select("doc_id"), "doc_id", "left_semi"), store)
+        got |= {(min(r), max(r)) for r in map(tuple, repeats.collect())}
+    assert got == wanted and len(dedup.Store(spark, path).batches) == len(days[::5])
+
+
+def test_hot_fingerprints_chains_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT", 15)
+    monkeypatch.setattr(dedup, "SETTLED", 60)
+    rng = random.Random(4)
+    text, docs, chunks = [f"c{i}" for i in range(120)], [], []
+    for k in range(50):  # each version is near the ones beside it only
+        docs.append((k, None, dt.datetime(2025, 1, 1 + k // 10, k % 10)))
+        chunks.append((k, k, 0, " ".join(text)))
+        for _ in range(3):
+            text[rng.randrange(120)] = f"n{rng.random()}"
+    wanted = brute(docs, [c[1:] for c in chunks])
+    assert {tuple(r) for r in dedup.found(*frames(spark, docs, chunks), batches=1).collect()} == wanted and len(wanted) > 20
+
+
+def test_a_chain_of_300_versions(spark):
+    rng = random.Random(5)
+    text, docs, chunks = [f"c{i}" for i in range(60)], [], []
+    for k in range(300):
+        docs.append((k, None, dt.datetime(2025, 1, 1) + dt.timedelta(hours=k)))
+        chunks.append((k, k, 0, " ".join(text)))
+        for _ in range(2):
+            text[rng.randrange(60)] = f"n{rng.random()}"
+    assert {tuple(r) for r in dedup.found(*frames(spark, docs, chunks)).collect()} == brute(docs, [c[1:] for c in chunks])
+
+
+def test_very_long_and_repetitive_documents(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "STRETCH", 4)
+    monkeypatch.setattr(dedup, "SLICE", 200)
+    rng = random.Random(8)
+    docs, chunks = [], []
+
+    def add(doc, words, cut):
+        docs.append((doc, None, dt.datetime(2025, 1, 1 + doc)))
+        chunks.extend((len(chunks) + o, doc, o, " ".join(words[at : at + cut])) for o, at in enumerate(range(0, len(words), cut)))
+
+    base = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    edited = [x if rng.random() > 0.04 else f"x{rng.random()}" for x in base]
+    again = [f"s{i % 90}" for i in range(8050)]
+    add(0, base, 90), add(1, edited, 70), add(2, base[:2900], 1), add(3, again, 100), add(4, again + [f"s{i}" for i in range(20)] * 12, 8300), add(5, base + base, 50)
+    wanted = brute(docs, [c[1:] for c in chunks])
+    assert {tuple(r) for r in dedup.found(*frames(spark, docs, chunks)).collect()} == wanted and {(0, 1), (0, 5), (3, 4)} <= wanted
+
+
+def test_pairs_share_what_they_need():
+    rng = np.random.default_rng(3)
+    for a, b in [(20, 14), (25, 20), (28, 40), (33, 33), (60, 50), (95, 70), (99, 141), (100, 100), (150, 110), (300, 230), (2000, 1500), (5000, 5000)]:
+        for _ in range(60):
+            both = -(-7 * (a + b) // 17)
+            u = np.unique(rng.integers(0, 2**40, a + b - both + 9).astype(np.uint64))[: a + b - both]
+            order = rng.permutation(len(u))
+            x, y = np.sort(u[order[:a]]), np.sort(np.concatenate([u[order[:both]], u[order[a:]]]))
+            row, prints = dedup.winnow(np.concatenate([x, y]), np.array([len(x), len(y)]), np.array([len(x), len(y)]))
+            shared = len(np.intersect1d(prints[row == 0], prints[row == 1]))
+            assert shared >= dedup.need(np.array([max(a, b)]))[0], (a, b)
 
 
 def test_bloom_has_no_false_negatives():
