@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The key of the permutation. A deployment passes its own.
-KEY = b"lodestrata"
 ROUNDS = 8
+#: People of a directory that goes to the tasks whole; a larger one is joined with the words of the texts.
+KNOWN_PEOPLE = 1_000_000
 
 # --- Feistel ---------------------------------------------------------------------------------------------------------------------------------
 
 
-def feistel(value: int, size: int, key: bytes = KEY, tweak: str = "") -> int:
+def feistel(value: int, size: int, key: bytes, tweak: str = "") -> int:
     """A keyed permutation of 0 .. size - 1: alternating rounds over the two mixed-radix halves, walked on while outside the range."""
     if size < 2:
         return value
@@ -41,7 +41,7 @@ def feistel(value: int, size: int, key: bytes = KEY, tweak: str = "") -> int:
             return value
 
 
-def unfeistel(value: int, size: int, key: bytes = KEY, tweak: str = "") -> int:
+def unfeistel(value: int, size: int, key: bytes, tweak: str = "") -> int:
     """The inverse of :func:`feistel`."""
     if size < 2:
         return value
@@ -67,7 +67,7 @@ def _into(shape: str, digits: str) -> str:
     return "".join(next(new) if c.isdecimal() else c for c in shape)
 
 
-def permute_digits(text: str, key: bytes = KEY, tweak: str = "", keep: int = 0) -> str:
+def permute_digits(text: str, key: bytes, tweak: str = "", keep: int = 0) -> str:
     """All digits but the first ``keep``, permuted as one number of the same length; every other sign stays in place."""
     digits = "".join(str(int(c)) for c in text if c.isdecimal())
     head, tail = digits[:keep], digits[keep:]
@@ -81,7 +81,7 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-def permute_card(text: str, key: bytes = KEY) -> str:
+def permute_card(text: str, key: bytes) -> str:
     """Another card number of the same format with a valid check digit."""
     digits = "".join(c for c in text if c.isdecimal())
     body = str(feistel(int(digits[:-1]), 10 ** (len(digits) - 1), key, "card")).zfill(len(digits) - 1)
@@ -93,7 +93,73 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def permute_iban(text: str, key: bytes = KEY) -> str:
+#: Digits after the country code, where a country has one length; codes of other countries have as many digits as E.164 says. Fixed values.
+NATIONAL = {"1": 10, "7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "351": 9, "420": 9}
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_EXTENSION = re.compile(r"\s?(?:ext|x|extension|durchwahl|poste|int|app)\.?\s?\d{1,5}$", re.I)
+
+
+def country_code(digits: str) -> str:
+    """The country code that the digits after + or 00 begin with."""
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in _TWO_DIGITS else digits[:3]
+
+
+def permute_phone(text: str, key: bytes) -> str:
+    """Another number in the same format: the country code stays, so +33, 0033 and +33 (0) before one number give one pseudonym. An extension
+    is permuted for itself."""
+    m = _EXTENSION.search(text)
+    body, rest = (text[: m.start()], permute_digits(text[m.start() :], key, "ext")) if m else (text, "")
+    at = [i for i, c in enumerate(body) if c.isdecimal()]
+    digits = "".join(str(int(body[i])) for i in at)
+    skip, code = 0, ""
+    plain = body.lstrip(" (")
+    if plain.startswith(("+", "00")):
+        skip = 0 if plain.startswith("+") else 2
+        code = country_code(digits[skip:])
+        skip += len(code)
+        trunk = re.search(r"\(0\)", body)
+        at, digits = at[skip:], digits[skip:]
+        if trunk and trunk.start() + 1 in at:
+            gone = at.index(trunk.start() + 1)
+            at, digits = at[:gone] + at[gone + 1 :], digits[:gone] + digits[gone + 1 :]
+    if not digits:
+        return text
+    new = str(feistel(int(digits), 10 ** len(digits), key, f"phone{code}:{len(digits)}")).zfill(len(digits))
+    signs = list(body)
+    for i, c in zip(at, new):
+        signs[i] = c
+    return "".join(signs) + rest
+
+
+def permute_idnum(text: str, key: bytes) -> str:
+    """Another number in the same format. Check letters of DNI and NIE, the key of a French number and the last digit of a German one are right
+    again; equal numbers in other spacing give equal digits."""
+    plain = re.sub(r"[\s.-]", "", text).upper()
+    digits = "".join(c for c in plain if c.isdecimal())
+    if re.fullmatch(r"\d{8}[A-Z]", plain) or re.fullmatch(r"[XYZ]\d{7}[A-Z]", plain):
+        new = str(feistel(int(digits), 10 ** len(digits), key, f"dni{plain[:1] if plain[0] in 'XYZ' else ''}")).zfill(len(digits))
+        letter = _DNI_LETTERS[int((str("XYZ".index(plain[0])) if plain[0] in "XYZ" else "") + new) % 23]
+        out = _into(text, new)
+        return out[:-1] + (letter if text[-1].isupper() else letter.lower())
+    if plain.isdecimal() and len(plain) == 15:
+        body = str(feistel(int(plain[1:13]), 10**12, key, "nir")).zfill(12)
+        return _into(text, plain[0] + body + f"{97 - int(plain[0] + body) % 97:02d}")
+    if plain.isdecimal() and len(plain) == 11:
+        body = str(feistel(int(plain[:10]), 10**10, key, "tin")).zfill(10)
+        return _into(text, body + _mod11_10(body))
+    return permute_digits(text, key, "idnum")
+
+
+def _mod11_10(body: str) -> str:
+    """The check digit by the iterated products of 11 and 10."""
+    p = 10
+    for d in map(int, body):
+        p = (p + d) % 10 or 10
+        p = p * 2 % 11
+    return str((11 - p) % 10)
+
+
+def permute_iban(text: str, key: bytes) -> str:
     """Another IBAN of the same country and format with valid check digits; letters stay."""
     plain = re.sub(r"[\s-]", "", text).upper()
     body = permute_digits(plain[4:], key, plain[:2])
@@ -102,7 +168,7 @@ def permute_iban(text: str, key: bytes = KEY) -> str:
     return "".join(c if c.isspace() or c == "-" else next(new) for c in text)
 
 
-def permute_date(text: str, key: bytes = KEY) -> str:
+def permute_date(text: str, key: bytes) -> str:
     """Another date of the years 1900 to 2099 in the same format (year first with '-', or day first with '.' or '/'); else unchanged."""
     import datetime as dt
 
@@ -162,17 +228,42 @@ _DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 _SEP = r"[ \n.\-/]"
 _PHONE = re.compile(
     r"(?<![\w.,/+\-])(?:"
-    rf"(?:\+|00)[1-9]\d{{0,2}}{_SEP}?(?:\(\d{{1,5}}\)\d{{0,5}}|\d{{1,5}})(?:{_SEP}?\d{{1,4}}){{1,5}}\d{{2,8}}"
-    rf"|(?:\+|00)[1-9]\d{{0,2}}{_SEP}?(?:\(\d{{1,5}}\)\d{{0,5}}|\d{{1,5}})(?:{_SEP}?\d{{2,8}}){{1,5}}"
+    rf"(?P<abroad>(?:\+|00)[1-9]\d{{0,2}}(?:{_SEP}?\(\d{{1,5}}\))?(?:{_SEP}?\d{{1,8}})(?:{_SEP}?\d{{2,8}}){{0,6}})"
     rf"|\(0?\d{{2,5}}\){_SEP}?\d{{3,8}}(?:{_SEP}\d{{2,6}})*"
     rf"|0\d(?:{_SEP}\d\d){{4}}"
     rf"|0\d{{1,5}}{_SEP}\d{{3,8}}(?:{_SEP}\d{{2,6}}){{0,3}}"
     r"|0\d{9,10}"
     rf"|\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}"
     r"|[6-9]\d\d(?:[ .-]\d{3}){2}|[6-9]\d\d(?:[ .-]\d\d){3}"
-    r")(?:\s?(?:ext|x|extension|durchwahl|poste|int|app)\.?\s?\d{1,5})?(?![\w]|[.\-/]\d)",
+    r")(?P<more>\s?(?:ext|x|extension|durchwahl|poste|int|app)\.?\s?\d{1,5})?(?![\w]|[.\-/]\d)",
     re.I,
 )
+
+
+def _phone(text: str, m: re.Match) -> tuple[int, int]:
+    """Where a number ends. One from abroad ends with the group that fills its country's length, so that what follows a blank isn't taken for
+    more of it; where that is unknown, with the last group of up to 15 digits."""
+    if not m["abroad"] or m["more"]:
+        return m.span()
+    start, n, code = m.start(), 0, country_code("".join(c for c in m[0] if c.isdecimal())[0 if m[0][0] == "+" else 2 :])
+    skip = len(code) + (0 if m[0][0] == "+" else 2)
+    trunk = m[0].find("(0)")
+    most, whole = NATIONAL.get(code), m.start()
+    for i in range(start, m.end()):
+        if not text[i].isdecimal():
+            continue
+        if skip:
+            skip -= 1
+            continue
+        n += i != start + trunk + 1 or trunk < 0
+        if i + 1 == m.end() or not text[i + 1].isdecimal():
+            if n + len(code) <= 15:
+                whole = i + 1
+            if n == most:
+                break
+    return (start, whole) if whole > start else m.span()
+
+
 #: Six digits with at most two other signs between any two: what every number looked for has.
 _NUMBERS = re.compile(r"\d(?:[ .\-/\n()A-Za-z]{0,2}\d){5}")
 
@@ -297,7 +388,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
                 take(*m.span(), "card")
         for m in _PHONE.finditer(text):
             if 7 <= sum(c.isdecimal() for c in m[0]) <= 20 and not of_things(m.start()):
-                take(*m.span(), "phone")
+                take(*_phone(text, m), "phone")
     for signs, pattern in _ADDRESS:
         if any(x in text for x in signs):
             for m in pattern.finditer(text):
@@ -311,7 +402,7 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
 _MARKS = {"email": "[EMAIL]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
-def placeholder(kind: str, value: str, key: bytes = KEY) -> str:
+def placeholder(kind: str, value: str, key: bytes) -> str:
     """The typed placeholder of a value: numbers carry their pseudonym in the format they had."""
     if kind in _MARKS:
         return _MARKS[kind]
@@ -319,15 +410,14 @@ def placeholder(kind: str, value: str, key: bytes = KEY) -> str:
         return f"[CARD {permute_card(value, key)}]"
     if kind == "iban":
         return f"[IBAN {permute_iban(value, key)}]"
-    keep = {"phone": 2 if value.lstrip().startswith(("+", "00")) else 0}.get(kind, 0)
-    return f"[{kind.upper()} {permute_digits(value, key, kind, keep)}]"
+    return f"[{kind.upper()} {permute_phone(value, key) if kind == 'phone' else permute_idnum(value, key)}]"
 
 
 #: A date of birth: the only dates that are a person's.
 _BIRTH = re.compile(r"(\b(?:born|date of birth|geboren|geb\.|née?(?: le)?|nacid[oa]|fecha de nacimiento)\b[^\d\n]{0,12})(\d{4}-\d\d-\d\d|\d\d([./])\d\d\3\d{4})", re.I)
 
 
-def mask(text: str | None, names: Names, key: bytes = KEY) -> str | None:
+def mask(text: str | None, names: Names, key: bytes) -> str | None:
     """The text with placeholders; dates of birth become other dates in their format."""
     if not text:
         return text
@@ -338,12 +428,10 @@ def mask(text: str | None, names: Names, key: bytes = KEY) -> str | None:
     return _BIRTH.sub(lambda m: m[1] + permute_date(m[2], key), "".join([*parts, text[at:]]))
 
 
-def people(staff: DataFrame) -> Names:
-    """The directory. It is a table of people, read whole: a bound of a million rows is checked before it goes to the tasks."""
-    rows = staff.select("given_name", "family_name").distinct().limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("the directory of people is larger than a million rows")
-    return Names([tuple(r) for r in rows])
+def people(staff: DataFrame) -> Names | None:
+    """The directory, read whole if it has no more than KNOWN_PEOPLE rows; else None."""
+    rows = staff.select("given_name", "family_name").distinct().limit(KNOWN_PEOPLE + 1).collect()
+    return Names([tuple(r) for r in rows]) if len(rows) <= KNOWN_PEOPLE else None
 
 
 def records(requests: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -353,30 +441,51 @@ def records(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def found(requests: DataFrame, chunks: DataFrame, staff: DataFrame) -> DataFrame:
-    """p5_found: origin, rec_id, entity. Null ids and texts give no rows; a record delivered twice gives its rows once."""
+def with_people(rows: DataFrame, staff: DataFrame) -> DataFrame:
+    """``rows`` (origin, rec_id, text) with given and family: the names of the directory that occur in the text as words. For directories
+    that are too large for a task: the different words of the texts are joined with it, and come back by text."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}'’]+)"), F.lit(1)))).alias("word")
+    words = rows.where("text is not null").select(F.xxhash64("text").alias("of"), word).distinct()
+    out = rows.withColumn("of", F.xxhash64("text"))
+    for column in ("given_name", "family_name"):
+        known = staff.select(F.lower(F.trim(column)).alias("word")).where("word <> ''").distinct()
+        out = out.join(words.join(known, "word").groupBy("of").agg(F.collect_list("word").alias(column)), "of", "left")
+    return out.select("origin", "rec_id", "text", "given_name", "family_name")
+
+
+def _each(rows: DataFrame, staff: DataFrame, one, schema: str) -> DataFrame:
+    """``one`` (columns of a batch, the names of each row) over all records."""
     names = people(staff)
+    if names is None:
+        rows = with_people(rows, staff)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (origin, rec, kind)
-                for origin, rec, text in zip(*(c.to_pylist() for c in batch.columns))
-                for kind in {kind for _, _, kind in find(text, names)}
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["origin", "rec_id", "entity"])
+            origins, ids, texts, *own = (c.to_pylist() for c in batch.columns)
+            known = [Names([(g, None) for g in given or []] + [(None, f) for f in family or []]) for given, family in zip(*own)] if own else [names] * len(ids)
+            yield pa.RecordBatch.from_arrays(*one(origins, ids, texts, known))
+
+    return rows.mapInArrow(run, schema)
+
+
+def found(requests: DataFrame, chunks: DataFrame, staff: DataFrame) -> DataFrame:
+    """p5_found: origin, rec_id, entity. Null ids and texts give no rows; a record delivered twice gives its rows once."""
+
+    def one(origins, ids, texts, names):
+        rows = [(origin, rec, kind) for origin, rec, text, known in zip(origins, ids, texts, names) for kind in {kind for _, _, kind in find(text, known)}]
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["origin", "rec_id", "entity"]
 
     rows = records(requests, chunks).where("rec_id is not null and text is not null and text <> ''")
-    return rows.mapInArrow(run, "origin string, rec_id bigint, entity string").distinct()
+    return _each(rows, staff, one, "origin string, rec_id bigint, entity string").distinct()
 
 
-def masked(requests: DataFrame, chunks: DataFrame, staff: DataFrame, key: bytes = KEY) -> DataFrame:
-    """origin, rec_id, text with placeholders, one row for each row of either table; null and empty texts stay as they are."""
-    names = people(staff)
+def masked(requests: DataFrame, chunks: DataFrame, staff: DataFrame, key: bytes) -> DataFrame:
+    """origin, rec_id, text with placeholders, one row for each row of either table; null and empty texts stay as they are. ``key`` (16 to 64
+    bytes) is the deployment's secret: with the same key, equal values stay linked from run to run."""
+    if not 16 <= len(key or b"") <= 64:
+        raise ValueError("a secret key of 16 to 64 bytes is needed")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([mask(t, names, key) for t in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["origin", "rec_id", "text"])
+    def one(origins, ids, texts, names):
+        return [pa.array(origins, pa.string()), pa.array(ids, pa.int64()), pa.array([mask(t, known, key) for t, known in zip(texts, names)], pa.string())], ["origin", "rec_id", "text"]
 
-    return records(requests, chunks).mapInArrow(run, "origin string, rec_id bigint, text string")
+    return _each(records(requests, chunks), staff, one, "origin string, rec_id bigint, text string")

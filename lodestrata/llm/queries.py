@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import secrets
+
 from lodestrata.llm import ann, dedup, lines, mix, mojibake, pii, scans, tokens
 from lodestrata.session import table
 
@@ -39,7 +42,9 @@ def p5_found(spark, d):
 
 
 def p5_masked(spark, d):
-    return pii.masked(table(spark, d, "requests"), table(spark, d, "chunks"), table(spark, d, "staff"))
+    """The key is LODESTRATA_PII_KEY (hexadecimal). Without one a run draws its own, which nobody keeps: values are linked within the run only."""
+    key = os.environ.get("LODESTRATA_PII_KEY")
+    return pii.masked(table(spark, d, "requests"), table(spark, d, "chunks"), table(spark, d, "staff"), bytes.fromhex(key) if key else secrets.token_bytes(32))
 
 
 def p6_ids(spark, d):
