@@ -9,8 +9,8 @@ in what was accepted. The store is a folder: another process can open it and go
 Why runs of neighbours find every pair: let both documents together have u sequences of which at least 0.7 u are common. The others, at most
 0.3 u, cut the ordered sequences into at most 0.3 u + 1 stretches of common ones; so at least 0.7 u - 2 (0.3 u + 1) = 0.1 u - 2 runs of three
 lie within such a stretch. That holds for any texts, wherever the edits are, and is how documents of fewer than LONG sequences are looked up.
-Longer ones are looked up with runs of four among the lowest hashes, of which there are some 25 to 45 common ones at a similarity of 0.7 (hashes
-scatter, so the places of edits don't matter); NEED of them make a candidate.
+Longer ones are looked up with runs of four and, from VERY_LONG on, of five among the lowest hashes, of which there are some 25 to 40 common ones
+at a similarity of 0.7 (hashes scatter, so the places of edits don't matter); a few of them make a candidate.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from lodestrata.session import Scratch, file_system, input_parts, materialize
 #: Words of a sequence, and the part of all sequences of two documents that both must have, in tenths.
 SHINGLE, TENTHS = 3, 7
 PRINT_BITS = 40
-#: Documents of up to so many sequences are also looked up with single ones, those of less than LONG with runs of three, those that may meet
-#: one of LONG or more with runs of four; so many runs of a document are taken, about.
-SHORT, LONG, WINNOWED = 28, 100, 160
-#: Runs of four that two documents must share to be verified.
-NEED = 6
+#: Documents of up to SHORT sequences are looked up with single ones; if the larger of two has less than LONG, with runs of three, if less than
+#: VERY_LONG, with runs of four, else of five. So many runs of a document are taken, about.
+SHORT, LONG, VERY_LONG, WINNOWED = 28, 100, 160, 200
+#: Runs of four, and of five, that two documents must share to be verified.
+NEED_FOUR, NEED_FIVE = 6, 4
 #: Sequences of a slice, about: what is compared at once of a very long document. Chunks of a document that are read in order together.
 SLICE, STRETCH = 16_384, 512
 #: Lowest hashes of a very long document that are kept aside; some WINNOWED of them are needed.
@@ -268,7 +268,7 @@ def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def long_documents(parts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(documents, slices) of documents of more than one stretch. What crosses stretches is put in order from their ends alone, the sequences
     come together slice by slice, so no task holds a whole document."""
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.sum("words") / SLICE))).cast("int").alias("level")
+    level = F.greatest(F.lit(1), F.ceil(F.log2(F.sum("words") / SLICE))).cast("int").alias("level")
     heads = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "head", "tail"))).alias("ends"), level, F.min("t").alias("t"), F.min("sha").alias("sha"))
     heads = scratch.keep(heads, "long-heads")
     every = parts.join(heads.select("doc_id", "level"), "doc_id").select("doc_id", "level", "prints").unionByName(heads.select("doc_id", "level", "ends").mapInArrow(_joints, "doc_id bigint, level int, prints binary"))
@@ -290,7 +290,8 @@ def winnow(prints: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[n
     row = np.repeat(np.arange(len(counts)), counts)
     below = np.minimum(1.0, WINNOWED / np.maximum(sizes, 1)) * 2.0**PRINT_BITS
     out_row, out = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for run, who in ((1, sizes <= SHORT), (3, (sizes < LONG) & (sizes > SHORT * TENTHS // 10)), (4, sizes * 10 >= LONG * TENTHS)):
+    small, middle, large = (sizes * 10 >= least * TENTHS for least in (SHORT, LONG, VERY_LONG))
+    for run, who in ((1, sizes <= SHORT), (3, small & (sizes < LONG)), (4, middle & (sizes < VERY_LONG)), (5, large)):
         g = grams(prints, run)
         if len(g):
             first = row[: len(g)]
@@ -303,7 +304,7 @@ def winnow(prints: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[n
 def need(larger: np.ndarray) -> np.ndarray:
     """Fingerprints that two documents must share, of which the larger has so many sequences."""
     few = np.where(larger <= SHORT, -(-larger * TENTHS // 10), np.maximum(1, larger // 10 - 2))
-    return np.where(larger < LONG, few, NEED)
+    return np.where(larger < LONG, few, np.where(larger < VERY_LONG, NEED_FOUR, NEED_FIVE))
 
 
 _POSTINGS = "part int, docs array<bigint>, sizes array<bigint>, counts array<int>, prints array<bigint>"
@@ -361,29 +362,47 @@ def bloom_test(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _built(group: pa.Table) -> pa.Table:
-    prints = np.unique(group.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64))
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([bloom_build(prints).tobytes()], pa.binary())})
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter of each part that the task reads; a part in several files has several."""
+    seen: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, prints in zip(batch.column("part").to_pylist(), batch.column("prints")):
+            seen.setdefault(part, []).append(np.unique(prints.values.to_numpy().view(np.uint64)))
+    rows = [bloom_build(np.unique(np.concatenate(own))).tobytes() for own in seen.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(rows, pa.binary())], names=["part", "bits"])
+
+
+_NAMES = [x.split()[0] for x in _POSTINGS.split(", ")]
+
+
+def _none() -> pa.Table:
+    return pa.table({n: pa.array([], t) for n, t in zip(_NAMES, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
+
+
+def _of_part(part: int, docs: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> pa.Table:
+    n = np.array([len(docs)])
+    return pa.table({"part": pa.array([part], pa.int32()), "docs": _lists(docs, n), "sizes": _lists(sizes, n), "counts": _lists(np.ones(n[0], np.int32), n, pa.int32()), "prints": _lists(prints.view(np.int64), n)})
 
 
 def _screened(batch: pa.Table, blooms: pa.Table) -> pa.Table:
-    prints = np.unique(batch.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64)) if batch.num_rows else np.empty(0, np.uint64)
-    hit = np.zeros(len(prints), bool)
+    """A part's postings of the batch that may match: those that the filters let pass, and those of several documents of the batch."""
+    if not batch.num_rows:
+        return _none()
+    docs, sizes, prints = _flat(batch)
+    unique, at, n = np.unique(prints, return_inverse=True, return_counts=True)
+    hit = n > 1
     for bits in blooms.column("bits"):
-        hit |= bloom_test(np.frombuffer(bits.as_buffer(), np.uint8), prints)
-    if not hit.any():
-        return pa.table({"part": pa.array([], pa.int32()), "prints": pa.array([], pa.list_(pa.int64()))})
-    return pa.table({"part": pa.array([batch.column("part")[0].as_py()], pa.int32()), "prints": _lists(prints[hit].view(np.int64), np.array([hit.sum()]))})
+        hit |= bloom_test(np.frombuffer(bits.as_buffer(), np.uint8), unique)
+    hit = hit[at]
+    return _of_part(batch.column("part")[0].as_py(), docs[hit], sizes[hit], prints[hit]) if hit.any() else _none()
 
 
 def _looked_up(wanted: pa.Table, store: pa.Table) -> pa.Table:
-    names = [x.split()[0] for x in _POSTINGS.split(", ")]
     if not wanted.num_rows or not store.num_rows:
-        return store.slice(0, 0).select(names) if store.num_rows else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())))})
+        return _none()
     docs, sizes, prints = _flat(store)
-    hit = np.isin(prints, np.concatenate([x.values.to_numpy() for x in wanted.column("prints")]).view(np.uint64))
-    n = np.array([int(hit.sum())])
-    return pa.table({"part": pa.array([wanted.column("part")[0].as_py()], pa.int32()), "docs": _lists(docs[hit], n), "sizes": _lists(sizes[hit], n), "counts": _lists(np.ones(n[0], np.int32), n, pa.int32()), "prints": _lists(prints[hit].view(np.int64), n)})
+    hit = np.isin(prints, np.unique(np.concatenate([x.values.to_numpy() for x in wanted.column("prints")])).view(np.uint64))
+    return _of_part(wanted.column("part")[0].as_py(), docs[hit], sizes[hit], prints[hit])
 
 
 def _counted(a: list, b: list, sa: list, sb: list) -> pa.RecordBatch:
@@ -444,11 +463,12 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b, sa, sb) of which at least TENTHS of all sequences occur in both. ``units``: doc_id, level, slice, prints.
 
-    Documents in different numbers of slices are compared at the smaller number: each finer slice with the coarser one that holds it.
+    Documents in different numbers of slices are compared at the smaller number: each finer slice with the coarser one that holds it. A
+    document's level is the low six bits of its size; the first stretch of one that has slices is no unit.
     """
     least = F.least(F.col("sa").bitwiseAND(F.lit(63)), F.col("sb").bitwiseAND(F.lit(63)))
     rows = pairs.withColumn("least", least)
-    side = lambda me: rows.join(units.select(F.col("doc_id").alias(me), "level", "slice", F.col("prints").alias(f"prints_{me}")), me).withColumn("at", F.expr("shiftright(slice, level - cast(least as int))")).drop("level", "slice", "least")
+    side = lambda me: rows.join(units.select(F.col("doc_id").alias(me), "level", "slice", F.col("prints").alias(f"prints_{me}")), me).where(F.col(f"s{me}").bitwiseAND(F.lit(63)) == F.col("level")).withColumn("at", F.expr("shiftright(slice, level - cast(least as int))")).drop("level", "slice", "least")
     both = side("a").join(side("b").drop("sa", "sb"), ["a", "b", "at"]).select("a", "b", "sa", "sb", "prints_a", "prints_b")
     counts = both.mapInArrow(_common, "a bigint, b bigint, sa bigint, sb bigint, both bigint").groupBy("a", "b", "sa", "sb").agg(F.sum("both").alias("both"))
     union = F.shiftright("sa", 6) + F.shiftright("sb", 6) - F.col("both")
@@ -463,26 +483,30 @@ class Store:
     fingerprints, by part) and Bloom filters of each part.
 
     Each batch adds files of its own; nothing is rewritten. A batch counts when its mark is written, last of all, so one that broke off leaves
-    nothing but files that no one reads.
+    nothing but files that no one reads. Units of documents that weren't accepted stay where they are and are never asked for.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        fs, at = file_system(spark, f"{self.path}/store.json")
-        stream = fs.open(at)
-        try:
-            meta = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        meta = json.loads(self._text("store.json"))
         self.parts, self.buckets = meta["parts"], meta["buckets"]
         fs, at = file_system(spark, f"{self.path}/done")
         self.batches = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        self.places = [x for b in self.batches for x in json.loads(self._text(f"done/{b}"))]
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, parts: int, buckets: int | None = None) -> Store:
         cls._write(spark, f"{path.rstrip('/')}/store.json", json.dumps({"parts": parts, "buckets": buckets or 2 * parts}))
         return cls(spark, path)
 
+    def _text(self, name: str) -> str:
+        fs, at = file_system(self.spark, f"{self.path}/{name}")
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     @staticmethod
     def _write(spark: SparkSession, path: str, text: str) -> None:
         fs, at = file_system(spark, path)
@@ -499,35 +523,51 @@ class Store:
     def documents(self) -> DataFrame | None:
         return self.read("documents", "doc_id bigint, t bigint, sha string, size bigint, text bigint")
 
-    def units(self) -> DataFrame | None:
-        return self.read("units", "doc_id bigint, level int, slice bigint, prints binary, bucket int")
-
-    def add(self, accepted: DataFrame, units: DataFrame, lows: DataFrame) -> None:
-        """Takes in the accepted documents of a batch: ``units`` as compared, ``lows`` (doc_id, size, prints) as looked up."""
+    def units(self, places: list[str] | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """doc_id, level, slice, prints at ``places`` (those of all batches that are done), of some buckets."""
+        places = self.places if places is None else places
+        if not places:
+            return None
+        rows = self.spark.read.schema("doc_id bigint, level int, slice bigint, prints binary, run string, batch int, bucket int").option("basePath", f"{self.path}/units").parquet(*(f"{self.path}/units/{x}" for x in places))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows.select("doc_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("slice", F.lit(0)).cast("bigint").alias("slice"), "prints")
+
+    def write_units(self, rows: DataFrame, run: str) -> DataFrame:
+        """Writes units, or stretches, with batch and bucket, to their place in the store; see :meth:`places_of`."""
+        rows.write.partitionBy("batch", "bucket").parquet(f"{self.path}/units/run={run}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/units/run={run}")
+
+    def places_of(self, runs: list[str], batch: int) -> list[str]:
+        """Where the units of a batch are, of those runs that have any."""
+        out = [f"run={run}/batch={batch}" for run in runs]
+        return [x for x in out if file_system(self.spark, f"{self.path}/units/{x}")[0].exists(file_system(self.spark, f"{self.path}/units/{x}")[1])]
+
+    def add(self, accepted: DataFrame, lows: DataFrame, places: list[str]) -> None:
+        """Takes in the accepted documents of a batch: ``lows`` (doc_id, size, prints) as looked up, ``places`` of their units."""
         name = f"{len(self.batches):06d}-{uuid.uuid4().hex[:8]}"
         at = lambda what: f"{self.path}/{what}/batch={name}"
         accepted.write.parquet(at("documents"))
         accepted = self.spark.read.schema(accepted.schema).parquet(at("documents"))
-        some = accepted.where("text is not null").select("doc_id")
-        units.join(some, "doc_id", "left_semi").repartition("bucket").write.partitionBy("bucket").parquet(at("units"))
-        posted = postings(lows.join(some, "doc_id", "left_semi"), self.parts)
+        posted = postings(lows.join(accepted.where("text is not null").select("doc_id"), "doc_id", "left_semi"), self.parts)
         posted.repartition("part").write.partitionBy("part").parquet(at("postings"))
         posted = self.spark.read.schema(_POSTINGS).parquet(at("postings"))
-        posted.select("part", "prints").groupBy("part").applyInArrow(_built, "part int, bits binary").write.parquet(at("blooms"))
-        self._write(self.spark, f"{self.path}/done/{name}", "")
+        posted.select("part", "prints").mapInArrow(_built, "part int, bits binary").write.parquet(at("blooms"))
+        self._write(self.spark, f"{self.path}/done/{name}", json.dumps(places))
         self.batches.append(name)
+        self.places += places
 
-    def hits(self, posted: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """The store's postings of those fingerprints that the Bloom filters let pass; only their parts are read."""
+    def live(self, posted: DataFrame, scratch: Scratch) -> DataFrame:
+        """``posted`` with new, and the store's postings they meet: fingerprints that the Bloom filters don't let pass, and that one document of
+        the batch has, are left out, and only the store's parts of the others are read."""
         if not self.batches:
-            return None
+            return posted.withColumn("new", F.lit(True))
         blooms = self.read("blooms", "part int, bits binary")
-        passed = scratch.keep(posted.select("part", "prints").groupBy("part").cogroup(blooms.groupBy("part")).applyInArrow(_screened, "part int, prints array<bigint>"), "passed")
-        there = [r.part for r in passed.select("part").distinct().collect()]  # numbers of parts
-        if not there:
-            return None
-        stored = self.read("postings", _POSTINGS).where(F.col("part").isin(there))
-        return passed.groupBy("part").cogroup(stored.select(*(x.split()[0] for x in _POSTINGS.split(", "))).groupBy("part")).applyInArrow(_looked_up, _POSTINGS)
+        own = scratch.keep(posted.groupBy("part").cogroup(blooms.groupBy("part")).applyInArrow(_screened, _POSTINGS), "live")
+        there = [r.part for r in own.select("part").distinct().collect()]  # numbers of parts
+        stored = self.read("postings", _POSTINGS).where(F.col("part").isin(there)).select(*_NAMES)
+        hits = own.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(_looked_up, _POSTINGS)
+        return own.withColumn("new", F.lit(True)).unionByName(hits.withColumn("new", F.lit(False)))
 
 
 # --- a batch ---------------------------------------------------------------------------------------------------------------------------------
@@ -541,24 +581,17 @@ def _union(*frames: DataFrame | None) -> DataFrame:
     return out
 
 
-def links_of(lows: DataFrame, units: DataFrame, docs: DataFrame, store: Store, scratch: Scratch) -> DataFrame | None:
+def links_of(lows: DataFrame, docs: DataFrame, places: list[str], store: Store, scratch: Scratch) -> DataFrame | None:
     """(text, other): classes of equal sets, of the batch with each other and with the store, that are near-duplicates; both ways. None if the
     batch has a fingerprint of more than HOT documents."""
-    posted = postings(lows, store.parts)
-    if store.batches:
-        posted = scratch.keep(posted, "posted")
-    hits = store.hits(posted, scratch)
-    both = _union(posted.withColumn("new", F.lit(True)), hits and hits.withColumn("new", F.lit(False)))
-    pairs = both.repartition("part").sortWithinPartitions("part").mapInArrow(_paired(HOT), "a bigint, b bigint, sa bigint, sb bigint, k bigint")
+    live = store.live(postings(lows, store.parts), scratch)
+    pairs = live.repartition("part").sortWithinPartitions("part").mapInArrow(_paired(HOT), "a bigint, b bigint, sa bigint, sb bigint, k bigint")
     counted = scratch.keep(pairs.groupBy("a", "b", "sa", "sb").agg(F.sum("k").alias("k")).where(F.col("a").isNull() | (F.col("k") >= _need(F.shiftright(F.greatest("sa", "sb"), 6)))), "candidates")
     if not counted.where("a is null").isEmpty():
         return None
     ids = scratch.keep(counted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
-    old = store.units()
-    if old is not None:
-        there = [r[0] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(store.buckets)).cast("int")).distinct().collect()]  # numbers of buckets
-        old = old.where(F.col("bucket").isin(there)).select("doc_id", "level", "slice", "prints")
-    own = scratch.keep(_union(units.select("doc_id", "level", "slice", "prints"), old).join(ids, "doc_id", "left_semi"), "candidate-units")
+    there = [r[0] for r in ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(store.buckets)).cast("int")).distinct().collect()]  # numbers of buckets
+    own = scratch.keep(store.units(sorted({*store.places, *places}), there).join(ids, "doc_id", "left_semi"), "candidate-units")
     sure = verified(counted.drop("k"), own)
     named = _union(docs.select("doc_id", "text"), store.batches and store.documents().select("doc_id", "text") or None).join(ids, "doc_id", "left_semi")
     sure = sure.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").where("x <> y")
@@ -567,7 +600,7 @@ def links_of(lows: DataFrame, units: DataFrame, docs: DataFrame, store: Store, s
 
 def _need(larger):
     few = F.when(larger <= SHORT, F.ceil(larger * TENTHS / 10)).otherwise(F.greatest(F.lit(1), F.floor(larger / 10) - 2))
-    return F.when(larger < LONG, few).otherwise(F.lit(NEED))
+    return F.when(larger < LONG, few).when(larger < VERY_LONG, NEED_FOUR).otherwise(NEED_FIVE)
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -627,44 +660,46 @@ def decide(docs: DataFrame, links: DataFrame, store: Store, scratch: Scratch) ->
     return whole, _repeating(docs.join(whole.select("doc_id"), "doc_id", "left_anti"), _union(old, whole), links, ["doc_id"])
 
 
-def ingest(docs: DataFrame, units: DataFrame, lows: DataFrame, store: Store, scratch: Scratch, keep: bool = True) -> list[DataFrame]:
+def ingest(docs: DataFrame, lows: DataFrame, places: list[str], store: Store, scratch: Scratch, keep: bool = True) -> list[DataFrame]:
     """(doc_id, first) of one batch, in one frame or several; the store takes in what is accepted (the last batch of a replay needn't be kept).
 
-    docs: doc_id, t, sha, size, text. units: doc_id, level, slice, bucket, prints. lows: doc_id, size, prints, of which the lowest hashes count.
+    docs: doc_id, t, sha, size, text. lows: doc_id, size, prints, of which the lowest hashes count. places: where their units are in the store.
     """
     # one document of each class of equal sets is looked up
     first = docs.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("stands"))
     others = scratch.keep(docs.join(first, "text").where("doc_id <> stands").select("doc_id"), "copies")
-    links = links_of(lows.join(others, "doc_id", "left_anti"), units, docs, store, scratch)
+    links = places and links_of(lows.join(others, "doc_id", "left_anti"), docs, places, store, scratch)
+    if links == []:
+        links = docs.sparkSession.createDataFrame([], "text bigint, other bigint")
     if links is None:
         by = "t" if docs.select("t").distinct().limit(2).count() > 1 else "doc_id"
         low, middle = docs.approxQuantile(by, [0.0, 0.5], 0.01)
         cut = F.col(by) <= F.lit(middle) if middle < docs.agg(F.max(by)).first()[0] else F.col(by) <= F.lit(low)
-        return [x for half, last in ((docs.where(cut), False), (docs.where(~cut), True)) for x in ingest(scratch.keep(half, "half"), units.join(half.select("doc_id"), "doc_id", "left_semi"), lows.join(half.select("doc_id"), "doc_id", "left_semi"), store, scratch, keep or not last)]
+        return [x for half, last in ((docs.where(cut), False), (docs.where(~cut), True)) for x in ingest(scratch.keep(half, "half"), lows.join(half.select("doc_id"), "doc_id", "left_semi"), places, store, scratch, keep or not last)]
     accepted, repeats = decide(docs, links, store, scratch)
     repeats = scratch.keep(repeats, "repeats")
     if keep:
-        store.add(accepted, units, lows)
+        store.add(accepted, lows, places)
     return [repeats]
 
 
-def prepared(documents: DataFrame, chunks: DataFrame, store: Store, scratch: Scratch, cuts: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, units, lows) as :func:`ingest` takes them, with the number of the batch of each document."""
+def prepared(documents: DataFrame, chunks: DataFrame, store: Store, scratch: Scratch, cuts: list[int]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(docs, lows) as :func:`ingest` takes them, with the number of the batch of each document, and the runs that hold the units."""
     number = sum(((F.col("t") >= F.lit(int(c))).cast("int") for c in cuts), F.lit(0)).alias("batch")
-    rows = scratch.keep(stretches(documents, chunks, store.buckets).select("*", F.when(F.col("t").isNotNull(), number).otherwise(F.lit(-1)).alias("batch")), "stretches", ("batch",))
+    runs = [uuid.uuid4().hex]
+    rows = store.write_units(stretches(documents, chunks, store.buckets).select("*", F.when(F.col("t").isNotNull(), number).otherwise(F.lit(-1)).alias("batch")), runs[0])
     long = scratch.keep(rows.where("stretch <> 0").select("doc_id").distinct(), "long")
-    few = rows.where("t is not null")
-    if long.isEmpty():
-        docs, slices, lows = few, None, few
-    else:
+    docs = lows = rows.where("t is not null")
+    if not long.isEmpty():
         long_docs, slices = long_documents(rows.join(long, "doc_id", "left_semi").drop("batch"), scratch)
         long_docs = scratch.keep(long_docs.select("*", number), "long-documents")
-        few = few.join(long, "doc_id", "left_anti")
+        few = docs.join(long, "doc_id", "left_anti")
         docs, lows = few.unionByName(long_docs.drop("low"), allowMissingColumns=True), few.select("batch", "doc_id", "size", "prints").unionByName(long_docs.select("batch", "doc_id", "size", F.col("low").alias("prints")))
+        runs.append(uuid.uuid4().hex)
         slices = slices.join(long_docs.select("doc_id", "batch"), "doc_id").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(store.buckets)).cast("int"))
+        store.write_units(slices.repartition("batch", "bucket"), runs[1])
     docs = scratch.keep(docs.select("batch", "doc_id", "t", "sha", "size", "text"), "documents", ("batch",))
-    units = few.where("text is not null").select("batch", "doc_id", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("slice"), "bucket", "prints")
-    return docs, _union(units, slices), lows.select("batch", "doc_id", "size", "prints")
+    return docs, lows.where("size >= 64").select("batch", "doc_id", "size", "prints"), runs
 
 
 def add_batch(documents: DataFrame, chunks: DataFrame, store: Store) -> DataFrame:
@@ -672,8 +707,8 @@ def add_batch(documents: DataFrame, chunks: DataFrame, store: Store) -> DataFram
     ``chunks`` are those of the batch. The result is written beside the store."""
     scratch = Scratch(documents.sparkSession, "dedup-batch")
     try:
-        docs, units, lows = (x.drop("batch") for x in prepared(documents, chunks, store, scratch, []))
-        out = _union(*ingest(docs, units, lows, store, scratch))
+        docs, lows, runs = prepared(documents, chunks, store, scratch, [])
+        out = _union(*ingest(docs.drop("batch"), lows.drop("batch"), store.places_of(runs, 0), store, scratch))
         path = f"{store.path}/repeats/{uuid.uuid4().hex}"
         out.write.parquet(path)
     finally:
@@ -698,11 +733,11 @@ def found(documents: DataFrame, chunks: DataFrame, batches: int | None = 2) -> D
         cuts = sorted({int(c) for c in days.approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01)}) if batches > 1 else []
     parts = max(4, 2 * input_parts(chunks))
     store = Store.create(spark, f"{scratch.path}/store", parts)
-    docs, units, lows = prepared(documents, chunks, store, scratch, cuts)
+    docs, lows, runs = prepared(documents, chunks, store, scratch, cuts)
     out = []
     for k in range(len(cuts) + 1):
         of = lambda x: x.where(F.col("batch") == k).drop("batch")  # noqa: B023, E731
-        out += ingest(of(docs), of(units), of(lows), store, scratch, keep=k < len(cuts))
+        out += ingest(of(docs), of(lows), store.places_of(runs, k), store, scratch, keep=k < len(cuts))
     pairs = _union(*out).select(F.least("doc_id", "first").alias("doc_a"), F.greatest("doc_id", "first").alias("doc_b"))
     return _kept(pairs.distinct(), scratch)
 
