@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import Scratch, materialize
 
 ROUNDS = 4
 #: Encodings in which UTF-8 bytes were read, and pairs of single-byte encodings (read as, written in).
@@ -57,9 +57,14 @@ def _as_bytes(text: str, encoding: str) -> bytes | None:
 
 
 def _usual(c: str) -> bool:
-    """Whether a sign belongs to a script or to signs that texts are written with; rare scripts are what chance pairs of signs decode to."""
+    """Whether a sign may be what a sequence was. Left out are only those that chance pairs of signs decode to: phonetic and historic signs,
+    points of other scripts, and private ones. Three signs and more that decode by chance don't occur, so all their scripts may be."""
     n = ord(c)
-    return 0xA0 <= n <= 0x24F or 0x300 <= n <= 0x45F or 0x5D0 <= n <= 0x6FF or 0x1E00 <= n <= 0x22FF or 0x2500 <= n <= 0x27BF or 0x3000 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or n >= 0xF900
+    return 0xA0 <= n <= 0x24F or 0x300 <= n <= 0x45F or 0x530 <= n <= 0x58F or 0x5D0 <= n <= 0x6FF or n >= 0x900 and not 0xE000 <= n <= 0xF8FF
+
+
+def _lonely(c: str) -> bool:
+    return "\u0530" <= c <= "\u058f"
 
 
 def _utf8(text: str, encoding: str) -> str | None:
@@ -87,31 +92,52 @@ def _sequences() -> dict[str, re.Pattern]:
     return out
 
 
-@cache
+#: Runs that are remembered are no longer than this; texts in other scripts have long ones that don't come again.
+KNOWN_RUN = 8
+
+
 def split_run(run: str) -> tuple[str, ...]:
     """A run of signs outside ASCII, cut into units: sequences that decode to one sign (through one or two readings), else single signs."""
-    units, at = [], 0
+    return _known_run(run) if len(run) <= KNOWN_RUN else _split(run)
+
+
+def _split(run: str) -> tuple[str, ...]:
+    units, at, before = [], 0, {}
     while at < len(run):
-        best = 1
+        reach: dict[str, int] = {}
         for e, pattern in _sequences().items():
             m = pattern.match(run, at)
             if not m or _utf8(m[0], e) is None:
                 continue
             end, decoded = m.end(), _utf8(m[0], e)
-            best = max(best, end - at)
+            if _lonely(decoded):  # two signs of a text may look so; a word of that script has several in a row
+                more = pattern.match(run, end)
+                beside = [x for x in (more and _utf8(more[0], e), units and _utf8(units[-1], e)) if x]
+                if not any(map(_lonely, beside)):
+                    continue
+            reach[e] = end - at
             # read twice: sequences whose decoded signs are again one sequence
             while len(decoded) < 4 and (n := pattern.match(run, end)) and (more := _utf8(n[0], e)) is not None:
                 end, decoded = n.end(), decoded + more
                 if (twice := _utf8(decoded, e)) is not None and len(twice) == 1:
-                    best = max(best, end - at)
+                    reach[e] = end - at
+        # what stands beside a sequence was read in the same encoding, if it can have been
+        before = {e: n for e, n in reach.items() if e in before} or reach
+        best = max(before.values(), default=1)
         units.append(run[at : at + best])
         at += best
     return tuple(units)
 
 
-@cache
+_known_run = lru_cache(50_000)(_split)
+
+
+@lru_cache(100_000)
 def decodings(unit: str) -> tuple[tuple[str, str], ...]:
-    """(chain, what the unit was before) for each chain that could have made it, and ("", the unit itself)."""
+    """(chain, what the unit was before) for each chain that could have made it, and ("", the unit itself). The sign for lost bytes is never
+    clean: its only chain is "lost"."""
+    if unit == LOST:
+        return (("lost", unit),)
     out = {"": unit}
     for e in READ_AS:
         once = _utf8(unit, e)
@@ -188,112 +214,129 @@ def occurrences(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan, "doc_id bigint, source string, l string, unit string, r string, n bigint")
 
 
-def _scores(pool: DataFrame, clean: DataFrame, weights: DataFrame) -> DataFrame:
-    """``pool`` (source, l, unit, r, n, chain, was) with p: the weight of the chain times how usual the earlier sign is in that place."""
-    c2 = clean.groupBy("l", "was", "r").agg(F.sum("m").alias("c2"))
-    c1 = clean.groupBy(F.substring("l", 2, 1).alias("l1"), "was", F.substring("r", 1, 1).alias("r1")).agg(F.sum("m").alias("c1"))
-    c0 = clean.groupBy("was").agg(F.sum("m").alias("c0"))
-    at = pool.withColumn("l1", F.substring("l", 2, 1)).withColumn("r1", F.substring("r", 1, 1))
-    at = at.join(c0, "was", "left").join(c1, ["l1", "was", "r1"], "left").join(c2, ["l", "was", "r"], "left").join(weights, ["source", "chain"], "left")
-    usual = F.coalesce("c2", F.lit(0.0)) + F.coalesce("c1", F.lit(0.0)) / 300 + F.coalesce("c0", F.lit(0.0)) / 100_000
-    # several signs of which none belongs to another are rarer together than a count of the whole says
-    alone = F.when(F.col("chain") == "", F.pow(F.lit(1e-4), F.length("unit") - 1)).otherwise(F.lit(1.0))
-    return at.withColumn("e", usual * alone).withColumn("weight", F.coalesce("weight", F.lit(1e-6))).withColumn("p", F.col("weight") * F.col("e")).drop("l1", "r1", "c0", "c1", "c2")
+def _usuals(pool: DataFrame) -> DataFrame:
+    """l, was, r, usual: how usual each earlier sign is in its place, from ``pool`` with m, the clean units that each row stands for. Counts
+    are summed to one row a place before those of wider contexts are."""
+    places = pool.groupBy("l", "was", "r").agg(F.sum(F.when(F.col("m") > 1e-6, F.col("m")).otherwise(0.0)).alias("c2"))
+    near, sign = W.partitionBy("was", F.substring("l", 2, 1), F.substring("r", 1, 1)), W.partitionBy("was")
+    usual = F.col("c2") + F.sum("c2").over(near) / 300 + F.sum("c2").over(sign) / 100_000
+    return places.withColumn("usual", usual).select("l", "was", "r", "usual")
 
 
-def _shared(scored: DataFrame, keys: list[str]) -> DataFrame:
-    total = F.sum("p").over(W.partitionBy(*keys))
-    return scored.withColumn("post", F.when(total > 0, F.col("p") / total).otherwise((F.col("chain") == "").cast("double"))).drop("p")
+def _scores(pool: DataFrame, weights: DataFrame) -> DataFrame:
+    """``pool`` (source, l, unit, r, n, chain, was, m) with e, weight and post: the weight of the chain times how usual the earlier sign is in
+    that place, shared among the chains of a unit."""
+    at = pool.drop("e", "weight", "post").join(_usuals(pool), ["l", "was", "r"]).join(weights, ["source", "chain"], "left")
+    # several signs of which none belongs to another are rarer together than a count of the whole says
+    alone = F.when(F.col("chain") == "", F.pow(F.lit(1e-4), F.length("unit") - 1)).otherwise(F.lit(1.0))
+    at = at.withColumn("e", F.col("usual") * alone).withColumn("weight", F.coalesce("weight", F.lit(1e-6))).withColumn("p", F.col("weight") * F.col("e"))
+    total = F.sum("p").over(W.partitionBy("source", "l", "unit", "r"))
+    post = F.when(total > 0, F.col("p") / total).otherwise((F.col("chain") == "").cast("double"))
+    return at.withColumn("post", post).withColumn("m", F.col("n") * F.col("post")).drop("p", "usual")
 
 
-def estimate(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pool, clean) after EM: the posterior of each (source, l, unit, r, chain), and the weighted counts of clean units.
+def estimate(seen: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """source, l, unit, r, n, chain, was, e, weight, post, m after EM: the posterior of each chain, and the clean units it stands for.
 
     Everything is aggregated to one row for each different unit of a source before the first round, so a hot source costs no more than its
-    different units. Each round is two joins over that table and is written to the shared folder, which cuts its lineage.
+    different units. A chain whose earlier sign occurs nowhere as a unit is never anything: e is 0 in every round, so it is left out, which
+    changes no posterior. Each round is written to the shared folder, which cuts its lineage.
     """
-    totals = seen.groupBy("source", "l", "unit", "r").agg(F.sum("n").alias("n"))
-    made = totals.select("unit").distinct().mapInArrow(_candidates, "unit string, chain string, was string")
-    pool = materialize(totals.join(made, "unit").select("source", "l", "unit", "r", "n", "chain", "was"), "pool")
-    clean = pool.where("chain = ''").select("l", "was", "r", F.col("n").cast("double").alias("m"))
+    totals = scratch.keep(seen.groupBy("source", "l", "unit", "r").agg(F.sum("n").alias("n")), "totals")
+    units = scratch.keep(totals.select("unit").distinct(), "different")
+    made = units.mapInArrow(_candidates, "unit string, chain string, was string").join(units.withColumnRenamed("unit", "was"), "was", "left_semi")
+    itself = F.col("chain").isin("", "lost")
+    pool = totals.join(made, "unit").select("source", "l", "unit", "r", "n", "chain", "was", F.when(itself, F.col("n")).otherwise(0).cast("double").alias("m"))
+    pool = scratch.keep(pool, "pool")
     weights = pool.select("source", "chain").distinct().withColumn("weight", F.when(F.col("chain") == "", 0.95).otherwise(START))
     for k in range(rounds):
-        pool = materialize(_shared(_scores(pool.drop("post", "e", "weight"), clean, weights), ["source", "l", "unit", "r"]), f"round{k}")
-        clean = pool.select("l", "was", "r", (F.col("n") * F.col("post")).alias("m")).where("m > 1e-6")
-        summed = pool.groupBy("source", "chain").agg(F.sum(F.col("n") * F.col("post")).alias("m"))
+        pool = scratch.keep(_scores(pool, weights), f"round{k}")
+        summed = pool.groupBy("source", "chain").agg(F.sum("m").alias("m"))
         # what a chain weighs everywhere is what it starts from in a source
         every = summed.groupBy("chain").agg(F.sum("m").alias("all"))
-        total = F.sum("m").over(W.partitionBy("source"))
         rest = F.sum("all").over(W.partitionBy(F.lit(1)))
         every = every.withColumn("base", F.col("all") / rest).select("chain", "base")
-        summed = summed.withColumn("total", total)
+        summed = summed.withColumn("total", F.sum("m").over(W.partitionBy("source")))
         weights = summed.join(every, "chain").select("source", "chain", ((F.col("m") + PRIOR * 20 * F.col("base")) / (F.col("total") + PRIOR * 20)).alias("weight"))
-    return pool, clean
+    return pool
 
 
-def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def judged(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, seen, clean): doc_id, l, unit, r, chain, was of each unit that a chain made, by the posterior of its record.
 
     A record's own mixture starts from that of its source and takes in the posteriors of all its units, so weak evidence counts in a record
     with strong evidence of the same chain. Records without a unit that some chain explains at least half as well as chance does are clean.
+    Units with no chain but being clean only count, so of those a record needs the number.
     """
-    seen = materialize(occurrences(documents), "units")
-    pool, clean = estimate(seen)
+    seen = scratch.keep(occurrences(documents), "units")
+    pool = estimate(seen, scratch)
+    place = ["source", "l", "unit", "r"]
     made, own = (F.max(F.when(c, F.col("e"))) for c in (F.col("chain") != "", F.col("chain") == ""))
-    doubtful = pool.groupBy("source", "l", "unit", "r").agg(made.alias("made"), own.alias("own")).where("made > 0.5 * own").select("source", "l", "unit", "r")
-    some = seen.join(doubtful, ["source", "l", "unit", "r"], "left_semi").select("doc_id").distinct()
-    rows = seen.join(some, "doc_id", "left_semi").join(pool.drop("n", "post", "p"), ["source", "l", "unit", "r"])
+    options = F.collect_list(F.struct("chain", "was", "e", "weight")).alias("options")
+    places = pool.groupBy(*place).agg(made.alias("made"), own.alias("own"), options).where("made is not null")
+    places = scratch.keep(places.select(*place, F.expr("made > 0.5 * coalesce(own, 0)").alias("doubtful"), "options"), "places")
+    some = scratch.keep(seen.join(places.where("doubtful").select(*place), place, "left_semi").select("doc_id").distinct(), "doubtful")
+    of = scratch.keep(seen.join(some, "doc_id", "left_semi"), "of-doubtful")
     # a record's different units are no more than its signs
-    records = rows.groupBy("doc_id").agg(F.collect_list(F.struct("l", "unit", "r", "n", "chain", "was", "e", "weight")).alias("units"))
+    rows = of.join(places.drop("doubtful"), place).select("doc_id", F.struct("l", "unit", "r", "n", "options").alias("place"))
+    records = rows.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(of.groupBy("doc_id").agg(F.sum("n").alias("size")), "doc_id")
     verdicts = records.mapInArrow(_records, "doc_id bigint, l string, unit string, r string, chain string, was string")
-    return verdicts, seen, clean
+    return verdicts, seen, pool.where("m > 1e-6").select("l", "was", "r", "m")
 
 
-def judge_record(units: list[dict]) -> list[tuple[str, str, str, str, str]]:
-    """EM over one record: (l, unit, r, chain, was) of the units that most likely came about by a chain."""
-    places: dict[tuple, list[dict]] = {}
-    for u in units:
-        places.setdefault((u["l"], u["unit"], u["r"]), []).append(u)
-    base = {u["chain"]: max(u["weight"], 2e-3) for u in units}
-    size = sum(p[0]["n"] for p in places.values())
+def judge_record(places: list[dict], size: int) -> list[tuple[str, str, str, str, str]]:
+    """EM over one record: (l, unit, r, chain, was) of the units that most likely came about by a chain. ``size``: all its units, of which those
+    that aren't in ``places`` are clean."""
+    base: dict[str, float] = {"": 2e-3}
+    for p in places:
+        for u in p["options"]:
+            base[u["chain"]] = max(u["weight"], 2e-3)
+    sure = size - sum(p["n"] for p in places)
     weight = dict(base)
     for _ in range(RECORD_ROUNDS):
         mass = {c: SOURCE_COUNTS * w for c, w in base.items()}
-        for options in places.values():
-            total = sum(weight[u["chain"]] * u["e"] for u in options)
-            for u in options:
-                if total > 0:
-                    mass[u["chain"]] += u["n"] * weight[u["chain"]] * u["e"] / total
+        mass[""] += sure
+        for p in places:
+            shares = [weight[u["chain"]] * u["e"] for u in p["options"]]
+            total = sum(shares)
+            if total > 0:
+                for u, share in zip(p["options"], shares):
+                    mass[u["chain"]] += p["n"] * share / total
         weight = {c: m / (size + SOURCE_COUNTS) for c, m in mass.items()}
     out = []
-    for (left, unit, right), options in places.items():
-        best = max(options, key=lambda u: (weight[u["chain"]] * u["e"], u["chain"] == "", u["chain"]))
+    for p in places:
+        best = max(p["options"], key=lambda u: (weight[u["chain"]] * u["e"], u["chain"] == "", u["chain"]))
         if best["chain"] and weight[best["chain"]] * best["e"] > 0:
-            out.append((left, unit, right, best["chain"], best["was"]))
+            out.append((p["l"], p["unit"], p["r"], best["chain"], best["was"]))
     return out
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "l", "unit", "r", "chain", "was"]
     for batch in batches:
-        rows = [(doc, *v) for doc, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for v in judge_record(units)]
+        rows = [(doc, *v) for doc, places, size in zip(*(c.to_pylist() for c in batch.columns)) for v in judge_record(places, size)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(6)], names=names)
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """p8_found: doc_id of documents with a unit that a chain made, or with a sign that stands for lost bytes."""
-    verdicts, seen, _ = judged(documents)
-    return verdicts.select("doc_id").unionByName(seen.where(F.col("unit") == LOST).select("doc_id")).distinct()
+    """p8_found: doc_id of documents with a unit that a chain made; what stands for lost bytes is one."""
+    scratch = Scratch(documents.sparkSession, "mojibake")
+    out = materialize(judged(documents, scratch)[0].select("doc_id").distinct(), "garbled")
+    scratch.close()
+    return out
 
 
 def repaired(documents: DataFrame) -> DataFrame:
     """doc_id, text with each garbled unit as it was. A lost sign becomes the one that stands in that place in four of five clean cases, else it
     stays. Texts without garbled units stay as they are, null texts stay null; rows without id are left out."""
-    verdicts, seen, clean = judged(documents)
+    scratch = Scratch(documents.sparkSession, "mojibake")
+    verdicts, seen, clean = judged(documents, scratch)
     counts = clean.where(F.col("was") != LOST).groupBy("l", "r", "was").agg(F.sum("m").alias("m"))
     usual = counts.groupBy("l", "r").agg(F.max_by("was", "m").alias("was"), F.max("m").alias("top"), F.sum("m").alias("all")).where("top >= 3 and top >= 0.8 * all")
     lost = seen.where(F.col("unit") == LOST).join(usual, ["l", "r"]).select("doc_id", "l", "unit", "r", F.lit("lost").alias("chain"), "was")
     fixes = verdicts.where(F.col("unit") != LOST).unionByName(lost).groupBy("doc_id").agg(F.collect_list(F.struct("l", "unit", "r", "was")).alias("fixes"))
+    fixes = materialize(fixes, "fixes")
+    scratch.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

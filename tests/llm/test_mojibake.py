@@ -21,6 +21,21 @@ def test_found_and_repaired(spark):
     assert texts[100] == "Le référent a complété la pièce" and texts[101] == CLEAN and texts[0] == CLEAN and texts[103] is None and texts[105] == rows[-3][1]
 
 
+def test_other_scripts(spark):
+    texts = ["यह नीति सभी कर्मचारियों पर लागू होती है", "นโยบายนี้ใช้กับพนักงานทุกคน", "այս կանոնը վերաբերում է բոլորին", "ეს წესი ყველას ეხება", "本政策适用于所有员工"]
+    rows = [(10 * i + j, t, "s") for i, t in enumerate(texts) for j in range(5)]
+    rows += [(100 + i, "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in t.encode()), "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in M.found(docs).collect()} == {100, 101, 102, 103, 104}
+    assert {r.doc_id: r.text for r in M.repaired(docs).collect() if r.doc_id >= 100} == {100 + i: t for i, t in enumerate(texts)}
+
+
+def test_long_runs_are_not_kept():
+    M._known_run.cache_clear()
+    M.units_of("附件三应每年审查一次不得外传" * 50)
+    assert M._known_run.cache_info().currsize == 0
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert M.found(docs).count() == 0 and M.repaired(docs).count() == 0
