@@ -40,23 +40,15 @@ def card_valid(match: Column) -> Column:
     return F.size(digits).between(13, 19) & (F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0)
 
 
-def mask_pii(text: Column) -> list[tuple[str, Column]]:
-    """(entity, text masked up to it) in order; each is built on the one before."""
-    email = F.regexp_replace(text, EMAIL, "[EMAIL]")
-    ssn = F.regexp_replace(email, SSN, "[SSN]")
-    phone = F.regexp_replace(ssn, PHONE, "[PHONE]")
-    iban = replace_where(phone, IBAN, iban_valid, "[IBAN]")
-    return [("EMAIL", email), ("SSN", ssn), ("PHONE", phone), ("IBAN", iban), ("CREDIT_CARD", replace_where(iban, CARD, card_valid, "[CREDIT_CARD]"))]
-
-
 def with_masked(df, text: str, masked: str = "masked", entities: str = "entities"):
-    """``df`` with the masked text and the entity types found, in rule order. Each step is a column, so none is computed twice."""
+    """``df`` with the masked text and the entity types found (email, ssn, phone, iban, credit_card), in rule order. Each step is a column, so
+    none is computed twice."""
     steps, before = [], text
-    for name, pattern, put in (("EMAIL", EMAIL, "[EMAIL]"), ("SSN", SSN, "[SSN]"), ("PHONE", PHONE, "[PHONE]")):
+    for name, pattern, put in (("email", EMAIL, "[EMAIL]"), ("ssn", SSN, "[SSN]"), ("phone", PHONE, "[PHONE]")):
         df = df.withColumn(f"_{name}", F.regexp_replace(before, pattern, put))
         steps.append((name, before, f"_{name}"))
         before = f"_{name}"
-    for name, pattern, valid, put in (("IBAN", IBAN, iban_valid, "[IBAN]"), ("CREDIT_CARD", CARD, card_valid, "[CREDIT_CARD]")):
+    for name, pattern, valid, put in (("iban", IBAN, iban_valid, "[IBAN]"), ("credit_card", CARD, card_valid, "[CREDIT_CARD]")):
         df = df.withColumn(f"_{name}", F.when(F.col(before).rlike(pattern), replace_where(F.col(before), pattern, valid, put)).otherwise(F.col(before)))
         steps.append((name, before, f"_{name}"))
         before = f"_{name}"

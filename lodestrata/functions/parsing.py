@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import strip
 
-SUB_INTENTS = ("factual", "list", "comparison", "definition", "procedural")
-
-
 def transform_reply(reply: Column, raw_query: Column) -> Column:
     """struct(intent, sub_intent, rewritten_query, expansion_queries).
 
-    Without a readable intent: a search for the raw query. An unknown intent is search; a null-like sub-intent is null; a blank rewrite is the
-    raw query for searches, else empty; of the expansions the first three that aren't empty, stripped.
+    Without a readable intent: a search for the raw query. An unknown intent is search; a null-like sub-intent is null, any other stays as
+    written; an empty rewrite is the raw query. What isn't searched for has no rewrite. Of the expansions the first three that aren't empty,
+    stripped.
     """
     schema = "intent string, sub_intent string, rewritten_query string, expansion_queries array<string>"
     p = F.from_json(reply, schema)
     readable = p["intent"].isNotNull()
-    known = F.upper(F.trim(p["intent"]))
+    known = F.upper(strip(p["intent"]))
     intent = F.when(readable & (known == "NO_SEARCH"), F.lit("no_search")).when(readable & (known == "REFUSE"), F.lit("refuse")).otherwise(F.lit("search"))
-    sub = F.lower(F.trim(p["sub_intent"]))
-    sub = F.when(~sub.isin("null", "none", ""), sub)
-    rewrite = strip(F.coalesce(p["rewritten_query"], F.lit("")))
-    rewrite = F.when(rewrite != "", rewrite).when(intent == "search", raw_query).otherwise(F.lit(""))
+    sub = strip(p["sub_intent"])
+    sub = F.when(~F.lower(sub).isin("null", "none", ""), sub)
+    given = F.coalesce(p["rewritten_query"], F.lit(""))
+    rewrite = F.when(intent != "search", F.lit("")).when(given != "", strip(given)).otherwise(raw_query)
     more = F.slice(F.filter(F.coalesce(p["expansion_queries"], F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False))), 1, 3)
     more = F.when(readable, F.transform(more, strip)).otherwise(F.array().cast("array<string>"))
     return F.struct(intent.alias("intent"), F.when(readable, sub).alias("sub_intent"), rewrite.alias("rewritten_query"), more.alias("expansion_queries"))
@@ -47,15 +45,27 @@ def entailment_reply(reply: Column) -> Column:
 
 
 def structured_reply(reply: Column, fmt: Column) -> Column:
-    """struct(answer, structured): the answer's text, and the payload of its shape as JSON (items, rows or the whole object). A reply that is no
-    object is the answer as it stands."""
+    """struct(answer, structured): the answer's text, and the payload of its shape as JSON ({"items": ..}, {"rows": ..}, or what stands under
+    structured). A reply without an answer is the answer as it stands, without payload; a payload that is no object or list is none."""
     value = F.try_parse_json(reply)
-    answer = F.coalesce(F.try_variant_get(value, "$.answer", "string"), F.when(F.substring(F.trim(reply), 1, 1) != "{", reply), F.lit(""))
-    items, rows = (F.try_variant_get(value, f"$.{k}", "variant") for k in ("items", "rows"))
-    as_list = F.when(items.isNotNull(), F.concat(F.lit('{"items":'), F.to_json(items), F.lit("}")))
-    as_table = F.when(rows.isNotNull(), F.concat(F.lit('{"rows":'), F.to_json(rows), F.lit("}")))
-    payload = F.when(fmt == "list", as_list).when(fmt == "table", as_table).when(fmt == "json", F.coalesce(F.to_json(F.try_variant_get(value, "$.structured", "variant")), F.to_json(value)))
-    return F.struct(F.when(fmt == "prose", reply).otherwise(answer).alias("answer"), payload.alias("structured"))
+    answer = F.when(F.substring(F.trim(F.to_json(F.try_variant_get(value, "$.answer", "variant"))), 1, 1) == '"', F.try_variant_get(value, "$.answer", "string"))
+
+    def at(key: str) -> Column:
+        text = F.to_json(F.try_variant_get(value, f"$.{key}", "variant"))
+        return F.when(answer.isNotNull() & text.rlike(r"^[\[{]"), text)
+
+    payload = (
+        F.when(fmt == "list", F.concat(F.lit('{"items":'), at("items"), F.lit("}")))
+        .when(fmt == "table", F.concat(F.lit('{"rows":'), at("rows"), F.lit("}")))
+        .when(fmt == "json", at("structured"))
+    )
+    return F.struct(F.when(fmt == "prose", reply).otherwise(F.coalesce(answer, reply)).alias("answer"), payload.alias("structured"))
+
+
+def policy_reply(reply: Column) -> Column:
+    """SAFE, DISCLAIMER or REFUSE; whatever else is read as DISCLAIMER."""
+    action = F.upper(strip(F.from_json(reply, "action string")["action"]))
+    return F.when(action.isin("SAFE", "DISCLAIMER", "REFUSE"), action).otherwise(F.lit("DISCLAIMER"))
 
 
 def output_format(explicit: Column, sub_intent: Column) -> Column:

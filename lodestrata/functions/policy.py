@@ -51,10 +51,12 @@ def apply_policy(requests: DataFrame, text: str = "query", verdict: str | None =
 
 
 def with_disclaimer(answer: Column, disclaimer: Column) -> Column:
-    """The disclaimer before the answer, once; an empty answer is the disclaimer alone."""
-    out = answer
+    """The disclaimer before the stripped answer, once; an empty answer is the disclaimer alone. Without one the answer stays as it is."""
+    from lodestrata.functions.text import strip
+
+    out, bare = answer, strip(answer)
     for kind, text in DISCLAIMERS.items():
-        put = F.when(answer.startswith(text), answer).when(F.trim(answer) == "", F.lit(text)).otherwise(F.concat(F.lit(text + "\n\n"), answer))
+        put = F.when(bare.startswith(text), bare).when(bare == "", F.lit(text)).otherwise(F.concat(F.lit(text + "\n\n"), bare))
         out = F.when(disclaimer == kind, put).otherwise(out)
     return out
 

@@ -40,6 +40,10 @@ def transform_prompt(query: Column) -> Column:
     return F.concat(F.lit("Classify the question (SEARCH, NO_SEARCH, REFUSE), rewrite it for retrieval, give up to three paraphrases. Reply in JSON.\n\nQuestion: "), query)
 
 
+def policy_prompt(topic: Column, query: Column) -> Column:
+    return F.concat(F.lit('Does the question ask for personal advice? Reply in JSON: {"action": "SAFE" or "DISCLAIMER" or "REFUSE"}\n\nTopic: '), topic, F.lit("\n\nQuestion: "), query)
+
+
 def hyde_prompt(query: Column) -> Column:
     return F.concat(F.lit("Write a short factual paragraph that could stand in a document and answers the question.\n\nQuestion: "), query)
 

@@ -28,16 +28,16 @@ def claims(answers: DataFrame) -> DataFrame:
 
 def pairs(claimed: DataFrame, shown: DataFrame) -> DataFrame:
     """query_id, sentence_no, number, sentence, context of each citation of a shown passage (query_id, index, text) with any text."""
-    rows = claimed.where("factual").select("query_id", "sentence_no", strip_citations(F.col("sentence")).alias("sentence"), F.explode("cited").alias("number"))
+    rows = claimed.select("query_id", "sentence_no", strip_citations(F.col("sentence")).alias("sentence"), F.explode("cited").alias("number"))
     context = shown.where(strip(F.coalesce("text", F.lit(""))) != "").select("query_id", F.col("index").cast("bigint").alias("number"), F.col("text").alias("context"))
     return rows.join(context, ["query_id", "number"])
 
 
 def verify(answers: DataFrame, claimed: DataFrame, judged: DataFrame) -> DataFrame:
-    """query_id, all_supported, unsupported (sentence numbers): a factual sentence is supported if any of its pairs is (``judged``: query_id,
-    sentence_no, supported). One without usable citation isn't; an empty answer as a whole isn't."""
+    """query_id, all_supported, unsupported (sentence numbers): a sentence with citations is supported if any of its pairs is (``judged``:
+    query_id, sentence_no, supported), one without is if it states nothing; an empty answer as a whole isn't."""
     ok = judged.groupBy("query_id", "sentence_no").agg(F.bool_or("supported").alias("ok"))
-    bad = claimed.where("factual").join(ok, ["query_id", "sentence_no"], "left").where(~F.coalesce("ok", F.lit(False)))
+    bad = claimed.where("factual or size(cited) > 0").join(ok, ["query_id", "sentence_no"], "left").where(~F.coalesce("ok", F.lit(False)))
     bad = bad.groupBy("query_id").agg(F.sort_array(F.collect_set("sentence_no")).alias("unsupported"))
     out = answers.select("query_id", "answer").join(bad, "query_id", "left").withColumn("unsupported", F.coalesce("unsupported", F.array().cast("array<int>")))
     return out.select("query_id", ((F.size("unsupported") == 0) & (strip(F.coalesce("answer", F.lit(""))) != "")).alias("all_supported"), "unsupported")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lodestrata.config import DEFAULTS, Settings
 from lodestrata.functions.text import strip, words
 
+#: Pages of a document that are put in order together.
+PAGES = 64
+
 
 def body_size(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id, page_num, body: the font size (to the nearest even half) that most text has; the first seen wins ties, none gives the default."""
@@ -20,8 +23,8 @@ def body_size(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def sections(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """doc_id, page_num, section, text, bbox, section_title: runs of blocks up to the next heading of a page.
 
-    The title is the last heading's text, carried on across pages, and taken up also from sections that are blank and drop out. Only the title of
-    each section, one row, is put in order over a document.
+    The title is the last heading's text, carried on across pages, and taken up also from sections that are blank and drop out. Sections are put
+    in order within PAGES pages; of each such part of a document one title goes on to the next.
     """
     sized = blocks.join(body_size(blocks, settings), ["doc_id", "page_num"]).withColumn("heading", (F.col("font_size") >= settings.heading_ratio * F.col("body")).cast("int"))
     on_page = Window.partitionBy("doc_id", "page_num").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -33,8 +36,12 @@ def sections(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
     head = F.when(F.col("items")[0]["heading"] == 1, F.col("items")[0]["text"])
     joined = joined.withColumn("own", F.when(F.length(strip(head)) > 0, strip(head))).withColumn("text", strip(F.array_join(F.transform("items", lambda x: x["text"]), " ")))
-    over_doc = Window.partitionBy("doc_id").orderBy("page_num", "section").rowsBetween(Window.unboundedPreceding, 0)
-    titled = joined.withColumn("section_title", F.last("own", ignorenulls=True).over(over_doc))
+    joined = joined.withColumn("stretch", F.floor(F.col("page_num") / PAGES))
+    so_far = Window.partitionBy("doc_id", "stretch").orderBy("page_num", "section").rowsBetween(Window.unboundedPreceding, 0)
+    ends = joined.where("own is not null").groupBy("doc_id", "stretch").agg(F.max_by("own", F.struct("page_num", "section")).alias("ended"))
+    before = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = joined.select("doc_id", "stretch").distinct().join(ends, ["doc_id", "stretch"], "left").withColumn("begun", F.last("ended", ignorenulls=True).over(before)).select("doc_id", "stretch", "begun")
+    titled = joined.withColumn("titled", F.last("own", ignorenulls=True).over(so_far)).join(ends, ["doc_id", "stretch"]).withColumn("section_title", F.coalesce("titled", "begun"))
     return titled.where("text <> ''").select("doc_id", "page_num", "section", "text", "bbox", "section_title")
 
 
@@ -55,5 +62,9 @@ def chunk(blocks: DataFrame, ocr_pages: DataFrame | None = None, settings: Setti
         rows = rows.join(ocr_pages.select("doc_id", "page_num", F.lit("ocr").alias("source")).distinct(), ["doc_id", "page_num"], "left").withColumn("source", F.coalesce("source", F.lit("pdf_text")))
     else:
         rows = rows.withColumn("source", F.lit("pdf_text"))
-    w = Window.partitionBy("doc_id").orderBy("page_num", "section", "part")
-    return rows.select("doc_id", (F.row_number().over(w) - 1).alias("ordinal"), F.col("page_num").alias("page"), "text", F.size(words(F.col("text"))).alias("token_count"), "bbox", "section_title", "source")
+    rows = rows.withColumn("stretch", F.floor(F.col("page_num") / PAGES))
+    starts = rows.groupBy("doc_id", "stretch").agg(F.count("*").alias("k"))
+    starts = starts.select("doc_id", "stretch", (F.sum("k").over(Window.partitionBy("doc_id").orderBy("stretch")) - F.col("k")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "stretch").orderBy("page_num", "section", "part")) - 1
+    rows = rows.withColumn("place", place).join(starts, ["doc_id", "stretch"])
+    return rows.select("doc_id", (F.col("start") + F.col("place")).cast("int").alias("ordinal"), F.col("page_num").alias("page"), "text", F.size(words(F.col("text"))).alias("token_count"), "bbox", "section_title", "source")

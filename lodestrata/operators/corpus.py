@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.schemas import FORMATS, STATUSES
 
+#: Chunks of a document, and documents, that are put in order together.
+STRETCH = 4_096
+
 
 def active(documents: DataFrame) -> DataFrame:
     """Ready and not deleted; both conditions reach the scan."""
@@ -54,22 +57,28 @@ def allowed_rows(requests: DataFrame, chunks: DataFrame, documents: DataFrame) -
 
 
 def fresh(uploads: DataFrame, documents: DataFrame) -> DataFrame:
-    """Uploads (sha256) that no active document has; of equal uploads the first. A failed or deleted document may be uploaded again."""
+    """Uploads (doc_id, sha256) that no active document has; of equal uploads the one of the smallest doc_id. An unknown hash equals none, and a
+    failed or deleted document may be uploaded again."""
     known = active(documents).select(F.lower("sha256").alias("sha256")).where("sha256 is not null").distinct()
-    return uploads.withColumn("sha256", F.lower("sha256")).dropDuplicates(["sha256"]).join(known, "sha256", "left_anti")
+    uploads = uploads.withColumn("sha256", F.lower("sha256"))
+    first = uploads.where("sha256 is not null").groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
+    hashed = uploads.where("sha256 is not null").dropDuplicates(["sha256", "doc_id"]).join(first, ["sha256", "doc_id"], "left_semi").join(known, "sha256", "left_anti")
+    return hashed.unionByName(uploads.where("sha256 is null"))
 
 
 def assign_rows(new_chunks: DataFrame, base: int) -> DataFrame:
     """``embedding_row`` after ``base`` in order of document and ordinal.
 
-    The numbering is global, but only counts per document are put in order in one place: a chunk's row is its document's start and its place
-    within it.
+    The numbering is global, but nothing global is put in order in one place: chunks are numbered in stretches of a document, stretches in ranges
+    of documents, and of each range one number goes on.
     """
-    within = Window.partitionBy("doc_id").orderBy("ordinal")
-    placed = new_chunks.withColumn("place", F.row_number().over(within))
-    sizes = new_chunks.groupBy("doc_id").agg(F.count("*").alias("k"))
-    starts = sizes.withColumn("start", F.sum("k").over(Window.orderBy("doc_id")) - F.col("k")).select("doc_id", "start")
-    return placed.join(starts, "doc_id").withColumn("embedding_row", (F.lit(base) + F.col("start") + F.col("place")).cast("bigint")).drop("place", "start")
+    chunks = new_chunks.withColumn("_s", F.floor(F.col("ordinal") / STRETCH)).withColumn("_r", F.floor(F.col("doc_id") / STRETCH))
+    placed = chunks.withColumn("_p", F.row_number().over(Window.partitionBy("doc_id", "_s").orderBy("ordinal")))
+    sizes = chunks.groupBy("_r", "doc_id", "_s").agg(F.count("*").alias("k"))
+    ranges = sizes.groupBy("_r").agg(F.sum("k").alias("k"))
+    ranges = ranges.select("_r", (F.sum("k").over(Window.orderBy("_r")) - F.col("k")).alias("_a"))
+    starts = sizes.withColumn("_b", F.sum("k").over(Window.partitionBy("_r").orderBy("doc_id", "_s")) - F.col("k")).join(ranges, "_r").select("doc_id", "_s", (F.col("_a") + F.col("_b")).alias("_b"))
+    return placed.join(starts, ["doc_id", "_s"]).withColumn("embedding_row", (F.lit(base) + F.col("_b") + F.col("_p")).cast("bigint")).drop("_s", "_r", "_p", "_b")
 
 
 def mark_unfinished(documents: DataFrame) -> DataFrame:
@@ -77,6 +86,22 @@ def mark_unfinished(documents: DataFrame) -> DataFrame:
     return documents.withColumn("status", F.when(F.col("status").isin("processing", "failed"), F.lit("failed")).otherwise(F.col("status")))
 
 
+def released(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``chunks`` of which those of unfinished and failed documents have no index row any more."""
+    gone = documents.where(F.col("status").isin("processing", "failed")).select("doc_id", F.lit(1).alias("_gone")).distinct()
+    return chunks.join(gone, "doc_id", "left").withColumn("embedding_row", F.when(F.col("_gone").isNull(), F.col("embedding_row"))).drop("_gone")
+
+
+def by_hash(documents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Active documents of the hashes (sha256) asked for."""
+    return active(documents).join(hashes.select(F.lower("sha256").alias("_h")).where("_h is not null").distinct(), F.lower("sha256") == F.col("_h"), "left_semi")
+
+
+def by_id(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Active documents of the ids (doc_id) asked for."""
+    return active(documents).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def soft_delete(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with the flag set, ids not found or deleted before)."""
     wanted = ids.select("doc_id").distinct()

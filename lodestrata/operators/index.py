@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.config import DEFAULTS
 from lodestrata.functions.text import indexed_text, tokens
 
 
@@ -35,9 +40,47 @@ def idf(n, df):
     return F.greatest(F.lit(0.01), F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)))
 
 
-def serialize(posts: DataFrame, stats: DataFrame, version: str) -> dict[str, DataFrame]:
-    """The index as the tables that a snapshot holds."""
-    return {"postings": posts, "stats": stats.withColumn("tokenizer_version", F.lit(version))}
+def bucket_of(term: Column, buckets: int) -> Column:
+    """The folder of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A saved index: postings (term, row, tf, dl, bucket), in a folder for each of ``buckets``, and stats (one row)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    buckets: int
+    version: str
+
+
+def save(rows: DataFrame, path: str, buckets: int = 64, version: str = DEFAULTS.tokenizer_version) -> Index:
+    """Writes the index of ``rows`` (row, terms, dl) and opens it. A hot term is split over several files of its folder."""
+    posts = postings(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    posts.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_stats(rows).withColumn("buckets", F.lit(buckets)).withColumn("tokenizer_version", F.lit(version)).write.parquet(f"{path}/stats")
+    return load(rows.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index saved at ``path``."""
+    stats = spark.read.parquet(f"{path}/stats")
+    first = stats.first()
+    posts = spark.read.schema("term string, row bigint, tf bigint, dl bigint, bucket int").parquet(f"{path}/postings")
+    return Index(posts, stats.select("n", "avgdl"), first.buckets, tokenizer_version(stats))
+
+
+def current(rows: DataFrame, path: str, version: str = DEFAULTS.tokenizer_version) -> Index:
+    """The saved index if it was made with this tokenizer and covers as many rows, else one made anew beside it."""
+    spark = rows.sparkSession
+    try:
+        index = load(spark, path)
+    except AnalysisException:
+        return save(rows, path, version=version)
+    if index.version == version and index.stats.first().n == rows.count():
+        return index
+    return save(rows, f"{path}-{uuid.uuid4().hex}", index.buckets, version)
 
 
 def tokenizer_version(stats: DataFrame) -> str:

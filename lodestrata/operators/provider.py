@@ -46,9 +46,11 @@ class FakeProvider:
             return json.dumps({"intent": "NO_SEARCH" if re.fullmatch(r"\W*(hello|hallo|hola|bonjour|hi)\W*", query, re.I) else "SEARCH", "rewritten_query": query, "expansion_queries": []})
         if prompt.startswith("Score"):
             query = set(re.findall(r"\w+", prompt.partition("Question: ")[2].partition("\n\n")[0].lower()))
-            passages = re.split(r"\n\n(?=\[\d+\] )", prompt)[2:]
+            passages = re.split(r"\n\n(?=\[\d+\] )", prompt)[1:]
             share = [len(query & set(re.findall(r"\w+", p.lower()))) / max(1, len(query)) for p in passages]
             return json.dumps({"scores": [{"id": str(i), "score": round(s, 4)} for i, s in enumerate(share)]})
+        if prompt.startswith("Does the question"):
+            return json.dumps({"action": "DISCLAIMER"})
         if prompt.startswith("For each pair"):
             return json.dumps({m: True for m in re.findall(r"^id: (\d+)$", prompt, re.M)})
         first = re.search(r"^\[1\] (.+?)(?:\.|\n|$)", prompt, re.M)

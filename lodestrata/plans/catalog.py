@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestrata.config import Settings
@@ -10,7 +12,7 @@ from lodestrata.operators import answer, chunking, corpus, index, rank, retrieve
 from lodestrata.operators.provider import FakeProvider
 from lodestrata.plans import pipeline
 from lodestrata.plans.oracle import ORACLE
-from lodestrata.session import table
+from lodestrata.session import shared_dir, table
 from lodestrata.sources import uploads
 
 SMALL_WINDOWS = Settings(max_tokens_per_chunk=64, chunk_overlap_tokens=16)
@@ -69,6 +71,12 @@ def bm25_topk(spark, d):
     return _rounded(retrieve.bm25(_rows(spark, d), _questions(spark, d), 10))
 
 
+def bm25_saved(spark, d):
+    """The same questions, from an index that is saved and opened again."""
+    saved = index.save(_rows(spark, d), f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    return _rounded(retrieve.bm25_of(saved, _questions(spark, d), 10))
+
+
 def all_questions(spark, d):
     """BM25 of every question in the log. For the smallest tables; larger ones take the stated query set."""
     return _rounded(retrieve.bm25(_rows(spark, d), corpus.once(table(spark, d, "requests")).select("query_id", "query"), 10))
@@ -266,8 +274,21 @@ def status_counts(spark, d):
 def dedup_sha256(spark, d):
     """Uploads against the active documents: every document arrives again under a new number."""
     docs = table(spark, d, "documents")
-    again = docs.where("sha256 is not null").select(F.lower("sha256").alias("sha256")).distinct()
-    return corpus.fresh(again, docs).select("sha256")
+    return corpus.fresh(docs.select("doc_id", "sha256"), docs).groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def lookups(spark, d):
+    """Active documents by hash, of those that some failed or deleted document has, and by id, of those that requests name."""
+    docs = table(spark, d, "documents")
+    lost = docs.where("status = 'failed' or is_deleted = 1")
+    named = table(spark, d, "requests").select(F.explode("document_ids").alias("doc_id"))
+    return corpus.by_hash(docs, lost).select(F.lit("hash").alias("by"), "doc_id").unionByName(corpus.by_id(docs, named).select(F.lit("id").alias("by"), "doc_id"))
+
+
+def released_rows(spark, d):
+    """Chunks by whether they have an index row after unfinished documents lost theirs."""
+    out = corpus.released(table(spark, d, "chunks"), table(spark, d, "documents"))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("embedding_row").alias("n_rows"))
 
 
 def text_hash(spark, d):
@@ -329,7 +350,7 @@ def answers(spark, d):
     """The whole chain for the stated query set, with a fake provider."""
     asked = table(spark, d, "requests").where("query_id % 100 = 0")
     out = pipeline.answer(asked, table(spark, d, "documents"), table(spark, d, "chunks"), table(spark, d, "chunk_vectors"), FakeProvider(64))
-    return out.withColumn("citations", F.size("citations")).withColumn("unsupported", F.size("unsupported"))
+    return out.withColumn("citations", F.size("citations")).withColumn("unsupported", F.size("unsupported")).withColumn("entities", F.array_join("entities", ","))
 
 
 def ingest(spark, d):
@@ -342,10 +363,10 @@ def ingest(spark, d):
 
 
 _QUERIES = (
-    tokenize_counts, corpus_stats, term_idf, bm25_topk, bm25_topk_masked, dense_topk, dense_topk_masked, hybrid_search, multi_query_hybrid, rerank_merge, evidence_gate, mmr_select,
+    tokenize_counts, corpus_stats, term_idf, bm25_topk, bm25_topk_masked, bm25_saved, dense_topk, dense_topk_masked, hybrid_search, multi_query_hybrid, rerank_merge, evidence_gate, mmr_select,
     citations_hydrate, verify_support, citation_parse, split_sentences, chunk_windows, body_size_mode, heading_sections, layout_chunks, indexed_text, pii_email_ssn, pii_full, topic_policy,
     policy_routing, transform_parse, disclaimers, request_validation, request_dedup, document_filter, masked_rows, ready_rows, last_row, doc_listing, status_counts, dedup_sha256, text_hash,
-    assign_rows, mark_unfinished, soft_delete, recovery, integrity, l2_normalize, upload_validation, ocr_plan, answers, ingest,
+    assign_rows, mark_unfinished, released_rows, lookups, soft_delete, recovery, integrity, l2_normalize, upload_validation, ocr_plan, answers, ingest,
 )
 
 

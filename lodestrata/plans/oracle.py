@@ -32,7 +32,7 @@ def _bm25(terms: str, mask: str, k: int) -> str:
 
 _QUESTIONS = "(SELECT query_id, query FROM once WHERE query_id % 100 = 0 AND query IS NOT NULL)"
 _VECTORS = f"""{_LIVE}, matrix AS (SELECT embedding_row AS row, embedding FROM chunk_vectors WHERE embedding_row IN (SELECT embedding_row FROM live)),
-probes AS (SELECT l.embedding_row AS query_id, l.section_title AS query, v.embedding AS vector FROM live l JOIN chunk_vectors v USING (embedding_row) WHERE l.embedding_row % 100 = 0 AND l.section_title IS NOT NULL)"""
+probes AS (SELECT l.embedding_row AS query_id, coalesce(l.section_title, l.text) AS query, v.embedding AS vector FROM live l JOIN chunk_vectors v USING (embedding_row) WHERE l.embedding_row % 100 = 0)"""
 _DOT = "list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(p.vector AS DOUBLE[]))"
 
 
@@ -59,6 +59,20 @@ blocks AS (SELECT doc_id, page AS page_num, ordinal * 1000 + line AS pos, text,
   CAST((ordinal * 1000 + line) % 7 AS DOUBLE) AS x0, CAST(line * 10 AS DOUBLE) AS y0, CAST(100 + length(text) AS DOUBLE) AS x1, CAST(line * 10 + 10 AS DOUBLE) AS y1 FROM lines),
 sizes AS (SELECT doc_id, page_num, round_even(font_size, 0) AS size, sum(length(text)) AS n, min(pos) AS first FROM blocks WHERE font_size > 0 GROUP BY ALL),
 body AS (SELECT doc_id, page_num, size AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY n DESC, first) = 1)"""
+_TITLED = rf"""{_BLOCKS}, marked AS (SELECT b.*, CAST(font_size >= 1.3 * body AS INTEGER) AS heading FROM blocks b JOIN body USING (doc_id, page_num)),
+grouped AS (SELECT *, sum(heading) OVER (PARTITION BY doc_id, page_num ORDER BY pos) AS section FROM marked),
+joined AS (SELECT doc_id, page_num, section, regexp_replace(string_agg(text, ' ' ORDER BY pos), '^{_WS}|{_WS}$', '', 'g') AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+  nullif(CASE WHEN arg_min(heading, pos) = 1 THEN regexp_replace(arg_min(text, pos), '^{_WS}|{_WS}$', '', 'g') END, '') AS own FROM grouped GROUP BY ALL),
+titled AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num, section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM joined)"""
+
+
+def _pieces(most: int, step: int) -> str:
+    return f"""worded AS (SELECT *, {_WORDS} AS w FROM titled WHERE text <> ''),
+parted AS (SELECT *, unnest(CASE WHEN len(w) <= {most} THEN [0] ELSE range(0, CAST(ceil((len(w) - {most}) / {step}.0) AS BIGINT) + 1) END) AS part FROM worded),
+pieces AS (SELECT *, CASE WHEN len(w) <= {most} THEN text ELSE array_to_string(w[part * {step} + 1 : part * {step} + {most}], ' ') END AS piece,
+  CAST(CASE WHEN len(w) <= {most} THEN len(w) ELSE len(w[part * {step} + 1 : part * {step} + {most}]) END AS INTEGER) AS n_words FROM parted)"""
+
+
 _TOPIC = f"CASE WHEN regexp_matches(lower(query), '{'|'.join(MEDICAL)}') THEN 'medical' WHEN regexp_matches(lower(query), '{'|'.join(LEGAL)}') THEN 'legal' END"
 _PERSONAL = r"regexp_matches(query, '(?i)^\s*(should|can|could|would|do|am)\s+(?:i|we)\b')"
 
@@ -67,6 +81,7 @@ ORACLE = {
     "corpus_stats": f"WITH {_TOKENS} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "term_idf": f"WITH {_TOKENS} SELECT term, df, round({_IDF}, 6) AS idf FROM dfs, stats",
     "bm25_topk": f"WITH {_TOKENS}, {_ONCE} SELECT query_id, row, round(score, 6) AS score, rank FROM {_bm25(_terms(_QUESTIONS, 'query_id', 'query'), '', 10)}",
+    "bm25_saved": f"WITH {_TOKENS}, {_ONCE} SELECT query_id, row, round(score, 6) AS score, rank FROM {_bm25(_terms(_QUESTIONS, 'query_id', 'query'), '', 10)}",
     "bm25_topk_masked": f"WITH {_TOKENS}, {_ONCE}, {_ENGLISH} SELECT query_id, row, round(score, 6) AS score, rank FROM {_bm25(_terms(_QUESTIONS, 'query_id', 'query'), 'WHERE p.row IN (SELECT row FROM english)', 10)}",
     "dense_topk": f"WITH {_VECTORS} SELECT query_id, row, round(score, 5) AS score, rank FROM {_dense('probes', '', 10)}",
     "dense_topk_masked": f"WITH {_VECTORS}, {_ENGLISH} SELECT query_id, row, round(score, 5) AS score, rank FROM {_dense('probes', 'WHERE m.row IN (SELECT row FROM english)', 10)}",
@@ -92,22 +107,22 @@ parts AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 64 THEN [0] ELSE range(0, CA
 SELECT doc_id, CAST(part AS BIGINT) AS part, CASE WHEN len(w) <= 64 THEN text ELSE array_to_string(w[part * 48 + 1 : part * 48 + 64], ' ') END AS piece,
   CAST(CASE WHEN len(w) <= 64 THEN len(w) ELSE len(w[part * 48 + 1 : part * 48 + 64]) END AS BIGINT) AS n_tokens FROM parts""",
     "body_size_mode": f"WITH {_BLOCKS} SELECT doc_id, page_num, CAST(body AS DOUBLE) AS body FROM body",
-    "heading_sections": rf"""WITH {_BLOCKS}, marked AS (SELECT b.*, CAST(font_size >= 1.3 * body AS INTEGER) AS heading FROM blocks b JOIN body USING (doc_id, page_num)),
-grouped AS (SELECT *, sum(heading) OVER (PARTITION BY doc_id, page_num ORDER BY pos) AS section FROM marked),
-joined AS (SELECT doc_id, page_num, section, regexp_replace(string_agg(text, ' ' ORDER BY pos), '^{_WS}|{_WS}$', '', 'g') AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
-  nullif(CASE WHEN arg_min(heading, pos) = 1 THEN regexp_replace(arg_min(text, pos), '^{_WS}|{_WS}$', '', 'g') END, '') AS own FROM grouped GROUP BY ALL),
-titled AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num, section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM joined)
-SELECT doc_id, page_num, CAST(section AS BIGINT) AS section, md5(text) AS text_md5, x0, y0, x1, y1, section_title FROM titled WHERE text <> ''""",
+    "heading_sections": f"WITH {_TITLED} SELECT doc_id, page_num, CAST(section AS BIGINT) AS section, md5(text) AS text_md5, x0, y0, x1, y1, section_title FROM titled WHERE text <> ''",
+    "layout_chunks": f"""WITH {_TITLED}, {_pieces(64, 48)}, scans AS (SELECT DISTINCT doc_id, page FROM chunks WHERE source = 'ocr')
+SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY page_num, section, part) - 1 AS INTEGER) AS ordinal, page_num AS page, piece AS text, n_words AS token_count, x0, y1, section_title,
+  CASE WHEN s.doc_id IS NULL THEN 'pdf_text' ELSE 'ocr' END AS source FROM pieces p LEFT JOIN scans s ON s.doc_id = p.doc_id AND s.page = p.page_num""",
+    "ingest": f"""WITH {_TITLED}, {_pieces(512, 448)}, counts AS (SELECT doc_id, count(*) AS k FROM pieces GROUP BY doc_id)
+SELECT CASE WHEN k IS NULL THEN 'failed' ELSE 'ready' END AS status, count(*) AS n, CAST(sum(coalesce(k, 0)) AS BIGINT) AS chunks FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN counts USING (doc_id) GROUP BY 1""",
     "indexed_text": "SELECT id, md5(CASE WHEN length(section_title) > 0 THEN section_title || chr(10) || chr(10) || text ELSE text END) AS text_md5 FROM chunks",
     "pii_email_ssn": r"SELECT DISTINCT query_id, regexp_replace(regexp_replace(query, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[EMAIL]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g') AS masked FROM requests",
     "topic_policy": rf"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query FROM once)
 SELECT query_id, {_TOPIC} AS topic, {_TOPIC} IS NOT NULL AND {_PERSONAL} AS personal, regexp_matches(query, '(?i)\b(i|me|my|mine|we|us|our|ours)\b') AND regexp_matches(lower(query), '{"|".join(CUES)}') AS ambiguous FROM q""",
     "transform_parse": f"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query, query_id % 3 <> 0 AS ok, query_id % 5 AS m, query_id % 2 AS odd FROM once),
 i AS (SELECT *, CASE WHEN ok AND m = 0 THEN 'no_search' WHEN ok AND m = 1 THEN 'refuse' ELSE 'search' END AS intent FROM q)
-SELECT query_id, intent, CASE WHEN ok AND odd = 0 THEN 'list' END AS sub_intent, CASE WHEN ok AND odd = 0 THEN 'rewritten' WHEN intent = 'search' THEN query ELSE '' END AS rewritten_query,
+SELECT query_id, intent, CASE WHEN ok AND odd = 0 THEN 'list' END AS sub_intent, CASE WHEN intent <> 'search' THEN '' WHEN ok AND odd = 0 THEN 'rewritten' ELSE query END AS rewritten_query,
   CASE WHEN ok THEN 'a|b|c' ELSE '' END AS expansions, CASE WHEN ok AND odd = 0 THEN 'list' ELSE 'prose' END AS format FROM i""",
-    "disclaimers": f"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query FROM once)
-SELECT query_id, CASE {_TOPIC} WHEN 'medical' THEN '{DISCLAIMERS["medical"]}' || chr(10) || chr(10) || query WHEN 'legal' THEN '{DISCLAIMERS["legal"]}' || chr(10) || chr(10) || query ELSE query END AS answer FROM q""",
+    "disclaimers": rf"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query, regexp_replace(coalesce(query, ''), '^{_WS}|{_WS}$', '', 'g') AS bare FROM once)
+SELECT query_id, CASE {_TOPIC} WHEN 'medical' THEN '{DISCLAIMERS["medical"]}' || chr(10) || chr(10) || bare WHEN 'legal' THEN '{DISCLAIMERS["legal"]}' || chr(10) || chr(10) || bare ELSE query END AS answer FROM q""",
     "request_validation": f"""WITH {_ONCE} SELECT query_id, CASE WHEN query IS NULL OR length(query) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN top_k IS NOT NULL AND top_k NOT BETWEEN 1 AND 20 THEN 'top_k'
   WHEN answer_format IS NOT NULL AND answer_format NOT IN ('auto', 'prose', 'list', 'table', 'json') THEN 'format' END AS error FROM once""",
     "request_dedup": f"WITH {_ONCE} SELECT query_id, query, top_k, answer_format, enable_llm_rerank, logged_at FROM once",
@@ -120,8 +135,12 @@ FROM (SELECT DISTINCT query_id, unnest(document_ids) AS doc_id FROM once) JOIN l
     "last_row": f"WITH {_LIVE} SELECT coalesce(max(embedding_row), -1) AS last_row FROM live",
     "doc_listing": "SELECT doc_id, filename, status, num_pages, num_chunks, ocr_pages, is_deleted, ingested_at FROM documents",
     "status_counts": "SELECT status, is_deleted, count(*) AS n, CAST(sum(num_chunks) AS BIGINT) AS chunks, CAST(sum(ocr_pages) AS BIGINT) AS ocr_pages FROM documents GROUP BY ALL",
-    "dedup_sha256": """SELECT DISTINCT lower(sha256) AS sha256 FROM documents WHERE doc_id % 3 = 0 AND sha256 IS NOT NULL
-AND lower(sha256) NOT IN (SELECT lower(sha256) FROM documents WHERE status = 'ready' AND is_deleted = 0 AND sha256 IS NOT NULL)""",
+    "dedup_sha256": """SELECT lower(sha256) AS sha256, CAST(CASE WHEN sha256 IS NULL THEN count(*) ELSE 1 END AS BIGINT) AS n, min(doc_id) AS first_doc FROM
+(SELECT sha256, lower(sha256) AS h, doc_id FROM documents) WHERE h IS NULL OR h NOT IN (SELECT lower(sha256) FROM documents WHERE status = 'ready' AND is_deleted = 0 AND sha256 IS NOT NULL) GROUP BY h, sha256 IS NULL, lower(sha256)""",
+    "released_rows": """SELECT doc_id, count(*) AS n, count(CASE WHEN coalesce(status, '') NOT IN ('processing', 'failed') THEN embedding_row END) AS n_rows
+FROM chunks LEFT JOIN documents USING (doc_id) GROUP BY doc_id""",
+    "lookups": f"""WITH {_ACTIVE} SELECT 'hash' AS by, doc_id FROM documents JOIN active USING (doc_id) WHERE lower(sha256) IN (SELECT lower(sha256) FROM documents WHERE status = 'failed' OR is_deleted = 1)
+UNION ALL SELECT 'id', doc_id FROM active WHERE doc_id IN (SELECT unnest(document_ids) FROM requests)""",
     "text_hash": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "assign_rows": f"""WITH {_LIVE}, new AS (SELECT DISTINCT doc_id, ordinal FROM chunks WHERE embedding_row IS NULL)
 SELECT doc_id, ordinal, (SELECT coalesce(max(embedding_row), -1) FROM live) + row_number() OVER (ORDER BY doc_id, ordinal) AS embedding_row FROM new""",

@@ -35,20 +35,23 @@ def ingest(blocks: DataFrame, uploads: DataFrame, documents: DataFrame, chunks:
 
 def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, provider: Provider, settings: Settings = DEFAULTS) -> DataFrame:
     """One response for each request (query_id, query, top_k, answer_format, document_ids, enable_llm_rerank): query_id, answer, format, intent,
-    sub_intent, citations, all_supported, unsupported, disclaimer, refusal_reason, warning.
+    sub_intent, structured, citations, all_supported, unsupported, disclaimer, entities, refusal_reason, warning.
 
     Questions leave the chain where they are settled: refused, greetings, documents unknown, no evidence. Replies are written down where later
     stages read them more than once, so that no model is asked twice.
     """
-    asked = apply_policy(corpus.once(requests))
+    requests = corpus.once(requests)
+    doubtful = apply_policy(requests).where("ask_fallback").select("query_id", prompts.policy_prompt(F.col("disclaimer"), F.col("masked")).alias("prompt"))
+    verdicts = materialize(chat(doubtful, "prompt", provider).select("query_id", parsing.policy_reply(F.col("reply")).alias("verdict")), "verdicts")
+    asked = apply_policy(requests.join(verdicts, "query_id", "left"), verdict="verdict")
     asked = chat(asked.withColumn("prompt", F.when(F.col("refuse_reason").isNull(), prompts.transform_prompt(F.col("masked")))), "prompt", provider)
     asked = asked.withColumn("t", parsing.transform_reply(F.col("reply"), F.col("masked"))).drop("reply", "prompt")
-    checked = corpus.document_filter(corpus.once(requests), documents).select("query_id", "outcome")
+    checked = corpus.document_filter(requests, documents).select("query_id", "outcome")
     asked = asked.join(checked, "query_id", "left")
     reason = F.coalesce("refuse_reason", F.when(F.col("t.intent") == "refuse", F.lit("personalized_advice")), F.when(F.col("outcome") == "no_valid_documents", F.lit("no_valid_documents")))
     asked = materialize(
         asked.select(
-            "query_id", F.col("masked").alias("question"), "t", "disclaimer", reason.alias("reason"), F.coalesce("top_k", F.lit(5)).alias("top_k"), F.coalesce("enable_llm_rerank", F.lit(True)).alias("reranked"),
+            "query_id", F.col("masked").alias("question"), "t", "disclaimer", "entities", reason.alias("reason"), F.coalesce("top_k", F.lit(5)).alias("top_k"), F.coalesce("enable_llm_rerank", F.lit(True)).alias("reranked"),
             parsing.output_format(F.col("answer_format"), F.col("t.sub_intent")).alias("format"), F.when(F.col("outcome") == "some_missing", F.lit("some documents are unknown")).alias("warning"), F.col("document_ids").isNotNull().alias("masked_rows"),
         ),
         "asked",
@@ -58,7 +61,7 @@ def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors
     parts = embed(search.select("query_id", F.col("masked_rows").alias("limited"), F.posexplode(texts).alias("part", "query")), "query", provider, "vector")
     live = corpus.published(chunks, documents)
     rows, matrix = token_rows(live), vectors.withColumnRenamed("embedding_row", "row").join(live.select(F.col("embedding_row").alias("row")), "row", "left_semi")
-    limits = materialize(corpus.allowed_rows(corpus.once(requests), chunks, documents), "limits")
+    limits = materialize(corpus.allowed_rows(requests, chunks, documents), "limits")
     parts = materialize(parts, "parts")
     found = materialize(hybrid(rows, matrix, parts, settings=settings, within=limits), "found")
     w = Window.partitionBy("query_id").orderBy("rank")
@@ -87,8 +90,9 @@ def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors
     generated = chat(
         search.join(contexts, "query_id").withColumn("prompt", prompts.answer_prompt(F.col("question"), F.transform("citations", lambda c: c["text"]), F.col("format"), F.col("disclaimer"))), "prompt", provider
     )
-    generated = A.respond(generated.withColumn("answer", parsing.structured_reply(F.col("reply"), F.col("format"))["answer"]))
-    generated = materialize(generated.select("query_id", "answer", "citations"), "generated")
+    generated = generated.withColumn("shaped", parsing.structured_reply(F.col("reply"), F.col("format")))
+    generated = A.respond(generated.withColumn("answer", F.col("shaped.answer")))
+    generated = materialize(generated.select("query_id", "answer", "citations", F.col("shaped.structured").alias("structured")), "generated")
     claimed = A.claims(generated)
     asked_pairs = A.pairs(claimed, shown)
     lists = asked_pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "number", "sentence", "context"))).alias("p"))
@@ -100,4 +104,4 @@ def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors
     why = F.coalesce("reason", F.when((F.col("t.intent") == "search") & F.col("given").isNull(), F.lit("insufficient_evidence")))
     plain = F.when(why.isNotNull(), F.lit("")).when(F.col("t.intent") == "no_search", F.lit(GREETING)).otherwise(F.col("given"))
     out = A.respond(out.withColumn("refusal_reason", why).withColumn("answer", plain))
-    return out.select("query_id", "answer", "format", "t.intent", "t.sub_intent", "citations", "all_supported", "unsupported", "disclaimer", "refusal_reason", "warning")
+    return out.select("query_id", "answer", "format", "t.intent", "t.sub_intent", "structured", "citations", "all_supported", "unsupported", "disclaimer", "entities", "refusal_reason", "warning")

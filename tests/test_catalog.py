@@ -22,4 +22,6 @@ def test_every_hash_is_offered(spark):
     d = "/root/testdata/sf0.01"
     rows = table(spark, d, "documents").where("sha256 is not null").collect()
     known = {r.sha256.lower() for r in rows if r.status == "ready" and r.is_deleted == 0}
-    assert {r.sha256 for r in catalog.dedup_sha256(spark, d).collect()} == {r.sha256.lower() for r in rows} - known
+    got = {r.sha256: r.n for r in catalog.dedup_sha256(spark, d).collect()}
+    assert got.keys() - {None} == {r.sha256.lower() for r in rows} - known
+    assert got[None] == table(spark, d, "documents").where("sha256 is null").count()

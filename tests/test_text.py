@@ -39,12 +39,12 @@ IBAN = "GB82 WEST 1234 5698 7654 32"
 @pytest.mark.parametrize(
     ("given", "wanted", "entities"),
     [
-        ("mail a.b@c.org now", "mail [EMAIL] now", ["EMAIL"]),
-        ("ssn 123-45-6789", "ssn [SSN]", ["SSN"]),
-        ("call +1 555 123 4567", "call [PHONE]", ["PHONE"]),
-        (f"pay {IBAN}", "pay [IBAN]", ["IBAN"]),
+        ("mail a.b@c.org now", "mail [EMAIL] now", ["email"]),
+        ("ssn 123-45-6789", "ssn [SSN]", ["ssn"]),
+        ("call +1 555 123 4567", "call [PHONE]", ["phone"]),
+        (f"pay {IBAN}", "pay [IBAN]", ["iban"]),
         ("pay GB82 WEST 1234 5698 7654 33", "pay GB82 WEST 1234 5698 7654 33", []),
-        ("card 4111 1111 1111 1111!", "card [CREDIT_CARD]!", ["CREDIT_CARD"]),
+        ("card 4111 1111 1111 1111!", "card [CREDIT_CARD]!", ["credit_card"]),
         ("card 4111 1111 1111 1112!", "card 4111 1111 1111 1112!", []),
         ("", "", []),
         (None, None, []),
@@ -81,7 +81,7 @@ def test_replies(spark):
     read = lambda s: one(spark, s, lambda c: parsing.transform_reply(c, F.lit("raw")))
     assert tuple(read("nonsense")) == ("search", None, "raw", [])
     assert tuple(read('{"intent":"NO_SEARCH","sub_intent":"null","rewritten_query":" "}')) == ("no_search", None, "", [])
-    assert tuple(read('{"intent":"what","sub_intent":"List","rewritten_query":" a ","expansion_queries":["", " b ", "c", "d", "e"]}')) == ("search", "list", "a", ["b", "c", "d"])
+    assert tuple(read('{"intent":"what","sub_intent":"List","rewritten_query":" a ","expansion_queries":["", " b ", "c", "d", "e"]}')) == ("search", "List", "a", ["b", "c", "d"])
     scores = lambda s: one(spark, s, parsing.rerank_reply)
     assert scores('{"scores":[{"id":"0","score":1.7},{"id":"x","score":1},{"id":"1","score":"bad"},{"id":2,"score":-1},{"id":"0","score":0.5}]}') == {0: 0.5, 2: 0.0}
     assert scores('{"other":1}') is None and scores('{"scores":[]}') == {}
