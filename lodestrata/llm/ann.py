@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import Scratch, materialize
 
 K = 5
 DIM = 64
@@ -25,9 +25,15 @@ DIM = 64
 DEGREE, BEAM, OPENED, ALPHA = 16, 24, 8, 1.2
 #: Vectors of a shard, about, and the most of a batch of insertions.
 SHARD, BATCH = 1_200, 256
-#: Centres are fitted on a sample of so many vectors each, and there are no more than MOST_CELLS; beyond that a cell has several shards.
-PER_CELL, MOST_CELLS, LEAST_SAMPLE = 32, 4_096, 8_192
+#: Centres are fitted on a sample of so many vectors each. They come in two levels, some sqrt(n) of each: those of the upper level are fitted
+#: in the driver, those below one of them in a task. There are no more than MOST_CELLS, 64 MB of centres of 64 values, which go to the tasks;
+#: beyond that shards grow, which their graphs are for.
+PER_CELL, MOST_CELLS, LEAST_SAMPLE = 32, 262_144, 8_192
+#: Upper cells whose lower cells are looked at for a vector, at least.
+LOOKED = 6
 PROBES = 2
+#: A cell of more than so many shards, which only vectors can fill that no centre tells apart, is split by hash, and all its shards are searched.
+SPLIT = 32
 #: Where all neighbours count, not only the very similar ones: vectors of a shard, and the cells searched at least.
 WIDE_SHARD, LEAST_PROBES = 4_800, 6
 SEED = 5
@@ -156,17 +162,78 @@ def growing_probes(cells: int) -> int:
     return max(LEAST_PROBES, math.ceil(2 * math.sqrt(cells) / 3))
 
 
-def _assigned(centres: np.ndarray, probes: int, dim: int):
+def _upper(centres: np.ndarray, dim: int):
+    """(cell, unit): each vector with its nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, unit = unit_vectors(batch.column(0), dim)
+            yield pa.RecordBatch.from_arrays([pa.array((unit @ centres.T).argmax(axis=1).astype(np.int32) if len(unit) else np.empty(0, np.int32)), pa.array([u.tobytes() for u in unit], pa.binary())], names=["cell", "unit"])
+
+    return run
+
+
+def _lower(each: float, dim: int):
+    """The centres below one of the upper level: one for each ``each`` vectors of the sample."""
+
+    def run(group: pa.Table) -> pa.Table:
+        x = _matrix(group.column("unit"), dim)
+        x = x[np.lexsort(x.T[:4])]  # the order in which rows come changes nothing
+        centres = fit_centres(x, max(1, round(len(x) / each)))
+        return pa.table({"cell": pa.array([group.column("cell")[0].as_py()] * len(centres), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
+
+    return run
+
+
+def fit_cells(source: DataFrame, n: int, cells: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upper centres, lower centres, where the lower ones of each upper one begin)."""
+
+    def sample(many: int) -> DataFrame:
+        share = min(1.0, 1.2 * max(LEAST_SAMPLE, PER_CELL * many) / max(1, n))
+        return source.where(F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding")
+
+    first = math.ceil(math.sqrt(cells))
+    drawn = sample(first).limit(2 * max(LEAST_SAMPLE, PER_CELL * first)).toArrow()
+    x = unit_vectors(drawn.column(0).combine_chunks(), dim)[1]
+    if not len(x):
+        one = np.eye(1, dim, dtype=np.float32)
+        return one, one, np.array([0, 1])
+    upper = fit_centres(x, first)
+    each = max(1.0, min(n, 1.2 * max(LEAST_SAMPLE, PER_CELL * cells)) / cells)
+    rows = sample(cells).mapInArrow(_upper(upper, dim), "cell int, unit binary").groupBy("cell").applyInArrow(_lower(each, dim), "cell int, centre binary").toArrow()  # one row a cell
+    owner, centres = rows.column("cell").to_numpy(), _matrix(rows.column("centre"), dim)
+    order = np.lexsort((*centres.T[:4], owner))
+    owner, centres = owner[order], centres[order]
+    there, starts = np.unique(owner, return_index=True)
+    return upper[there], centres, np.append(starts, len(owner))
+
+
+def nearest_cells(unit: np.ndarray, upper: np.ndarray, lower: np.ndarray, starts: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest lower cells of each vector, nearest first, -1 where there are fewer: those of its nearest upper cells."""
+    looked = min(len(upper), max(LOOKED, math.ceil(probes / 4)))
+    near = unit @ upper.T
+    tops = np.argpartition(-near, looked - 1, axis=1)[:, :looked] if looked < len(upper) else np.broadcast_to(np.arange(len(upper)), near.shape)
+    best, found = np.full((len(unit), probes), -2, np.float32), np.full((len(unit), probes), -1, np.int32)
+    for c in range(len(upper)):
+        rows = np.flatnonzero((tops == c).any(axis=1))
+        if len(rows):
+            sims = unit[rows] @ lower[starts[c] : starts[c + 1]].T
+            ids = np.broadcast_to(np.arange(starts[c], starts[c + 1], dtype=np.int32), sims.shape)
+            sims, ids = np.concatenate([best[rows], sims], 1), np.concatenate([found[rows], ids], 1)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+            best[rows], found[rows] = np.take_along_axis(sims, order, 1), np.take_along_axis(ids, order, 1)
+    return found
+
+
+def _assigned(upper: np.ndarray, lower: np.ndarray, starts: np.ndarray, probes: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, unit = unit_vectors(batch.column(1), dim)
-            near = unit @ centres.T
-            p = min(probes, centres.shape[0])
-            cells = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < centres.shape[0] else np.argsort(-near, axis=1)
-            cells = np.take_along_axis(cells, np.argsort(-np.take_along_axis(near, cells, axis=1), axis=1, kind="stable"), axis=1)
+            cells = nearest_cells(unit, upper, lower, starts, min(probes, len(lower)))
             raw = [u.tobytes() for u in unit]
             same = np.array([int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "big", signed=True) for r in raw], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, p, dtype=np.int32)), pa.array(cells.ravel().astype(np.int32)))
+            counts = (cells >= 0).sum(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(cells[cells >= 0].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(same), pa.array(raw, pa.binary()), lists], names=["row", "same", "unit", "cells"])
 
     return run
@@ -238,30 +305,31 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int
     is a number of cells, or gives one for how many there are; ``shard`` is how many vectors a shard has, about; without ``beam`` shards are searched whole.
     """
     spark, shard = vectors.sparkSession, shard or SHARD
+    scratch = Scratch(spark, "vectors")
     source = vectors.where("embedding_row is not null").select(F.col("embedding_row").cast("bigint").alias("row"), "embedding")
     n = source.count()
     cells = int(min(MOST_CELLS, max(1, n // shard)))
     probes = probes(cells) if callable(probes) else probes
-    want = max(LEAST_SAMPLE, PER_CELL * cells)
-    share = min(1.0, 1.2 * want / max(1, n))
-    drawn = source.where(F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(2 * want).toArrow()
-    sample = unit_vectors(drawn.column(0).combine_chunks(), dim)[1]
-    centres = fit_centres(sample, cells) if len(sample) else np.eye(1, dim, dtype=np.float32)
-    placed = materialize(source.mapInArrow(_assigned(centres, probes, dim), "row bigint, same bigint, unit binary, cells array<int>"), "placed")
+    fitted = fit_cells(source, n, cells, dim)
+    placed = scratch.keep(source.mapInArrow(_assigned(*fitted, probes, dim), "row bigint, same bigint, unit binary, cells array<int>"), "placed")
     # equal vectors: the smallest row stands for them; the k + 1 smallest are all that can be among anyone's k nearest
     dups = placed.groupBy("same").agg(F.count("*").alias("n"), F.min("row").alias("rep")).where("n > 1")
-    dups = materialize(dups, "equal")
+    dups = scratch.keep(dups, "equal")
     firsts = placed.select("row", "same").join(dups, "same").distinct().withColumn("r", F.row_number().over(W.partitionBy("same").orderBy("row"))).where(F.col("r") <= k + 1)
-    members = materialize(firsts.groupBy("same").agg(F.min("row").alias("rep"), F.sort_array(F.collect_set("row")).alias("members")), "members")
+    members = scratch.keep(firsts.groupBy("same").agg(F.min("row").alias("rep"), F.sort_array(F.collect_set("row")).alias("members")), "members")
     nodes = placed.join(dups, "same", "left").where("rep is null or rep = row").select("row", "same", "unit", "cells")
     counts = {r[0]: r[1] for r in nodes.groupBy(F.col("cells")[0]).agg(F.count("*")).collect()}  # one row a cell
-    shards = spark.createDataFrame([(c, max(1, round(m / shard))) for c, m in counts.items()] or [(0, 1)], "cell int, shards int")
-    each = nodes.select("row", "same", "unit", F.posexplode("cells").alias("near", "cell")).join(F.broadcast(shards), "cell")
-    mine = F.pmod(F.col("same"), F.col("shards")).cast("int")
-    each = each.withColumn("mine", F.when(F.col("near") == 0, mine).otherwise(F.lit(-1))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    each = each.select("cell", "shard", "row", "unit", (F.col("mine") == F.col("shard")).alias("inserted"))
+    large = [(c, -(-m // (SPLIT * shard))) for c, m in counts.items() if m > SPLIT * shard]
+    each = nodes.select("row", "same", "unit", F.posexplode("cells").alias("near", "cell"))
+    if large:
+        each = each.join(spark.createDataFrame(large, "cell int, shards int"), "cell", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+        mine = F.when(F.col("near") == 0, F.pmod(F.col("same"), F.col("shards")).cast("int")).otherwise(F.lit(-1))
+        each = each.withColumn("mine", mine).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        each = each.select("cell", "shard", "row", "unit", (F.col("mine") == F.col("shard")).alias("inserted"))
+    else:
+        each = each.select("cell", F.lit(0).alias("shard"), "row", "unit", (F.col("near") == 0).alias("inserted"))
     # a task takes a few shards, at every size of the table
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(max(1, round(m / shard)) for m in counts.values()) // 8)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(counts) // 8)
     near = each.repartition(tasks, "cell", "shard").groupBy("cell", "shard").applyInArrow(_searched(k, least, dim, beam) if beam else _compared(k, least, dim), "a bigint, b bigint, sim double")
     # rows for nodes again: both ends, with the members that can matter
     ends = members.select("rep", "members")
@@ -273,7 +341,9 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = -1.5, probes: int
     if queries is not None:
         every = every.join(queries.select(F.col("embedding_row").alias("x")).where("x is not null").distinct(), "x", "left_semi")
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("sim"), "y"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("x").alias("row"), F.col("y").alias("neighbour"), F.col("sim").alias("similarity"), "rank")
+    ranked = materialize(ranked.select(F.col("x").alias("row"), F.col("y").alias("neighbour"), F.col("sim").alias("similarity"), "rank"), "neighbours")
+    scratch.close()
+    return ranked
 
 
 def found(vectors: DataFrame, least: float = 0.9) -> DataFrame:

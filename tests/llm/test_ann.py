@@ -75,3 +75,24 @@ def test_neighbours_of_many_cells(spark, monkeypatch, tmp_path):
     top, _ = exact(x, 5)
     wanted = {(i, int(j)) for i in range(0, len(x), 10) for j in top[i]}
     assert len(wanted & got) / len(wanted) > 0.9
+
+
+def test_cells_come_in_two_levels(spark):
+    x = data(7, 4000, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row bigint, embedding array<float>")
+    upper, lower, starts = ann.fit_cells(df, len(x), 100, 16)
+    assert len(upper) == 10 and 60 < len(lower) < 140 and starts[-1] == len(lower) and (np.diff(starts) > 0).all()
+    cells = ann.nearest_cells(x, upper, lower, starts, 3)
+    best = (x @ lower.T).argmax(axis=1)
+    assert (cells[:, 0] == best).mean() > 0.9 and (cells >= 0).all() and np.bincount(cells[:, 0]).max() < 400
+
+
+def test_cells_that_no_centre_tells_apart(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SPLIT", 2)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([data(2, 200, 16), data(1, 1, 16)[:1] + 0.002 * rng.normal(size=(400, 16)).astype(np.float32)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "embedding_row bigint, embedding array<float>")
+    got = {(r.row, r.neighbour) for r in ann.neighbours(df, dim=16, shard=40, probes=3).collect()}
+    top, _ = exact(x, 5)
+    assert len({(i, int(j)) for i in range(200, 600) for j in top[i]} & got) / 2000 > 0.95
