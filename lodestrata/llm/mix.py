@@ -14,8 +14,11 @@ from lodestrata.session import materialize
 SEED = 17
 #: A mix is cut into about so many blocks of equal tokens. More blocks follow the shares more closely; the seats are computed, not dealt out one by one.
 BLOCKS = 100_000
-#: Documents of a source are ordered within shards; a shard's running sum is what one task computes.
-SHARD_TOKENS = 8_000_000
+#: Documents of a source are ordered within shards; a shard's running sum is what one task computes. A source has no more than MOST_SHARDS, so
+#: that the plan, which the driver makes, has a fixed number of rows for each target; beyond that shards grow.
+SHARD_TOKENS, MOST_SHARDS = 8_000_000, 4_096
+#: Sources whose shard numbers go to the tasks as a table of known size.
+KNOWN_SOURCES = 10_000
 
 
 def sainte_lague(weights: dict, seats: int) -> dict:
@@ -87,7 +90,8 @@ def quotas(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> list[d
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(mix_name, doc_id, repeats), and (mix_name, source, target_share, reached_share, tokens, docs, max_repeats).
+    """(mix_name, doc_id, repeats), and (mix_name, source, target_share, reached_share, of_wanted, tokens, docs, max_repeats): the part of what
+    the mix really holds, which sums to 1, and of what it was to hold.
 
     Each source's seats are apportioned again to shards of its documents by their tokens. Within a shard documents stand in seeded order, each
     covering its own stretch of the shard's tokens; a quota of q tokens is floor(q / size) whole rounds of the shard, and of the documents in
@@ -98,29 +102,32 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed:
     plan = quotas(sizes, targets)
     schema = "mix_name string, source string, target_share double, max_repeats int, mix_tokens double, have bigint, wanted double, unit double"
     wanted = spark.createDataFrame([tuple(r.values()) for r in plan], schema)
-    used = spark.createDataFrame(sorted({(r["source"], max(1, math.ceil(r["have"] / SHARD_TOKENS))) for r in plan}), "source string, shards int")
+    used = spark.createDataFrame(sorted({(r["source"], min(MOST_SHARDS, max(1, math.ceil(r["have"] / SHARD_TOKENS)))) for r in plan}), "source string, shards int")
     docs = (
-        sizes.where("tokens > 0").join(F.broadcast(used), "source")
+        sizes.where("tokens > 0").join(F.broadcast(used) if len(plan) <= KNOWN_SOURCES else used, "source")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
         .withColumn("turn", F.xxhash64(F.lit(seed + 1), "doc_id"))
     )
     w = W.partitionBy("source", "shard").orderBy("turn", "doc_id")
     docs = docs.withColumn("middle", F.sum("tokens").over(w) - F.col("tokens") / 2)
-    by_shard = docs.groupBy("source", "shard").agg(F.sum("tokens").alias("size")).collect()  # one row a shard, never a document
+    by_shard: dict[str, dict[int, int]] = {}
+    for x in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("size")).collect():  # MOST_SHARDS rows a source
+        by_shard.setdefault(x.source, {})[x.shard] = x["size"]
     shard_plan = []
     for r in plan:
-        own = {s.shard: s.size for s in by_shard if s.source == r["source"]}
+        own = by_shard.get(r["source"], {})
         seats = sainte_lague(own, round(r["wanted"] / r["unit"]))
         shard_plan += [(r["mix_name"], r["source"], k, int(size), min(seats[k] * r["unit"], float(size * r["max_repeats"])), r["max_repeats"]) for k, size in own.items()]
     quota = spark.createDataFrame(shard_plan, "mix_name string, source string, shard int, size bigint, quota double, max_repeats int")
     rounds = F.floor(F.col("quota") / F.col("size"))
-    picked = docs.join(F.broadcast(quota), ["source", "shard"]).withColumn(
+    picked = docs.join(quota, ["source", "shard"]).withColumn(
         "repeats", F.least(F.col("max_repeats"), rounds + (F.col("middle") <= F.col("quota") - rounds * F.col("size")).cast("int")).cast("int")
     )
     picked = picked.where("repeats > 0").select("mix_name", "doc_id", "source", "tokens", "repeats")
     reached = picked.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("docs"))
+    reached = reached.withColumn("reached_share", F.col("tokens") / F.sum("tokens").over(W.partitionBy("mix_name")))
     report = (
         wanted.join(reached, ["mix_name", "source"], "left")
-        .select("mix_name", "source", "target_share", F.coalesce(F.col("tokens") / F.nullif(F.col("mix_tokens"), F.lit(0.0)), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), "max_repeats")
+        .select("mix_name", "source", "target_share", F.coalesce("reached_share", F.lit(0.0)).alias("reached_share"), F.coalesce(F.col("tokens") / F.nullif(F.col("mix_tokens"), F.lit(0.0)), F.lit(0.0)).alias("of_wanted"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), "max_repeats")
     )
     return picked.select("mix_name", "doc_id", "repeats"), report
