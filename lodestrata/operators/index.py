@@ -40,6 +40,10 @@ def idf(n, df):
     return F.greatest(F.lit(0.01), F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)))
 
 
+#: Folders of an index.
+BUCKETS = 64
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     """The folder of a term."""
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -55,7 +59,7 @@ class Index:
     version: str
 
 
-def save(rows: DataFrame, path: str, buckets: int = 64, version: str = DEFAULTS.tokenizer_version) -> Index:
+def save(rows: DataFrame, path: str, buckets: int = BUCKETS, version: str = DEFAULTS.tokenizer_version) -> Index:
     """Writes the index of ``rows`` (row, terms, dl) and opens it. A hot term is split over several files of its folder."""
     posts = postings(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
     posts.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata import schemas
 from lodestrata.config import DEFAULTS, Settings
 from lodestrata.functions import parsing, prompts
 from lodestrata.functions.policy import GREETING, apply_policy
 from lodestrata.functions.text import indexed_text, strip
 from lodestrata.operators import answer as A
-from lodestrata.operators import chunking, corpus, rank
+from lodestrata.operators import chunking, corpus, index, rank
 from lodestrata.operators.index import token_rows
 from lodestrata.operators.provider import Provider, chat, embed
 from lodestrata.operators.retrieve import hybrid
 from lodestrata.session import materialize
+from lodestrata.sources import snapshot, uploads
 
 
 def ingest(blocks: DataFrame, uploads: DataFrame, documents: DataFrame, chunks: DataFrame, provider: Provider, ocr_pages: DataFrame | None = None, settings: Settings = DEFAULTS):
@@ -33,6 +37,45 @@ def ingest(blocks: DataFrame, uploads: DataFrame, documents: DataFrame, chunks:
     return docs, cut, vectors
 
 
+def ingest_files(spark: SparkSession, files: DataFrame, root: str, provider: Provider, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = uploads.parse_pdf, settings: Settings = DEFAULTS) -> DataFrame:
+    """Takes uploaded files (doc_id, filename, content_type, content) into the snapshot at ``root``: checked, parsed, recognised where pages have
+    too little text, cut, embedded, indexed and published in one step. Returns doc_id, filename, status (ready, skipped, failed), error,
+    candidate.
+
+    What is known already is skipped; a file without any text fails. Only new rows are written; readers see all of them or none.
+    """
+    tables, _ = snapshot.load(spark, root, settings.embedding_dim)
+    checked = uploads.validate(files, settings).withColumn("sha256", corpus.content_hash(F.coalesce("content", F.lit(b""))))
+    checked = materialize(checked, "uploads")
+    none = spark.createDataFrame([], schemas.DOCUMENTS), spark.createDataFrame([], schemas.CHUNKS)
+    documents, chunks = tables.get("documents", none[0]), tables.get("chunks", none[1])
+    taken = materialize(corpus.fresh(checked.where("error is null"), documents), "taken")
+    blocks, pages = parse(taken)
+    pages = materialize(pages, "pages")
+    recognised = materialize(uploads.recognised_pages(pages, taken, provider, settings), "texts")
+    blocks = uploads.replace_pages(blocks, recognised)
+    counts = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("num_pages"))
+    named = taken.select("doc_id", "filename", "sha256").join(counts, "doc_id", "left").fillna(0, ["num_pages"])
+    docs, cut, vectors = ingest(blocks, named, documents, chunks, provider, recognised.select("doc_id", "page_num"), settings)
+    docs = materialize(docs.withColumn("deleted_at", F.lit(None).cast("timestamp")).select(*schemas.DOCUMENTS.fieldNames()), "new-documents")
+    first = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] - (chunks.agg(F.coalesce(F.max("embedding_row"), F.lit(-1))).first()[0])
+    cut = cut.withColumn("id", F.col("embedding_row") + F.lit(first)).select(*schemas.CHUNKS.fieldNames())
+    rows = token_rows(cut)
+    posts = index.postings(rows).withColumn("bucket", index.bucket_of(F.col("term"), index.BUCKETS))
+    added = {"documents": docs, "chunks": cut, "vectors": vectors, "postings": posts, "lengths": rows.select("row", "dl")}
+    snapshot.publish(spark, root, {}, {"embedding_dim": settings.embedding_dim, "embedding_model": settings.embedding_model, "tokenizer_version": settings.tokenizer_version}, added, {"postings": "bucket"})
+    out = checked.join(docs.select("doc_id", "status"), "doc_id", "left")
+    status = F.coalesce("status", F.when(F.col("error").isNull(), F.lit("skipped")).otherwise(F.lit("failed")))
+    return out.select("doc_id", "filename", status.alias("status"), F.when(F.col("status") == "failed", F.lit("no text")).otherwise(F.col("error")).alias("error"), "candidate")
+
+
+def published_index(tables: dict[str, DataFrame], meta: dict) -> index.Index:
+    """The index of a snapshot, of its published rows only: what was deleted counts no more."""
+    ready = corpus.ready_rows(tables["chunks"], tables["documents"])
+    posts = tables["postings"].join(ready, "row", "left_semi").select("term", "row", "tf", "dl", "bucket")
+    return index.Index(posts, index.corpus_stats(tables["lengths"].join(ready, "row", "left_semi")), index.BUCKETS, meta.get("tokenizer_version", "v1"))
+
+
 def answer(requests: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, provider: Provider, settings: Settings = DEFAULTS) -> DataFrame:
     """One response for each request (query_id, query, top_k, answer_format, document_ids, enable_llm_rerank): query_id, answer, format, intent,
     sub_intent, structured, citations, all_supported, unsupported, disclaimer, entities, refusal_reason, warning.

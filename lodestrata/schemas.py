@@ -6,18 +6,14 @@ from pyspark.sql import types as T
 
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])
 BLOCKS = T.StructType().add("doc_id", "long").add("page_num", "integer").add("pos", "integer").add("text", "string").add("bbox", BBOX).add("font_size", "double")
-PAGES = T.StructType().add("doc_id", "long").add("page_num", "integer").add("raw_text", "string").add("is_ocr", "boolean")
 DOCUMENTS = (
-    T.StructType().add("id", "long").add("filename", "string").add("sha256", "string").add("num_pages", "integer").add("num_chunks", "integer").add("ocr_pages", "integer")
+    T.StructType().add("doc_id", "long").add("filename", "string").add("sha256", "string").add("num_pages", "integer").add("num_chunks", "integer").add("ocr_pages", "integer")
     .add("status", "string").add("is_deleted", "integer").add("deleted_at", "timestamp").add("ingested_at", "timestamp")
 )
 CHUNKS = (
     T.StructType().add("id", "long").add("doc_id", "long").add("ordinal", "integer").add("page", "integer").add("bbox", BBOX).add("text", "string")
     .add("token_count", "integer").add("section_title", "string").add("embedding_row", "long").add("source", "string")
 )
-EMBEDDINGS = T.StructType().add("row", "long").add("embedding", T.ArrayType(T.FloatType()))
-POSTINGS = T.StructType().add("term", "string").add("row", "long").add("tf", "long").add("dl", "long")
-RANKINGS = T.StructType().add("query_id", "long").add("list_id", "integer").add("row", "long").add("score", "double").add("rank", "integer")
 
 STATUSES = ("processing", "ready", "failed")
 SOURCES = ("pdf_text", "ocr")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.config import DEFAULTS, Settings
 from lodestrata.functions.text import strip
+from lodestrata.operators.provider import Provider, recognise
+from lodestrata.session import materialize
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -65,12 +67,28 @@ def replace_pages(blocks: DataFrame, recognised: DataFrame) -> DataFrame:
     return blocks.join(some, ["doc_id", "page_num"], "left_anti").unionByName(new)
 
 
-def parse_pdf(files: DataFrame) -> DataFrame:
-    """Blocks of PDF files, one a line of the layout. It needs a layout parser, which isn't part of this package."""
+def recognised_pages(pages: DataFrame, files: DataFrame, provider: Provider, settings: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, page_num, ocr_text of pages with too little text. A file whose pages all have too little goes to recognition once, as a whole; if
+    what comes back doesn't part into its pages, and for files with some such pages, each of these goes by itself.
+
+    ``pages``: doc_id, page_num, raw_text, image. ``files``: doc_id, content. Texts are written down, so no page is sent twice.
+    """
+    plan = ocr_plan(pages, settings)
+    whole = plan.where("plan = 'whole'").join(files.select("doc_id", "content"), "doc_id")
+    parted = materialize(split_recognised(recognise(whole, "content", provider).select("doc_id", "pages", F.coalesce("ocr_text", F.lit("")).alias("ocr_text"))), "recognised")
+    single = plan.where("plan = 'per_page'").select("doc_id").unionByName(parted.where("not fits").select("doc_id").distinct())
+    low = low_text(pages, settings).where("low").join(single, "doc_id", "left_semi").select("doc_id", "page_num", "image")
+    one = materialize(recognise(low, "image", provider).select("doc_id", "page_num", "ocr_text"), "recognised-pages")
+    return parted.where("fits").select("doc_id", "page_num", "ocr_text").unionByName(one).where(strip(F.coalesce("ocr_text", F.lit(""))) != "")
+
+
+def parse_pdf(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, pages) of PDF files (doc_id, content): a block for each line of the layout, a row for each page with its text and, for
+    recognition, the page as a file of its own. It needs a layout parser, which isn't part of this package."""
     try:
         import pymupdf  # noqa: F401
     except ImportError as e:
-        raise NotImplementedError("no PDF layout parser is installed; give blocks (doc_id, page_num, pos, text, bbox, font_size) instead") from e
+        raise NotImplementedError("no PDF layout parser is installed; give another one, or blocks and pages instead") from e
     from lodestrata.schemas import BLOCKS
 
     def lines(batches):
@@ -91,4 +109,19 @@ def parse_pdf(files: DataFrame) -> DataFrame:
                             pos += 1
             yield pd.DataFrame(rows, columns=BLOCKS.fieldNames())
 
-    return files.select("doc_id", "content").mapInPandas(lines, BLOCKS)
+    def each_page(batches):
+        import pandas as pd
+        import pymupdf
+
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch["doc_id"], batch["content"]):
+                source = pymupdf.open(stream=bytes(content))
+                for number, page in enumerate(source, 1):
+                    alone = pymupdf.open()
+                    alone.insert_pdf(source, from_page=number - 1, to_page=number - 1)
+                    rows.append((doc, number, page.get_text(), alone.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "raw_text", "image"])
+
+    some = files.select("doc_id", "content")
+    return some.mapInPandas(lines, BLOCKS), some.mapInPandas(each_page, "doc_id bigint, page_num int, raw_text string, image binary")
