@@ -16,6 +16,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
 
 
+def uploads_of(files: DataFrame) -> DataFrame:
+    """doc_id (a hash of the path), filename, content_type (unknown), content of files as :func:`read_files` gives them."""
+    return files.select(F.xxhash64("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("content_type"), "content")
+
+
 def validate(uploads: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``uploads`` (filename, content_type, content) with filename filled in, error (null: taken in) and candidate (it was a PDF at all)."""
     kind, content = F.lower(F.coalesce("content_type", F.lit(""))), F.coalesce("content", F.lit(b""))

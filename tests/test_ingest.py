@@ -7,6 +7,7 @@ from lodestrata.operators.provider import FakeProvider
 from lodestrata.plans import pipeline
 from lodestrata.schemas import BLOCKS
 from lodestrata.sources import snapshot, uploads
+from lodestrata.streaming.ingest import take_in
 
 SETTINGS = Settings(embedding_dim=8, max_pdf_bytes=5000)
 LONG = "This page says enough about parental leave and remote work to count as digital."
@@ -73,6 +74,21 @@ def test_files_come_in_end_to_end(spark, tmp_path):
     assert len(snapshot.clean(spark, root)) >= 2 and snapshot.load(spark, root)[0]["chunks"].count() == before and snapshot.clean(spark, root) == []
 
 
+def test_a_folder_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(b"%PDF-" + LONG.encode())
+    (tmp_path / "in/note.txt").write_bytes(b"no")
+    once = uploads.uploads_of(uploads.read_files(spark, f"{tmp_path}/in")).collect()
+    assert [(r.filename, bytes(r.content)[:5]) for r in once] == [("a.pdf", b"%PDF-")]
+    root, provider = f"file://{tmp_path}/snapshot", FakeProvider(8)
+    for n, name in enumerate(("B.PDF", None), 2):
+        take_in(spark, f"{tmp_path}/in", root, provider, parse, f"{tmp_path}/progress", SETTINGS).awaitTermination()
+        tables, _ = snapshot.load(spark, root, 8)
+        assert tables["documents"].count() == tables["chunks"].count() == n - 1
+        if name:
+            (tmp_path / "in" / name).write_bytes(b"%PDF-" + LONG.upper().encode())
+
+
 def test_parser_is_needed(spark):
     with pytest.raises(NotImplementedError):
         uploads.parse_pdf(files(spark, []))
