@@ -30,12 +30,12 @@ SHARD, BATCH = 1_200, 256
 #: beyond that shards grow, which their graphs are for.
 PER_CELL, MOST_CELLS, LEAST_SAMPLE = 32, 262_144, 8_192
 #: Upper cells whose lower cells are looked at for a vector, at least.
-LOOKED = 6
+LOOKED = 16
 PROBES = 2
 #: A cell of more than so many shards, which only vectors can fill that no centre tells apart, is split by hash, and all its shards are searched.
 SPLIT = 32
 #: Where all neighbours count, not only the very similar ones: vectors of a shard, and the cells searched at least.
-WIDE_SHARD, LEAST_PROBES = 4_800, 6
+WIDE_SHARD, LEAST_PROBES = 4_800, 8
 SEED = 5
 
 # --- the graph of one shard ------------------------------------------------------------------------------------------------------------------
@@ -159,7 +159,7 @@ def fit_centres(sample: np.ndarray, cells: int, seed: int = SEED, rounds: int =
 
 def growing_probes(cells: int) -> int:
     """How many cells to search of so many: neighbours spread over more cells as a table grows, so a fixed number loses them."""
-    return max(LEAST_PROBES, math.ceil(2 * math.sqrt(cells) / 3))
+    return max(LEAST_PROBES, math.ceil(5 * math.sqrt(cells) / 6))
 
 
 def _upper(centres: np.ndarray, dim: int):
