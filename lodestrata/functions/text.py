@@ -24,9 +24,8 @@ def strip(c: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Index terms in order, repeated ones kept; null gives none."""
-    stop = F.array(*map(F.lit, STOPWORDS))
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.filter(found, lambda x: ~F.array_contains(stop, x))
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))  # a set look-up
 
 
 def words(text: Column) -> Column:
