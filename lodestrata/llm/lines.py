@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import Scratch, materialize
 
 MIN_WORDS = 4
 MIN_DOCS = 5
@@ -38,10 +38,10 @@ def source_sizes(documents: DataFrame) -> DataFrame:
     return documents.where("source is not null").groupBy("source").agg(F.count("*").alias("n_rows"))
 
 
-def repeated_lines(lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """source, line, n_docs of the lines within MIN_DOCS and MIN_SHARE. Counting (line, document) pairs first keeps a hot line apart."""
-    seen = lines.select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
-    return seen.join(source_sizes(documents), "source").where(F.col("n_docs") >= MIN_SHARE * F.col("n_rows")).select("source", "line", "n_docs", "n_rows")
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """source, line of the lines that stand in more than one document of their source. All others are in no repeated block whatever the
+    thresholds. Counting (line, document) pairs first keeps a hot line apart."""
+    return lines.select("source", "line", "doc_id").distinct().groupBy("source", "line").agg(F.count("*").alias("n")).where("n > 1").select("source", "line")
 
 
 def runs_of(kept: DataFrame) -> DataFrame:
@@ -52,15 +52,20 @@ def runs_of(kept: DataFrame) -> DataFrame:
     return runs.groupBy("source", "chunk_id", "doc_id", "run").agg(both.alias("both")).select("source", "chunk_id", "doc_id", F.col("both.line").alias("ids"), F.col("both.line_no").alias("nos"))
 
 
+def _suffixes(ids: str = "ids"):
+    return F.transform(F.sequence(F.lit(1), F.size(ids)), lambda i: F.slice(ids, i, F.size(ids)))
+
+
 def suffix_array(runs: DataFrame) -> DataFrame:
-    """The suffix array of each source: source, suffix, rank, lcp (with the suffix before it), n (occurrences).
+    """The suffix array of each source: source, suffix, rank (among those that begin with the same line), lcp (with the suffix before it), n
+    (occurrences).
 
-    Equal suffixes are one row with their count before anything is sorted, so a source that holds a third of all rows sorts its different
-    suffixes only. A run ends at its chunk's end, as a separator would end it in the concatenation.
+    Equal suffixes are one row with their count before anything is sorted, and suffixes are sorted apart for each first line, since those of
+    different ones have no common prefix; so a source that holds a third of all rows isn't sorted in one place. A run ends at its chunk's end,
+    as a separator would end it in the concatenation.
     """
-    suffixes = runs.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size("ids")), lambda i: F.slice("ids", i, F.size("ids")))).alias("suffix"))
-    distinct = suffixes.groupBy("source", "suffix").agg(F.count("*").alias("n"))
-    w = W.partitionBy("source").orderBy("suffix")
+    distinct = runs.select("source", F.explode(_suffixes()).alias("suffix")).groupBy("source", "suffix").agg(F.count("*").alias("n"))
+    w = W.partitionBy("source", F.col("suffix")[0]).orderBy("suffix")
     before = F.coalesce(F.lag("suffix").over(w), F.array().cast("array<bigint>"))
     same = F.transform(F.arrays_zip(F.col("suffix").alias("a"), F.col("before").alias("b")), lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)))
     broken = F.array_position(same, False)
@@ -71,48 +76,54 @@ def suffix_array(runs: DataFrame) -> DataFrame:
     )
 
 
+def _prefixes(of: str = "suffix"):
+    """The prefixes of a suffix, each as its length and a hash."""
+    return F.transform(F.sequence(F.lit(1), F.size(of)), lambda i: F.struct(i.cast("int").alias("size"), F.xxhash64(F.slice(of, F.lit(1), i)).alias("block")))
+
+
 def blocks_of(runs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Repeated blocks: source, block (identifiers), n_docs. The inner nodes of the suffix array (common prefixes of neighbours) and the
-    suffixes that occur more than once, each counted in documents and held against MIN_DOCS and MIN_SHARE; single lines are blocks of one."""
+    """Repeated blocks: source, size (lines), block (a hash of their identifiers), n_docs.
+
+    Candidates are the inner nodes of the suffix array (common prefixes of neighbours), the suffixes that occur more than once, and their first
+    lines: every block that stands in several places is a prefix of one of these, in the same places. The documents of all suffixes in a node's
+    interval are counted, and MIN_DOCS and MIN_SHARE decide: nothing else picks a line.
+    """
     array = suffix_array(runs)
-    nodes = (
-        array.where("lcp > 0").select("source", F.slice("suffix", F.lit(1), F.col("lcp")).alias("block"))
-        .unionByName(array.where("n > 1").select("source", F.col("suffix").alias("block")))
-        .unionByName(array.select("source", F.slice("suffix", 1, 1).alias("block")))
-        .distinct()
-        .withColumn("head", F.col("block")[0])
-    )
-    at = array.select("source", "suffix", F.col("suffix")[0].alias("head"))
-    prefixes = at.join(nodes, ["source", "head"]).where(F.slice("suffix", F.lit(1), F.size("block")) == F.col("block")).select("source", "suffix", "block")
-    suffixes = runs.select("source", "doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ids")), lambda i: F.slice("ids", i, F.size("ids")))).alias("suffix")).distinct()
-    counted = suffixes.join(prefixes, ["source", "suffix"]).select("source", "block", "doc_id").distinct().groupBy("source", "block").agg(F.count("*").alias("n_docs"))
-    return counted.where(F.col("n_docs") >= MIN_DOCS).join(source_sizes(documents), "source").where(F.col("n_docs") >= MIN_SHARE * F.col("n_rows")).select("source", "block", "n_docs")
+    block = lambda size: F.struct(F.lit(size).cast("int").alias("size") if isinstance(size, int) else size.cast("int").alias("size"), F.xxhash64(F.slice("suffix", F.lit(1), size)).alias("block")).alias("b")
+    nodes = array.where("lcp > 0").select("source", block(F.col("lcp"))).unionByName(array.where("n > 1").select("source", block(F.size("suffix")))).unionByName(array.select("source", block(1))).distinct()
+    # a suffix lies in the intervals of its own prefixes: they are joined one by one, so a hot first line pairs nothing
+    each = runs.select("source", "doc_id", F.explode(_suffixes()).alias("suffix")).distinct().select("source", "doc_id", F.explode(_prefixes()).alias("b")).distinct()
+    counted = each.join(nodes, ["source", "b"]).groupBy("source", "b").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
+    return counted.join(source_sizes(documents), "source").where(F.col("n_docs") >= MIN_SHARE * F.col("n_rows")).select("source", "b.size", "b.block", "n_docs")
 
 
 def occurrences(runs: DataFrame, blocks: DataFrame) -> DataFrame:
     """chunk_id, line_no of every line that lies in an occurrence of a block."""
-    each = runs.select("source", "chunk_id", "nos", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ids")), lambda i: F.slice("ids", i, F.size("ids")))).alias("at", "suffix"))
-    hit = each.withColumn("head", F.col("suffix")[0]).join(blocks.select("source", "block", F.col("block")[0].alias("head")), ["source", "head"])
-    hit = hit.where(F.slice("suffix", F.lit(1), F.size("block")) == F.col("block"))
-    return hit.select("chunk_id", F.explode(F.slice("nos", F.col("at") + 1, F.size("block"))).alias("line_no")).distinct()
+    each = runs.select("source", "chunk_id", "nos", F.posexplode(_suffixes()).alias("at", "suffix"))
+    each = each.select("source", "chunk_id", "nos", "at", F.explode(_prefixes()).alias("b")).select("source", "chunk_id", "nos", "at", "b.size", "b.block")
+    hit = each.join(blocks.select("source", "size", "block"), ["source", "size", "block"])
+    return hit.select("chunk_id", F.explode(F.slice("nos", F.col("at") + 1, F.col("size"))).alias("line_no")).distinct()
 
 
-def repeated_blocks(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of repeated lines, and the blocks among them.
+def repeated_blocks(chunks: DataFrame, documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Runs of shared lines, and the repeated blocks among them.
 
-    A block that spans many documents consists of lines that each span as many, so all other lines act as separators and leave before the
-    suffix array is built; that loses no block. Nulls: no rows. Empty tables: empty results. Repeated rows of chunks count once per document.
+    Lines of one document only act as separators and leave before the suffix array is built; that loses no block. Nulls: no rows. Empty tables:
+    empty results. Repeated rows of chunks count once per document.
     """
-    lines = materialize(lines_of(chunks, documents), "lines")
-    kept = lines.join(repeated_lines(lines, documents).select("source", "line"), ["source", "line"], "left_semi")
-    runs = materialize(runs_of(kept), "runs")
+    lines = scratch.keep(lines_of(chunks, documents), "lines")
+    kept = lines.join(shared_lines(lines), ["source", "line"], "left_semi")
+    runs = scratch.keep(runs_of(kept), "runs")
     return runs, blocks_of(runs, documents)
 
 
 def found(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """p4_found: chunk_id, line_no of each occurrence of a repeated line."""
-    runs, blocks = repeated_blocks(chunks, documents)
-    return occurrences(runs, blocks).select("chunk_id", F.col("line_no").cast("int").alias("line_no"))
+    scratch = Scratch(chunks.sparkSession, "lines")
+    runs, blocks = repeated_blocks(chunks, documents, scratch)
+    out = materialize(occurrences(runs, blocks).select("chunk_id", F.col("line_no").cast("int").alias("line_no")), "repeated")
+    scratch.close()
+    return out
 
 
 def cleaned(chunks: DataFrame, documents: DataFrame) -> DataFrame:
