@@ -119,9 +119,14 @@ def _cited(spark, d):
 
 
 def rerank_merge(spark, d):
+    """Replies of five shapes: none, one with scores out of range and unreadable entries, one with a repeated id, an empty list, no JSON."""
     cands = _cited(spark, d)
-    reply = F.to_json(F.struct(F.array(F.struct(F.lit("0").alias("id"), F.lit("1.7").alias("score")), F.struct(F.lit("1").alias("id"), F.lit("0.25").alias("score")), F.struct(F.lit("x").alias("id"), F.lit("0.9").alias("score"))).alias("scores")))
-    scores = cands.select("query_id").distinct().where("query_id % 3 <> 0").select("query_id", parsing.rerank_reply(reply).alias("scores"))
+    entry = lambda i, score: F.struct(F.lit(i).alias("id"), F.lit(score).alias("score"))
+    full = F.array(entry("0", "1.7"), entry("1", "0.25"), entry("x", "0.9"), entry("2", "high"))
+    twice = F.array(entry("1", "-3"), entry("0", "0.5"), entry("1", "0.75"), entry("99", "1"))
+    shape = F.pmod("query_id", F.lit(5))
+    reply = F.when(shape == 1, F.to_json(F.struct(full.alias("scores")))).when(shape == 2, F.to_json(F.struct(twice.alias("scores")))).when(shape == 3, F.lit('{"scores":[]}')).when(shape == 4, F.lit("no scores"))
+    scores = cands.select("query_id").distinct().select("query_id", parsing.rerank_reply(reply).alias("scores"))
     return _rounded(rank.rerank(cands.select("query_id", "row", "score", "rank"), scores))
 
 
@@ -160,8 +165,19 @@ def verify_support(spark, d):
 
 
 def citation_parse(spark, d):
+    """Sentences of five shapes made from the citations: with several numbers, a question, without letters, without citations, with blanks of
+    other kinds and brackets that cite nothing."""
     cites = table(spark, d, "citations").select("query_id", "cite_no", "chunk_id").distinct()
-    made = cites.select("query_id", "cite_no", "chunk_id", F.concat(F.lit("Stated ["), F.col("cite_no").cast("string"), F.lit("] and ["), F.col("chunk_id").cast("string"), F.lit(" , "), F.col("query_id").cast("string"), F.lit("] but not [x1].")).alias("sentence"))
+    cite, chunk, query = (F.col(c).cast("string") for c in ("cite_no", "chunk_id", "query_id"))
+    shape = F.pmod(F.col("query_id") + F.col("cite_no"), F.lit(5))
+    sentence = (
+        F.when(shape == 0, F.concat(F.lit("Stated ["), cite, F.lit("] and ["), chunk, F.lit(" , "), query, F.lit("] but not [x1].")))
+        .when(shape == 1, F.concat(F.lit("Is it so ["), cite, F.lit("]?")))
+        .when(shape == 2, F.concat(cite, F.lit(" % ["), chunk, F.lit("]")))
+        .when(shape == 3, F.concat(F.lit("Plain claim "), chunk, F.lit(".")))
+        .otherwise(F.concat(F.lit("  A\u00a0 [ "), cite, F.lit("] \t["), chunk, F.lit("][], [1,] end ["), cite, F.lit(","), cite, F.lit("]")))
+    )
+    made = cites.select("query_id", "cite_no", "chunk_id", sentence.alias("sentence"))
     return made.select("query_id", "cite_no", "chunk_id", F.array_join(F.transform(text.citations(F.col("sentence")), lambda x: x.cast("string")), ",").alias("cited"), text.strip_citations(F.col("sentence")).alias("bare"), text.looks_factual(F.col("sentence")).alias("factual"))
 
 

@@ -41,6 +41,17 @@ def _dense(probes: str, mask: str, k: int) -> str:
   SELECT p.query_id, m.row, {_DOT} AS score FROM {probes} p, matrix m {mask}) QUALIFY rank <= {k})"""
 
 
+def _mmr(window: int, k: int, weight: float) -> str:
+    """One pick after the other: each is a common table over those before it."""
+    dot = "list_dot_product(CAST({}.embedding AS DOUBLE[]), CAST({}.embedding AS DOUBLE[]))"
+    steps = [f"c AS (SELECT d.query_id, d.rank AS r, d.row, d.score, m.embedding FROM {_dense('probes', '', window)} d JOIN matrix m USING (row))", "p1 AS (SELECT query_id, r, 1 AS at FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) = 1)"]
+    for n in range(2, k + 1):
+        steps.append(f"""p{n} AS (SELECT * FROM p{n - 1} UNION ALL SELECT query_id, r, {n} FROM (SELECT c.query_id, c.r, {weight} * c.score - (1 - {weight}) * max({dot.format('c', 'x')}) AS v
+  FROM c JOIN p{n - 1} p USING (query_id) JOIN c x ON x.query_id = p.query_id AND x.r = p.r WHERE NOT EXISTS (FROM p{n - 1} y WHERE y.query_id = c.query_id AND y.r = c.r) GROUP BY c.query_id, c.r, c.score)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, r) = 1)""")
+    return ",\n".join(steps) + f" SELECT c.query_id, c.row, round(c.score, 5) AS score, CAST(p.at AS INTEGER) AS rank FROM p{k} p JOIN c USING (query_id, r)"
+
+
 def _fused(lists: str) -> str:
     return f"""SELECT query_id, row, round(score, 6) AS score, rank FROM (SELECT query_id, row, sum(1.0 / (60 + rank)) AS score, min({{'l': list_id, 'r': rank}}) AS first,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, min({{'l': list_id, 'r': rank}})) AS BIGINT) AS rank FROM ({lists}) GROUP BY query_id, row) WHERE rank <= 10"""
@@ -92,8 +103,10 @@ ORACLE = {
         f"SELECT query_id, 0 AS list_id, row, rank FROM {_dense('probes', '', 50)} UNION ALL SELECT query_id, 1, row, rank FROM {_bm25(_terms('probes', 'query_id', 'query'), '', 50)} "
         f"UNION ALL SELECT query_id, 2, row, rank FROM {_dense('more', '', 50)} UNION ALL SELECT query_id, 3, row, rank FROM {_bm25(_terms('more', 'query_id', 'query'), '', 50)}"
     ),
-    "rerank_merge": f"""WITH {_CITED}, scored AS (SELECT query_id, row, rank AS old, CASE WHEN query_id % 3 = 0 THEN score WHEN rank = 1 THEN 1.0 WHEN rank = 2 THEN 0.25 ELSE 0.0 END AS score FROM bycite)
-SELECT query_id, row, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 3 = 0 THEN 0 ELSE -score END, old) AS rank FROM scored""",
+    "rerank_merge": f"""WITH {_CITED}, scored AS (SELECT query_id, row, rank AS old, query_id % 5 IN (0, 4) AS kept, CASE query_id % 5 WHEN 1 THEN CASE rank WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 ELSE 0.0 END
+  WHEN 2 THEN CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.75 WHEN 100 THEN 1.0 ELSE 0.0 END WHEN 3 THEN 0.0 ELSE score END AS score FROM bycite)
+SELECT query_id, row, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kept THEN 0 ELSE -score END, old) AS rank FROM scored""",
+    "mmr_select": f"WITH {_VECTORS}, {_mmr(40, 5, 0.7)}",
     "evidence_gate": f"""WITH {_CITED}, lists AS (SELECT query_id, list(score ORDER BY rank) AS s FROM byscore WHERE rank <= 40 GROUP BY query_id),
 gates AS (SELECT query_id, s, s[1] AS top, s[1] >= 0.55 OR len(s) = 1 OR (CASE WHEN s[1] > 0 THEN (s[1] - s[len(s) // 2 + 1]) / s[1] ELSE 0 END) >= 0.15 AS passed FROM lists)
 SELECT query_id, passed, round(top, 6) AS top, top < 0.45 AS weak, CAST(CASE WHEN passed THEN len(list_filter(s, lambda x: x > 0)) ELSE 0 END AS BIGINT) AS kept FROM gates""",
@@ -101,7 +114,9 @@ SELECT query_id, passed, round(top, 6) AS top, top < 0.45 AS weak, CAST(CASE WHE
 FROM byscore b JOIN chunks c ON c.embedding_row = b.row JOIN documents d ON d.doc_id = c.doc_id""",
     "verify_support": f"""WITH {_CITED} SELECT query_id, count(*) FILTER (NOT ok) = 0 AS all_supported, coalesce(string_agg(CAST(rank - 1 AS VARCHAR), ',' ORDER BY rank) FILTER (NOT ok), '') AS unsupported
 FROM (SELECT b.query_id, b.rank, b.score >= 0.5 AND trim(c.text) <> '' AS ok FROM byscore b JOIN chunks c ON c.embedding_row = b.row JOIN documents d ON d.doc_id = c.doc_id) GROUP BY query_id""",
-    "citation_parse": """SELECT DISTINCT query_id, cite_no, chunk_id, CAST(cite_no AS VARCHAR) || ',' || CAST(chunk_id AS VARCHAR) || ',' || CAST(query_id AS VARCHAR) AS cited, 'Stated and but not [x1].' AS bare, true AS factual FROM citations""",
+    "citation_parse": """WITH c AS (SELECT DISTINCT query_id, cite_no, chunk_id, (query_id + cite_no) % 5 AS s, CAST(cite_no AS VARCHAR) AS a, CAST(chunk_id AS VARCHAR) AS b, CAST(query_id AS VARCHAR) AS q FROM citations)
+SELECT query_id, cite_no, chunk_id, CASE s WHEN 0 THEN a || ',' || b || ',' || q WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN '' ELSE b || ',' || a || ',' || a END AS cited,
+  CASE s WHEN 0 THEN 'Stated and but not [x1].' WHEN 1 THEN 'Is it so ?' WHEN 2 THEN a || ' %' WHEN 3 THEN 'Plain claim ' || b || '.' ELSE 'A [ ' || a || '] [], [1,] end' END AS bare, s NOT IN (1, 2) AS factual FROM c""",
     "chunk_windows": f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 parts AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 64 THEN [0] ELSE range(0, CAST(ceil((len(w) - 64) / 48.0) AS BIGINT) + 1) END) AS part, text, w FROM w)
 SELECT doc_id, CAST(part AS BIGINT) AS part, CASE WHEN len(w) <= 64 THEN text ELSE array_to_string(w[part * 48 + 1 : part * 48 + 64], ' ') END AS piece,
