@@ -45,7 +45,7 @@ def squeeze(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of an answer; blank text gives none."""
     cut = F.regexp_replace(squeeze(text), SENTENCE_END, "$1\u0001")
-    return F.filter(F.transform(F.split(cut, "\u0001"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def citations(sentence: Column) -> Column:

@@ -85,6 +85,30 @@ pieces AS (SELECT *, CASE WHEN len(w) <= {most} THEN text ELSE array_to_string(w
 
 
 _TOPIC = f"CASE WHEN regexp_matches(lower(query), '{'|'.join(MEDICAL)}') THEN 'medical' WHEN regexp_matches(lower(query), '{'|'.join(LEGAL)}') THEN 'legal' END"
+_EMAIL_RE, _SSN_RE = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b\d{3}-\d{2}-\d{4}\b"
+# RE2 has no looking around: what must not stand before is matched and put back; at the end a boundary of words does
+_PHONE_RE = r"(^|[^\pL\pN_])((?:\+?\d{1,3}[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]?\d{3}[\s.-]?\d{4})\b"
+_IBAN_RE, _CARD_RE = r"\b([A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30})\b", r"(?:^|\D)((?:\d[ -]?){12,18}\d)(?:\D|$)"
+_PLAIN = "regexp_replace(x, '[ -]', '', 'g')"
+_IBAN_OK = f"""length({_PLAIN}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), ''),
+  lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ord(c) - 55 AS VARCHAR) END), ''), ''), lambda c: CAST(c AS INTEGER))), lambda a, c: (a * 10 + c) % 97) = 1"""
+_CARD_OK = r"""length(regexp_replace(x, '\D', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(regexp_replace(x, '\D', '', 'g')), ''),
+  lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"""
+
+
+def _valid(text: str, pattern: str, ok: str, put: str) -> str:
+    """The text with those matches replaced that are valid."""
+    return f"list_reduce(list_prepend({text}, list_filter(regexp_extract_all({text}, '{pattern}', 1), lambda x: {ok})), lambda t, x: replace(t, x, '{put}'))"
+
+
+def _masked(source: str) -> str:
+    """m: the columns of ``source`` (with text), masked and entities, rule by rule."""
+    return f"""m1 AS (SELECT *, regexp_replace(text, '{_EMAIL_RE}', '[EMAIL]', 'g') AS t1 FROM {source}), m2 AS (SELECT *, regexp_replace(t1, '{_SSN_RE}', '[SSN]', 'g') AS t2 FROM m1),
+m3 AS (SELECT *, regexp_replace(t2, '{_PHONE_RE}', '\\1[PHONE]', 'g') AS t3 FROM m2), m4 AS (SELECT *, {_valid("t3", _IBAN_RE, _IBAN_OK, "[IBAN]")} AS t4 FROM m3),
+m5 AS (SELECT *, {_valid("t4", _CARD_RE, _CARD_OK, "[CREDIT_CARD]")} AS masked FROM m4),
+m AS (SELECT *, array_to_string(list_filter([CASE WHEN t1 <> text THEN 'email' END, CASE WHEN t2 <> t1 THEN 'ssn' END, CASE WHEN t3 <> t2 THEN 'phone' END, CASE WHEN t4 <> t3 THEN 'iban' END, CASE WHEN masked <> t4 THEN 'credit_card' END], lambda x: x IS NOT NULL), ',') AS entities FROM m5)"""
+
+
 _PERSONAL = r"regexp_matches(query, '(?i)^\s*(should|can|could|would|do|am)\s+(?:i|we)\b')"
 
 ORACLE = {
@@ -117,6 +141,10 @@ FROM (SELECT b.query_id, b.rank, b.score >= 0.5 AND trim(c.text) <> '' AS ok FRO
     "citation_parse": """WITH c AS (SELECT DISTINCT query_id, cite_no, chunk_id, (query_id + cite_no) % 5 AS s, CAST(cite_no AS VARCHAR) AS a, CAST(chunk_id AS VARCHAR) AS b, CAST(query_id AS VARCHAR) AS q FROM citations)
 SELECT query_id, cite_no, chunk_id, CASE s WHEN 0 THEN a || ',' || b || ',' || q WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN '' ELSE b || ',' || a || ',' || a END AS cited,
   CASE s WHEN 0 THEN 'Stated and but not [x1].' WHEN 1 THEN 'Is it so ?' WHEN 2 THEN a || ' %' WHEN 3 THEN 'Plain claim ' || b || '.' ELSE 'A [ ' || a || '] [], [1,] end' END AS bare, s NOT IN (1, 2) AS factual FROM c""",
+    "split_sentences": rf"""WITH squeezed AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS t FROM documents WHERE text IS NOT NULL),
+kept AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z])((?i:dr|mr|mrs|ms|prof|sr|jr|vs|etc))\.', '\1\2' || chr(57345), 'g') AS t FROM squeezed),
+cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([!?.][''"”’)\]}}]*)\s*([\p{{Lu}}\p{{Nd}}\[(]|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(replace(x, chr(57345), '.'), ' ')), lambda x: x <> '') AS s FROM kept)
+SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sentence_no, unnest(s) AS sentence FROM cut""",
     "chunk_windows": f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 parts AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 64 THEN [0] ELSE range(0, CAST(ceil((len(w) - 64) / 48.0) AS BIGINT) + 1) END) AS part, text, w FROM w)
 SELECT doc_id, CAST(part AS BIGINT) AS part, CASE WHEN len(w) <= 64 THEN text ELSE array_to_string(w[part * 48 + 1 : part * 48 + 64], ' ') END AS piece,
@@ -130,6 +158,10 @@ SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY page_num
 SELECT CASE WHEN k IS NULL THEN 'failed' ELSE 'ready' END AS status, count(*) AS n, CAST(sum(coalesce(k, 0)) AS BIGINT) AS chunks FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN counts USING (doc_id) GROUP BY 1""",
     "indexed_text": "SELECT id, md5(CASE WHEN length(section_title) > 0 THEN section_title || chr(10) || chr(10) || text ELSE text END) AS text_md5 FROM chunks",
     "pii_email_ssn": r"SELECT DISTINCT query_id, regexp_replace(regexp_replace(query, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[EMAIL]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g') AS masked FROM requests",
+    "pii_full": f"WITH {_masked('(SELECT id, text FROM chunks WHERE text IS NOT NULL)')} SELECT id, masked, entities FROM m",
+    "policy_routing": rf"""WITH {_ONCE}, {_masked("(SELECT query_id, coalesce(query, '') AS text FROM once)")}, q AS (SELECT query_id, masked, entities, masked AS query FROM m)
+SELECT query_id, masked, entities, {_TOPIC} AS disclaimer, CASE WHEN {_TOPIC} IS NOT NULL AND {_PERSONAL} THEN 'personalized_advice' END AS refuse_reason,
+  NOT ({_TOPIC} IS NOT NULL AND {_PERSONAL}) AND {_TOPIC} IS NOT NULL AND regexp_matches(query, '(?i)\b(i|me|my|mine|we|us|our|ours)\b') AND regexp_matches(lower(query), '{"|".join(CUES)}') AS ask_fallback FROM q""",
     "topic_policy": rf"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query FROM once)
 SELECT query_id, {_TOPIC} AS topic, {_TOPIC} IS NOT NULL AND {_PERSONAL} AS personal, regexp_matches(query, '(?i)\b(i|me|my|mine|we|us|our|ours)\b') AND regexp_matches(lower(query), '{"|".join(CUES)}') AS ambiguous FROM q""",
     "transform_parse": f"""WITH {_ONCE}, q AS (SELECT query_id, coalesce(query, '') AS query, query_id % 3 <> 0 AS ok, query_id % 5 AS m, query_id % 2 AS odd FROM once),

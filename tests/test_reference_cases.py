@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import parsing, policy
+from lodestrata.functions import parsing, policy, text
 from lodestrata.operators import answer, chunking, corpus, index, retrieve
 from lodestrata.operators.provider import FakeProvider
 from lodestrata.plans import pipeline
@@ -99,3 +99,9 @@ def test_ambiguous_questions_go_to_the_model(spark):
     vectors = spark.createDataFrame([(0, [1.0] * 8)], "embedding_row bigint, embedding array<float>")
     out = {r.query_id: r for r in pipeline.answer(asked, docs, chunks, vectors, FakeProvider(8, (("^Does the question", '{"action": "refuse"}'),))).collect()}
     assert out[1].refusal_reason == "personalized_advice" and out[2].refusal_reason is None and out[2].answer.startswith(policy.DISCLAIMERS["legal"])
+
+
+def test_sentences_keep_their_first_and_last_digits(spark):
+    said = "Zero. 1 is the second. Third has 2. Dr. No etc. stays, v. 3.5 too! (Next) 5"
+    got = one(spark, said, text.sentences)
+    assert got == ["Zero.", "1 is the second.", "Third has 2.", "Dr. No etc. stays, v.", "3.", "5 too!", "(Next) 5"] and "".join(got).replace(" ", "") == said.replace(" ", "")
