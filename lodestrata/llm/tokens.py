@@ -27,7 +27,7 @@ TOKENIZERS = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.json"
 #: The public split pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks of documents per input split: a block's text and its words are what one task holds.
+#: Blocks of documents in each input split: a block's text and its words are what one task holds.
 BLOCKS_PER_SPLIT = 4
 
 _WORDS = regex.compile(PATTERN)
@@ -146,7 +146,7 @@ def word_ids(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").distinct().mapInArrow(_replayed(path), "word string, ids array<int>")
 
 
-def _joined(counts: bool):
+def _joined(counts: bool, path: str):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         ids = words.column("ids").combine_chunks()
         flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids.offsets) else 0)
@@ -161,7 +161,9 @@ def _joined(counts: bool):
                 self.lead = lead
 
             def __missing__(self, piece: str) -> np.ndarray:
-                got = self[piece] = np.concatenate([own[place[w]] for w in words_of(self.lead + piece)])
+                words = words_of(self.lead + piece)
+                # a split that was cut in another way the second time has words that its block doesn't know
+                got = self[piece] = np.concatenate([own[place[w]] if w in place else np.array(replay([w], path)[0], np.int32) for w in words])
                 return got
 
         plain, spaced = Known(""), Known(" ")
@@ -181,18 +183,19 @@ def _joined(counts: bool):
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    n = BLOCKS_PER_SPLIT * input_parts(docs)
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), block).repartition(n, "block")
+    """Each document with its block: its input split, and a part of it by hash. Splits are the same each time a table is read."""
+    block = F.spark_partition_id() * BLOCKS_PER_SPLIT + F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(BLOCKS_PER_SPLIT)).cast("int")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), block.alias("block"))
 
 
 def _encoded(docs: DataFrame, path: str, counts: bool) -> DataFrame:
     blocks = _blocks(docs)
-    words = blocks.select("block", "text").mapInArrow(_distinct_words, "block int, word string")
-    words = materialize(words, "words")  # read twice: for the dictionary, and for the words a block needs
+    # words are gathered where the texts lie; texts move once, to meet the ids of their block's words
+    words = materialize(blocks.select("block", "text").mapInArrow(_distinct_words, "block int, word string"), "words")
     needed = words.join(word_ids(words, path), "word").select("block", "word", "ids")
     kind = "tokens bigint" if counts else "ids array<int>"
-    return blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_joined(counts), f"doc_id bigint, {kind}")
+    many = BLOCKS_PER_SPLIT * input_parts(docs)
+    return blocks.repartition(many, "block").groupBy("block").cogroup(needed.repartition(many, "block").groupBy("block")).applyInArrow(_joined(counts, path), f"doc_id bigint, {kind}")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
