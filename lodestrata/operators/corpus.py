@@ -111,6 +111,11 @@ def soft_delete(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFr
     return changed, wanted.join(documents.where("is_deleted = 0").select("doc_id"), "doc_id", "left_anti")
 
 
+def evicted(chunks: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """row of each chunk that was published with the documents as they were before and isn't any more."""
+    return ready_rows(chunks, before).join(ready_rows(chunks, after), "row", "left_anti")
+
+
 def recover(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, vectors) made consistent: unfinished documents failed, documents failed whose rows have no vector, vectors dropped that no
     active document refers to. Rows are keyed, so nothing is cut by position."""
@@ -120,13 +125,16 @@ def recover(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tupl
     return docs, vectors.join(ready_rows(chunks, docs).select(F.col("row").alias("embedding_row")), "embedding_row", "left_semi")
 
 
-def check(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """violation, n: chunks without document, unknown states, unknown sources, repeated index rows, counts that don't fit."""
+def check(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """violation, n: chunks without document, unknown states, unknown sources, repeated index rows, vectors of another length, published rows
+    without a vector."""
     orphans = chunks.join(documents.select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan_chunk").alias("violation"), "n")
     states = documents.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).agg(F.count("*").alias("n")).select(F.lit("status").alias("violation"), "n")
     sources = chunks.where(~F.coalesce(F.col("source").isin("pdf_text", "ocr"), F.lit(False))).agg(F.count("*").alias("n")).select(F.lit("source").alias("violation"), "n")
     twice = chunks.where("embedding_row is not null").groupBy("embedding_row").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("row_twice").alias("violation"), "n")
-    return orphans.unionByName(states).unionByName(sources).unionByName(twice)
+    length = vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).agg(F.count("*").alias("n")).select(F.lit("vector_length").alias("violation"), "n")
+    bare = ready_rows(chunks, documents).join(vectors.select(F.col("embedding_row").alias("row")), "row", "left_anti").agg(F.count("*").alias("n")).select(F.lit("no_vector").alias("violation"), "n")
+    return orphans.unionByName(states).unionByName(sources).unionByName(twice).unionByName(length).unionByName(bare)
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:

@@ -329,6 +329,13 @@ def soft_delete(spark, d):
     )
 
 
+def evicted_rows(spark, d):
+    """Index rows that the deletion of every seventh document takes out of searches."""
+    docs = table(spark, d, "documents")
+    changed, _ = corpus.soft_delete(docs, docs.where("doc_id % 7 = 0").select("doc_id"))
+    return corpus.evicted(table(spark, d, "chunks"), docs, changed)
+
+
 def recovery(spark, d):
     """The corpus after losing every tenth vector."""
     vecs = table(spark, d, "chunk_vectors").where("embedding_row % 10 <> 3")
@@ -338,7 +345,10 @@ def recovery(spark, d):
 
 
 def integrity(spark, d):
-    return corpus.check(table(spark, d, "documents"), table(spark, d, "chunks"))
+    """Of the corpus after losing every tenth vector, and with every eleventh cut short."""
+    vecs = table(spark, d, "chunk_vectors").where("embedding_row % 10 <> 3")
+    vecs = vecs.withColumn("embedding", F.when(F.col("embedding_row") % 11 == 5, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")))
+    return corpus.check(table(spark, d, "documents"), table(spark, d, "chunks"), vecs, 64)
 
 
 def l2_normalize(spark, d):
@@ -382,7 +392,7 @@ _QUERIES = (
     tokenize_counts, corpus_stats, term_idf, bm25_topk, bm25_topk_masked, bm25_saved, dense_topk, dense_topk_masked, hybrid_search, multi_query_hybrid, rerank_merge, evidence_gate, mmr_select,
     citations_hydrate, verify_support, citation_parse, split_sentences, chunk_windows, body_size_mode, heading_sections, layout_chunks, indexed_text, pii_email_ssn, pii_full, topic_policy,
     policy_routing, transform_parse, disclaimers, request_validation, request_dedup, document_filter, masked_rows, ready_rows, last_row, doc_listing, status_counts, dedup_sha256, text_hash,
-    assign_rows, mark_unfinished, released_rows, lookups, soft_delete, recovery, integrity, l2_normalize, upload_validation, ocr_plan, answers, ingest,
+    assign_rows, mark_unfinished, released_rows, lookups, soft_delete, evicted_rows, recovery, integrity, l2_normalize, upload_validation, ocr_plan, answers, ingest,
 )
 
 

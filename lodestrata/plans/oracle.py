@@ -199,10 +199,13 @@ lost AS (SELECT DISTINCT c.doc_id FROM chunks c JOIN documents d USING (doc_id)
 docs AS (SELECT doc_id, is_deleted, CASE WHEN status IN ('processing', 'failed') OR doc_id IN (SELECT doc_id FROM lost) THEN 'failed' ELSE status END AS status FROM documents)
 SELECT status, count(*) AS n FROM docs GROUP BY 1 UNION ALL
 SELECT 'vectors', count(*) FROM kept WHERE embedding_row IN (SELECT embedding_row FROM chunks c JOIN docs d USING (doc_id) WHERE d.status = 'ready' AND d.is_deleted = 0 AND embedding_row IS NOT NULL)""",
-    "integrity": """SELECT 'orphan_chunk' AS violation, count(*) AS n FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    "evicted_rows": f"WITH {_LIVE} SELECT embedding_row AS row FROM live WHERE doc_id % 7 = 0",
+    "integrity": f"""WITH {_LIVE}, kept AS (SELECT embedding_row, CASE WHEN embedding_row % 11 = 5 THEN least(len(embedding), 60) ELSE len(embedding) END AS k FROM chunk_vectors WHERE embedding_row % 10 <> 3) SELECT 'orphan_chunk' AS violation, count(*) AS n FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'status', count(*) FROM documents WHERE NOT coalesce(status IN ('processing', 'ready', 'failed'), false)
 UNION ALL SELECT 'source', count(*) FROM chunks WHERE NOT coalesce(source IN ('pdf_text', 'ocr'), false)
-UNION ALL SELECT 'row_twice', count(*) FROM (SELECT embedding_row FROM chunks WHERE embedding_row IS NOT NULL GROUP BY 1 HAVING count(*) > 1)""",
+UNION ALL SELECT 'row_twice', count(*) FROM (SELECT embedding_row FROM chunks WHERE embedding_row IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'vector_length', count(*) FROM kept WHERE coalesce(k, -1) <> 64
+UNION ALL SELECT 'no_vector', count(*) FROM live WHERE embedding_row NOT IN (SELECT embedding_row FROM kept)""",
     "l2_normalize": """WITH v AS (SELECT embedding_row, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM chunk_vectors)
 SELECT embedding_row, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 6) AS first FROM v""",
     "upload_validation": """WITH u AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE filename END AS filename, CASE WHEN doc_id % 4 = 0 THEN 'application/pdf' WHEN doc_id % 4 = 1 THEN 'text/plain' ELSE '' END AS kind,
