@@ -9,7 +9,7 @@ in what was accepted. The store is a folder: another process can open it and go
 Why runs of neighbours find every pair: let both documents together have u sequences of which at least 0.7 u are common. The others, at most
 0.3 u, cut the ordered sequences into at most 0.3 u + 1 stretches of common ones; so at least 0.7 u - 2 (0.3 u + 1) = 0.1 u - 2 runs of three
 lie within such a stretch. That holds for any texts, wherever the edits are, and is how documents of fewer than LONG sequences are looked up.
-Longer ones are looked up with runs of four and, from VERY_LONG on, of five among the lowest hashes, of which there are some 25 to 40 common ones
+Longer ones are looked up with runs of four and, from VERY_LONG on, of five among the lowest hashes, of which there are some 24 to 60 common ones
 at a similarity of 0.7 (hashes scatter, so the places of edits don't matter); a few of them make a candidate.
 """
 
@@ -33,18 +33,20 @@ SHINGLE, TENTHS = 3, 7
 PRINT_BITS = 40
 #: Documents of up to SHORT sequences are looked up with single ones; if the larger of two has less than LONG, with runs of three, if less than
 #: VERY_LONG, with runs of four, else of five. So many runs of a document are taken, about.
-SHORT, LONG, VERY_LONG, WINNOWED = 28, 100, 160, 200
+SHORT, LONG, VERY_LONG, WINNOWED = 28, 100, 160, 300
 #: Runs of four, and of five, that two documents must share to be verified.
 NEED_FOUR, NEED_FIVE = 6, 4
 #: Sequences of a slice, about: what is compared at once of a very long document. Chunks of a document that are read in order together.
 SLICE, STRETCH = 16_384, 512
 #: Lowest hashes of a very long document that are kept aside; some WINNOWED of them are needed.
-LOWEST = 400
+LOWEST = 600
 #: Documents of a batch that may share a fingerprint; a batch with more is cut in two by arrival, as often as needed.
 HOT = 4_000
 #: Undecided documents and links that one task puts in order.
 SETTLED = 2_000_000
 BLOOM_BITS, BLOOM_HASHES = 12, 4
+#: Parts of fingerprints for each split of the input, so that tasks have several small ones; and how many share a folder of the store.
+PARTS, TOGETHER_IN_STORE = 12, 12
 KNOWN_WORDS = 200_000
 #: Chunks that are taken apart together: what a task holds as single words.
 TOGETHER = 2_000
@@ -480,7 +482,7 @@ def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 class Store:
     """What was accepted so far, in a folder: documents (doc_id, t, sha, size, text), units (their sequences, by bucket), postings (their
-    fingerprints, by part) and Bloom filters of each part.
+    fingerprints, by part, a folder for several) and Bloom filters of each part.
 
     Each batch adds files of its own; nothing is rewritten. A batch counts when its mark is written, last of all, so one that broke off leaves
     nothing but files that no one reads. Units of documents that weren't accepted stay where they are and are never asked for.
@@ -496,7 +498,7 @@ class Store:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, parts: int, buckets: int | None = None) -> Store:
-        cls._write(spark, f"{path.rstrip('/')}/store.json", json.dumps({"parts": parts, "buckets": buckets or 2 * parts}))
+        cls._write(spark, f"{path.rstrip('/')}/store.json", json.dumps({"parts": parts, "buckets": buckets or max(8, 8 * parts // PARTS)}))
         return cls(spark, path)
 
     def _text(self, name: str) -> str:
@@ -550,8 +552,9 @@ class Store:
         accepted.write.parquet(at("documents"))
         accepted = self.spark.read.schema(accepted.schema).parquet(at("documents"))
         posted = postings(lows.join(accepted.where("text is not null").select("doc_id"), "doc_id", "left_semi"), self.parts)
-        posted.repartition("part").write.partitionBy("part").parquet(at("postings"))
-        posted = self.spark.read.schema(_POSTINGS).parquet(at("postings"))
+        place = F.floor(F.col("part") / TOGETHER_IN_STORE).cast("int")
+        posted.withColumn("place", place).repartition("place", "part").write.partitionBy("place").parquet(at("postings"))
+        posted = self.spark.read.schema(_POSTINGS + ", place int").parquet(at("postings"))
         posted.select("part", "prints").mapInArrow(_built, "part int, bits binary").write.parquet(at("blooms"))
         self._write(self.spark, f"{self.path}/done/{name}", json.dumps(places))
         self.batches.append(name)
@@ -564,8 +567,8 @@ class Store:
             return posted.withColumn("new", F.lit(True))
         blooms = self.read("blooms", "part int, bits binary")
         own = scratch.keep(posted.groupBy("part").cogroup(blooms.groupBy("part")).applyInArrow(_screened, _POSTINGS), "live")
-        there = [r.part for r in own.select("part").distinct().collect()]  # numbers of parts
-        stored = self.read("postings", _POSTINGS).where(F.col("part").isin(there)).select(*_NAMES)
+        there = [r[0] for r in own.select(F.floor(F.col("part") / TOGETHER_IN_STORE).cast("int")).distinct().collect()]  # numbers of folders
+        stored = self.read("postings", _POSTINGS + ", place int").where(F.col("place").isin(there)).select(*_NAMES)
         hits = own.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(_looked_up, _POSTINGS)
         return own.withColumn("new", F.lit(True)).unionByName(hits.withColumn("new", F.lit(False)))
 
@@ -731,7 +734,7 @@ def found(documents: DataFrame, chunks: DataFrame, batches: int | None = 2) -> D
         cuts = sorted(r.day for r in days.distinct().collect())[1:]  # one row a day
     else:
         cuts = sorted({int(c) for c in days.approxQuantile("day", [1 - 1 / (k + 1) for k in range(batches - 1, 0, -1)], 0.01)}) if batches > 1 else []
-    parts = max(4, 2 * input_parts(chunks))
+    parts = PARTS * max(2, input_parts(chunks))
     store = Store.create(spark, f"{scratch.path}/store", parts)
     docs, lows, runs = prepared(documents, chunks, store, scratch, cuts)
     out = []
