@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.config import Settings
 from lodestrata.operators import index, rank, retrieve
 from lodestrata.operators.provider import FakeProvider
-from lodestrata.plans import pipeline
+from lodestrata.plans import catalog, pipeline
 
 
 def rows_of(spark, texts):
@@ -163,6 +163,20 @@ def test_hybrid_writes_no_pairs_of_questions_and_rows(spark):
     assert searched(spark, 1) < 50_000 < 300 * 600
 
 
+def test_hybrid_search_of_tables_writes_no_pairs(spark, tmp_path):
+    n = 1_000  # each row is a question
+    spark.createDataFrame([(i, "ready", 0) for i in range(n)], "doc_id bigint, status string, is_deleted int").write.parquet(f"{tmp_path}/documents.parquet")
+    fields = "doc_id bigint, embedding_row bigint, text string, section_title string"
+    spark.createDataFrame([(i, 100 * i, "seal", "seal") for i in range(n)], fields).repartition(30).write.parquet(f"{tmp_path}/chunks.parquet")
+    vectors = [(100 * i, [float(np.cos(i % 20)), float(np.sin(i % 20))]) for i in range(n)]
+    spark.createDataFrame(vectors, "embedding_row bigint, embedding array<float>").repartition(30).write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    before = written(spark)
+    found = catalog.hybrid_search(spark, str(tmp_path)).where("rank = 1").collect()
+    assert written(spark) - before < 400_000 < n * n
+    # of the 50 rows with the question's vector, the first is the best in both lists
+    assert {r.query_id: r.row for r in found} == {100 * i: 100 * (i % 20) for i in range(n)}
+
+
 def test_equal_parts_are_searched_once(spark):
     assert searched(spark, 4) < 2 * searched(spark, 1)
 
